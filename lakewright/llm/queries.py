@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, secret_scan, sharding, substring_dedup
+from . import decontaminate, embedding_dedup, minhash, mixing, quality, secret_scan, sharding, substring_dedup, token_output, toxicity
 from .common import table
 
 
@@ -32,7 +32,23 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_substring_dedup, op5_source_mix, op6_near_duplicates, op7_byte_shards, op9_decontamination)}
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.sequences(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("hits")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_secret_scan, op3_substring_dedup, op4_quality, op5_source_mix, op6_near_duplicates, op7_byte_shards, op8_near_vectors, op9_decontamination, op10_toxicity)}
 
 
 
