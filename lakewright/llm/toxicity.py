@@ -1,13 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters are short patterns over words of letters (A-Z lower-cased): whole words of a seed lexicon, and
-whole words and word beginnings that stand mostly in toxic documents of the training rows. A voter
-says "toxic" where its pattern occurs and abstains elsewhere.
+whole words and word beginnings that stand, once or a few times, mostly in toxic documents of the
+training rows. A voter says "toxic" where its pattern occurs often enough and abstains elsewhere.
 
 The generative label model has a latent class, and for each voter the rate at which it fires in either
-class. It is fitted by expectation-maximisation on vote vectors, starting from the rates on labelled
-rows. Voters that fire together more than their classes explain are correlated; each one's evidence is
-divided by one plus the sum of its residual correlations. The posterior of a document is its
+class. It is fitted by expectation-maximisation on vote vectors, with the labels of training rows as
+anchors. Voters that fire together more than their classes explain are correlated; in a document, a
+voter's evidence is divided by the sum of its residual correlations with those that vote alike. The posterior of a document is its
 probabilistic label, on which a linear classifier over the votes and their frequency is trained. It is
 compiled to a Spark column expression over the pattern counts of each document.
 
@@ -18,6 +18,7 @@ Without toxic training rows only the seed lexicon votes.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,57 +32,73 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .quality import training_rows
-from .textscan import _BASE, _BYTE_NAMES, LOWER, U, byte_set, mix, slices, word_spans
+from .textscan import _BASE, _BYTE_NAMES, LOWER, U, byte_set, mix, slices, word_names, word_spans
 
 #: Words that start the lexicon; the training rows add to them.
 SEED_LEXICON = ("idiot", "moron", "stupid", "worthless", "pathetic", "disgusting", "scum", "trash", "loser", "clown")
-MOST_TRAIN, MOST_VOTERS = 20_000, 96
-PREFIXES = (4, 5, 6)  # bytes
-PRECISION, LEAST_DOCS = 0.9, 4
+MOST_TRAIN, MOST_VOTERS = 20_000, 160
+PREFIXES = (4, 5, 6, 7, 8)  # bytes
+TIMES = (1, 2, 3)
+PRECISION, CHANCE = 0.93, 0.01  # precision: toxic documents with a pattern, against all of them and one more
 CUTOFF = 0.7
 LETTERS = byte_set([(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
+Voter = tuple[bytes, int]  # a word beginning, or a whole word and a dollar sign; how often it must occur
+
+
 def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) -> pattern, documents with it, toxic documents with it; whole words end in a dollar sign."""
+    """(text, label) -> pattern, times, documents with it so often, toxic ones among them."""
     for batch in batches:
         every: Counter = Counter()
         toxic: Counter = Counter()
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(_WORD.findall((text or "").encode().lower()))
-            own = {w + b"$" for w in words if 3 <= len(w) <= 40}
-            for n in PREFIXES:
-                own |= {w[:n] for w in words if len(w) > n}
-            every.update(own)
+            own: Counter = Counter()
+            for w, c in Counter(_WORD.findall((text or "").encode().lower())).items():
+                if 3 <= len(w) <= 40:
+                    own[w + b"$"] += c
+                for n in PREFIXES:
+                    if len(w) > n:
+                        own[w[:n]] += c
+            keys = [(k, t) for k, c in own.items() for t in TIMES if t <= c]
+            every.update(keys)
             if label:
-                toxic.update(own)
-        keys = [k for k in every]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary()), pa.array([every[k] for k in keys], type=pa.int64()), pa.array([toxic[k] for k in keys], type=pa.int64())], ["pattern", "n", "n1"])
+                toxic.update(keys)
+        keys = list(every)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], type=pa.binary()), pa.array([t for _, t in keys], type=pa.int32()), pa.array([every[k] for k in keys], type=pa.int64()), pa.array([toxic[k] for k in keys], type=pa.int64())], ["pattern", "times", "n", "n1"])
 
 
-def mined_voters(train: DataFrame, most: int = MOST_VOTERS) -> list[bytes]:
+def mined_voters(train: DataFrame, most: int = MOST_VOTERS) -> list[Voter]:
     """Patterns of the training rows that stand mostly in toxic documents; the most frequent first."""
-    counts = train.select("text", "label").mapInArrow(_pattern_counts, "pattern binary, n long, n1 long")
-    counts = counts.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-    best = counts.where((F.col("n1") >= LEAST_DOCS) & (F.col("n1") >= PRECISION * F.col("n"))).orderBy(F.desc("n1"), F.desc(F.length("pattern")), "pattern").limit(most)
-    return [bytes(r[0]) for r in best.collect()]
+    counts = train.select("text", "label").mapInArrow(_pattern_counts, "pattern binary, times int, n long, n1 long")
+    counts = written(counts.groupBy("pattern", "times").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")), "tx-patterns")
+    share = train.agg(F.avg("label")).first()[0]
+    # so often that chance gives less than CHANCE such patterns among all that were counted
+    least = max(2, math.ceil(math.log(max(1, counts.count()) / CHANCE) / -math.log(min(max(share or 0.0, 1e-6), 0.9))))
+    best = counts.where((F.col("n1") >= least) & (F.col("n1") >= PRECISION * (F.col("n") + 1))).orderBy(F.desc("n1"), F.desc(F.length("pattern")), "pattern", "times").limit(20 * most)
+    kept: list[tuple[Voter, int]] = []
+    for r in best.collect():
+        v = bytes(r.pattern)
+        # of a word and its beginnings, or one pattern more and less often, in about the same documents one is enough
+        if len(kept) < most and not any((k.startswith(v.rstrip(b"$")) or v.startswith(k.rstrip(b"$"))) and r.n1 >= 0.95 * n1 for (k, _), n1 in kept):
+            kept.append(((v, r.times), r.n1))
+    return [v for v, _ in kept]
 
 
 def _name(pattern: bytes) -> int:
-    with np.errstate(over="ignore"):
-        total = U(0)
-        power = U(1)
-        for b in pattern:
-            total = total + _BYTE_NAMES[b] * power
-            power = power * _BASE
-    return int(mix(np.array([total + U(len(pattern)) * U(0x9E3779B97F4A7C15)], dtype=U))[0])
+    """The name that word_names gives to a word of these bytes."""
+    raw = np.frombuffer(pattern, dtype=np.uint8)
+    return int(word_names(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
-def _votes(voters: list[bytes]):
-    """Documents -> number of words and, for each voter, how many of them match."""
+def _votes(voters: list[Voter]):
+    """Documents -> number of words and, for each voter, how many of them match (0 if not often enough)."""
+    patterns = list(dict.fromkeys(v for v, _ in voters))
+    which_pattern = np.array([patterns.index(v) for v, _ in voters])
+    least = np.array([t for _, t in voters])
     by_length: dict[int, list[tuple[int, int]]] = {}
-    for k, v in enumerate(voters):
+    for k, v in enumerate(patterns):
         whole = v.endswith(b"$")
         by_length.setdefault(0 if whole else len(v), []).append((_name(v[:-1] if whole else v), k))
 
@@ -90,7 +107,7 @@ def _votes(voters: list[bytes]):
         for batch in batches:
             for part, buf, off in slices(batch, "text"):
                 rows = part.num_rows
-                hits = np.zeros((rows, len(voters)), dtype=np.int64)
+                hits = np.zeros((rows, len(patterns)), dtype=np.int64)
                 s, e, row = word_spans(buf, off, LETTERS)
                 if len(s):
                     a = s[0]
@@ -99,7 +116,7 @@ def _votes(voters: list[bytes]):
                     place = np.arange(len(low)) - np.repeat(s - a, gaps)
                     size = e - s
                     values = _BYTE_NAMES[low]
-                    values *= np.cumprod(np.concatenate([[U(1)], np.full(int(gaps.max()), _BASE, dtype=U)]))[place]
+                    values *= np.cumprod(np.full(int(gaps.max()), _BASE, dtype=U))[place]
                     values[place >= np.repeat(size, gaps)] = 0
                     sums = np.concatenate([[U(0)], np.cumsum(values)])
                     for n, (names, which) in tables.items():
@@ -110,39 +127,39 @@ def _votes(voters: list[bytes]):
                         at = np.minimum(np.searchsorted(names, found), len(names) - 1)
                         ok = names[at] == found
                         np.add.at(hits, (row[on][ok], which[at[ok]]), 1)
+                hits = hits[:, which_pattern]
+                hits[hits < least] = 0
                 ends = pa.array(np.arange(rows + 1, dtype=np.int32) * len(voters))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.bincount(row, minlength=rows).astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(hits.reshape(-1)))], [*part.schema.names[:-1], "n_words", "hits"])
 
     return run
 
 
-def voted(docs: DataFrame, voters: list[bytes]) -> DataFrame:
+def voted(docs: DataFrame, voters: list[Voter]) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, hits (one count for each voter)."""
     return docs.select("doc_id", "text").mapInArrow(_votes(voters), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, hits array<long>")
 
 
-def label_model(votes: np.ndarray, weight: np.ndarray, toxic: np.ndarray, steps: int = 20) -> np.ndarray:
+def label_model(votes: np.ndarray, weight: np.ndarray, toxic: np.ndarray, steps: int = 5) -> np.ndarray:
     """Posterior of class 1 for each vote vector. weight, toxic: how many rows have it, and how many of those are labelled 1."""
-    total, pos = weight.sum(), toxic.sum()
-    prior = (pos + 1) / (total + 2)
-    rate1 = (toxic @ votes + 0.5) / (pos + 1)
-    rate0 = ((weight - toxic) @ votes + 0.5) / (total - pos + 1)
-    post = np.full(len(votes), prior)
+    share = toxic / weight
+    belief = share
     for _ in range(steps):
+        mass1, mass0 = weight @ belief, weight @ (1 - belief)
+        prior = np.clip(mass1 / (mass1 + mass0), 0.001, 0.999)
+        rate1 = np.clip(((weight * belief) @ votes + 0.5) / (mass1 + 1), 1e-6, 1 - 1e-4)
+        rate0 = np.clip(((weight * (1 - belief)) @ votes + 0.5) / (mass0 + 1), 1e-6, 1 - 1e-4)
         # voters that agree beyond their class speak partly for each other
-        mean = post[:, None] * rate1 + (1 - post[:, None]) * rate0
-        rest = (votes - mean) * np.sqrt(weight)[:, None]
+        rest = (votes - belief[:, None] * rate1 - (1 - belief[:, None]) * rate0) * np.sqrt(weight)[:, None]
         cov = rest.T @ rest
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         corr = np.clip(cov / scale[:, None] / scale[None, :], 0, 1)
-        discount = 1 / np.maximum(corr.sum(axis=1), 1)
-        fire, silent = np.log(rate1 / rate0), np.log((1 - rate1).clip(1e-6) / (1 - rate0).clip(1e-6))
-        logit = np.log(prior / (1 - prior)) + (votes * fire * discount).sum(axis=1) + ((1 - votes) * silent * discount).sum(axis=1)
+        np.fill_diagonal(corr, 1)
+        fire, silent = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
+        spoken, quiet = votes * fire / np.maximum(votes @ corr, 1), (1 - votes) * silent / np.maximum((1 - votes) @ corr, 1)
+        logit = np.log(prior / (1 - prior)) + spoken.sum(axis=1) + quiet.sum(axis=1)
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        mass1, mass0 = weight @ post, weight @ (1 - post)
-        prior = np.clip(mass1 / (mass1 + mass0), 0.01, 0.99)
-        rate1 = np.clip(((weight * post) @ votes + 0.5) / (mass1 + 1), 1e-4, 1 - 1e-4)
-        rate0 = np.clip(((weight * (1 - post)) @ votes + 0.01) / (mass0 + 1), 1e-6, 1 - 1e-4)
+        belief = (share + post) / 2  # labels anchor the classes
     return post
 
 
@@ -171,7 +188,7 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, cu
     """doc_id, held_out, score, predicted, hits; one row for each row of docs."""
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     sample = written(training_rows(docs.select("doc_id", "text"), labels, "toxic", remainder != held, MOST_TRAIN), "tx-sample")
-    voters = list(dict.fromkeys([w.encode() + b"$" for w in SEED_LEXICON] + mined_voters(sample)))
+    voters = list(dict.fromkeys([(w.encode() + b"$", 1) for w in SEED_LEXICON] + mined_voters(sample)))
     rows = voted(docs, voters)
     train = voted(sample.select("doc_id", "text"), voters).join(sample.select("doc_id", "label").distinct(), "doc_id")
     train = written(train.coalesce(4), "tx-train")
