@@ -8,9 +8,10 @@ The permutation is affine, which keeps each slot's rank uniform.
 
 Equal sets form a class, represented by its smallest doc_id; only representatives go on. They meet
 in buckets of bands: 32 of 4 rows, so that a pair at 0.8 misses all of them once in 2e7. In each
-bucket all members are held against its smallest one; then all pairs of a bucket that lie in
-different components so far. A pair needs 66 of 128 equal slots (a pair at 0.8 has 102 +- 4.5)
-before its texts are fetched and the full sets compared: 100 * |A & B| >= 80 * |A | B|.
+bucket the members are held against its most central one, then, for those in other components, against
+another; at last all pairs of a bucket that still lie in different components. A pair needs 80 of 128
+equal slots (a pair at 0.8 has 102 +- 4.5) before its texts are fetched and the full sets compared:
+100 * |A & B| >= 80 * |A | B|.
 
 Repeated rows are copies of each other. Null and empty texts have n_shingles 0 and stay alone.
 """
@@ -29,7 +30,8 @@ from .components import components
 from .textscan import NOT_SPACE, U, mix, row_words, seeded, slices, word_names, word_spans
 
 SLOTS, BANDS, ROWS = 128, 32, 4
-LEAST_EQUAL_SLOTS = 66
+LEAST_EQUAL_SLOTS = 80
+STARS = 3
 PAIR_BYTES = 4 << 20
 
 _PLACE = seeded(21, 8) | U(1)
@@ -155,6 +157,11 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, perc
     return written(both.mapInArrow(_similar(words, percent), "a long, b long"), "mh-links")
 
 
+def _order(turn: int):
+    """Who leads a bucket: its most central member, later any other."""
+    return F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id long, text) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(words), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"), "mh-signed")
@@ -162,17 +169,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sig")).alias("x"))
     reps = written(reps.select(*key, "rep", "x.*"), "mh-reps")
     banded = reps.where("rep is not null").select("rep", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("bucket", "lead")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket", "n")
     members = written(banded.join(shared, "bucket"), "mh-buckets")
-    star = written(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "mh-star")
-    links = _linked(star, reps, docs, words, percent)
-    so_far = components(links)
-    named = members.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    named = written(named, "mh-named")
+    # the text that others were made from shares the most bands with the most of them
+    middle = members.groupBy("rep").agg(F.sum("n").alias("weight"))
+    members = written(members.select("bucket", "rep").join(middle, "rep"), "mh-members")
+    links, tested, named = None, None, members.withColumn("component", F.col("rep"))
+    for turn in range(STARS):
+        lead = named.groupBy("bucket").agg(F.max(F.struct(_order(turn), "rep", "component")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
+        lead = lead.where("low < high").select("bucket", F.col("x.rep").alias("lead"), F.col("x.component").alias("lc"))
+        star = named.join(lead, "bucket").where("component <> lc").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        star = written(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "mh-star")
+        found = _linked(star, reps, docs, words, percent)
+        links = found if links is None else links.union(found)
+        tested = star if tested is None else tested.union(star)
+        named = members.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = written(named, "mh-named")
     open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = named.join(open_, "bucket")
+    left = written(named.join(open_, "bucket").select("bucket", "rep", "component"), "mh-open")
     other = left.select("bucket", F.col("rep").alias("other"), F.col("component").alias("oc"))
-    rest = left.join(other, "bucket").where("component < oc").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = left.join(other, "bucket").where("component < oc").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     links = links.union(_linked(written(rest, "mh-rest"), reps, docs, words, percent))
     found = components(links).withColumnRenamed("node", "rep")
     classes = reps.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))

@@ -73,11 +73,12 @@ def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
     s = s.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     rows = rows.join(s, "sid").withColumn("extra", F.col("before") + F.col("size") / 2.0 < F.col("rest"))
     gap = rows.groupBy("sid").agg((F.max("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
+    gap = written(gap, "mix-gaps")  # a row for each source: small tables are sent to the rows, not rows to sources
     # of those that could change sides, the one whose size is nearest to the gap
     near = F.abs(F.abs("gap") - F.col("size"))
     fits = (near < F.abs("gap")) & (F.col("size") > 0) & F.when(F.col("gap") > 0, ~F.col("extra")).otherwise(F.col("extra"))
     other = rows.join(gap, "sid").where(fits).groupBy("sid").agg(F.min(F.struct(near.alias("near"), "h", "before")).alias("m"))
-    other = other.select("sid", F.col("m.before").alias("turned"))
+    other = written(other.select("sid", F.col("m.before").alias("turned")), "mix-turned")
     rows = rows.join(other, "sid", "left")
     flip = (F.col("size") > 0) & F.coalesce(F.col("before") == F.col("turned"), F.lit(False))
     copies = F.col("whole") + (F.col("extra") != flip).cast("long")
