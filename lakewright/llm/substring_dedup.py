@@ -16,8 +16,8 @@ anchor form a block (name, hash of its words, document, first and last window):
   4. Each document loses the words of its removed windows.
 
 Windows never cross documents and are judged on the input. Copies in the same doc_id, or in rows
-with a null doc_id, remove nothing. Null texts have no words. Hot names are split: they are joined
-and pre-aggregated, never gathered in a task.
+with a null doc_id, remove nothing. Null texts have no words. A name that many documents share has one
+short row for each of its blocks, which are sorted with spill, never gathered.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -239,21 +239,20 @@ def _cut(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id long, text) -> doc_id, n_words, n_removed, kept_text; one row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = written(docs.where("doc_id is not null").mapInArrow(_block_rows(window), "name long, words long, doc_id long, lo int, hi int"), "sd-blocks")
-    names = found.groupBy("name").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("words").alias("w0"), F.max("words").alias("w1"))
-    names = names.where("d0 < d1").select("name", (F.col("w0") < F.col("w1")).alias("mixed"))
-    shared = written(found.join(names, "name"), "sd-shared")
+    found = docs.where("doc_id is not null").mapInArrow(_block_rows(window), "name long, words long, doc_id long, lo int, hi int")
+    named = Window.partitionBy("name")
+    shared = found.withColumns({"d0": F.min("doc_id").over(named), "d1": F.max("doc_id").over(named), "w0": F.min("words").over(named), "w1": F.max("words").over(named)})
+    shared = written(shared.where("d0 < d1").select("name", "words", "doc_id", "lo", "hi", (F.col("w0") < F.col("w1")).alias("mixed")), "sd-shared")
     groups = shared.groupBy("name", "words").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("x"), F.max("mixed").alias("mixed"))
     groups = written(groups.select("name", "words", "x.*", "mixed"), "sd-groups")
     doubtful = groups.where("mixed").groupBy("doc_id").agg(F.collect_list(F.struct("name", "words", "lo", "hi")).alias("blocks"))
     windows = docs.join(doubtful, "doc_id").mapInArrow(_window_rows(window), "w1 long, w2 long, doc_id long, name long, words long, offset int")
-    windows = written(windows, "sd-windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("last")).where("m < last").select("w1", "w2", "m")
-    matched = windows.join(earliest, ["w1", "w2"]).groupBy("name", "words").agg(F.collect_list(F.struct("offset", "m")).alias("some"))
+    # of a group's windows, those that a smaller document than its own first one holds
+    earlier = windows.withColumn("m", F.min("doc_id").over(Window.partitionBy("w1", "w2"))).where("m < doc_id")
+    matched = written(earlier.groupBy("name", "words").agg(F.collect_set("offset").alias("offsets")), "sd-matched")
     known = groups.select("name", "words", F.col("doc_id").alias("m0")).join(matched, ["name", "words"], "left")
     gone = shared.join(known, ["name", "words"])
-    some = F.when(F.col("m0") >= F.col("doc_id"), F.transform(F.filter("some", lambda x: x["m"] < F.col("doc_id")), lambda x: x["offset"]))
-    gone = gone.select("doc_id", "lo", "hi", "words", "m0", some.alias("offsets")).where("m0 < doc_id or size(offsets) > 0")
+    gone = gone.select("doc_id", "lo", "hi", "words", "m0", F.when(F.col("m0") >= F.col("doc_id"), F.col("offsets")).alias("offsets")).where("m0 < doc_id or size(offsets) > 0")
     gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "words", "offsets")).alias("gone"))
     gone = written(gone, "sd-gone")
     return docs.join(gone, "doc_id", "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
