@@ -35,11 +35,11 @@ def quote_found(quote: Column, source: Column, least: int = 12) -> Column:
 
 
 def capital_names(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit("\\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0)))
 
 
 def numbers_in(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit("\\b[0-9]+(?:\\.[0-9]+)?\\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("[0-9]+(?:\\.[0-9]+)?"), F.lit(0)))
 
 
 def ungrounded(draft: Column, source: Column) -> Column:

@@ -55,7 +55,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, k: in
     Every block of rows meets every query; a block sends its best k for each query on.
     """
     q = queries.select(F.col(id_).alias("query"), F.col(vector).alias("qv")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(blocks)).cast("int"))
+    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int"))
     near = rows.join(q, "block").where("id <> query").select("block", "query", "id", cosine(F.col("v"), F.col("qv")).alias("similarity"))
     order = [F.desc("similarity"), "id"]
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("block", "query").orderBy(*order))).where(F.col("r") <= k)

@@ -85,7 +85,7 @@ def seeded_sample(t: Tables):
     return ranking.seeded_sample(t.documents.select("doc_id"), F.col("doc_id"), "s", 25)
 
 
-@R.add("""SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS at, greatest(1, floor(count(*) OVER (PARTITION BY lang) / 10)) AS step FROM documents) WHERE at % step = 0 AND at < step * 10""")
+@R.add("""SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, greatest(1, floor(count(*) OVER (PARTITION BY lang) / 10)) AS step FROM documents) WHERE pos % step = 0 AND pos < step * 10""")
 def evenly_spaced_sample(t: Tables):
     return ranking.evenly_spaced(t.documents.select("lang", "doc_id"), ["lang"], [F.col("doc_id")], 10)
 
@@ -111,8 +111,8 @@ def retry_loops(t: Tables):
     return sequences.repeats(t.events, ["user_id", "event_type"], F.col("value") > 90)
 
 
-@R.add("""WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS at FROM conversations),
-    p AS (SELECT conv_id, turn, at, size AS used, 1 AS packet FROM r WHERE at = 1 UNION ALL SELECT r.conv_id, r.turn, r.at, CASE WHEN used > 0 AND used + size > 800 THEN size ELSE used + size END, CASE WHEN used > 0 AND used + size > 800 THEN packet + 1 ELSE packet END FROM p JOIN r ON r.conv_id = p.conv_id AND r.at = p.at + 1)
+@R.add("""WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
+    p AS (SELECT conv_id, turn, pos, size AS used, 1 AS packet FROM r WHERE pos = 1 UNION ALL SELECT r.conv_id, r.turn, r.pos, CASE WHEN used > 0 AND used + size > 800 THEN size ELSE used + size END, CASE WHEN used > 0 AND used + size > 800 THEN packet + 1 ELSE packet END FROM p JOIN r ON r.conv_id = p.conv_id AND r.pos = p.pos + 1)
     SELECT conv_id, turn, packet FROM p""")
 def budget_packets(t: Tables):
     rows = t.conversations.select("conv_id", "turn", "text")
@@ -177,7 +177,7 @@ def text_quality(t: Tables):
     return t.documents.select("doc_id", F.round(X.text_quality(F.col("text"))["score"], 6).alias("score"))
 
 
-@R.add(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b'))) AS names, len(list_distinct(regexp_extract_all(text, '\b[0-9]+(?:\.[0-9]+)?\b'))) AS numbers FROM documents""")
+@R.add(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS names, len(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'))) AS numbers FROM documents""")
 def named_specifics(t: Tables):
     return t.documents.select("doc_id", F.array_sort(checking.capital_names(F.col("text"))).alias("names"), F.size(checking.numbers_in(F.col("text"))).cast("long").alias("numbers"))
 
@@ -223,9 +223,9 @@ def hierarchy_paths(t: Tables):
     return graphs.paths(t.spark, "lw_hierarchy", "id", "parent", "label")
 
 
-@R.add("""SELECT event_id AS id, CAST(event_id % 16 AS BIGINT) AS root FROM events WHERE event_id < 512""")
+@R.add("""SELECT event_id AS id, CAST(event_id % 64 AS BIGINT) AS root FROM events""")
 def thread_roots(t: Tables):
-    m = t.events.where("event_id < 512").select(F.col("event_id").alias("id"), F.when(F.col("event_id") >= 16, F.col("event_id") - 16).alias("parent"))
+    m = t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") >= 64, F.col("event_id") - F.greatest(F.lit(64), F.floor(F.col("event_id") / 128) * 64)).alias("parent"))
     m.createOrReplaceTempView("lw_threads")
     return graphs.thread_roots(t.spark, "lw_threads", "id", "parent")
 
