@@ -196,7 +196,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     if edges is None:
         edges = rows.sparkSession.createDataFrame([], "rep long, other long")
         counts = rows.sparkSession.createDataFrame([], "rep long, links long")
-    groups = components(edges.toDF("a", "b").distinct()).withColumnRenamed("node", "rep")
+    groups = components(written(edges.toDF("a", "b").distinct(), "ed-edges")).withColumnRenamed("node", "rep")
     known = classes.select("h", "rep", "copies").join(counts, "rep", "left").join(groups, "rep", "left")
     known = known.select("h", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
     out = rows.select("vec_id", "h").join(known, "h", "left")

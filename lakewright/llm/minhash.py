@@ -7,11 +7,11 @@ which lowers the variance of plain MinHash, and a document stops once no slot ho
 The permutation is affine, which keeps each slot's rank uniform.
 
 Equal sets form a class, represented by its smallest doc_id; only representatives go on. They meet
-in buckets of bands: 32 of 4 rows, so that a pair at 0.8 misses all of them once in 2e7. In each
-bucket the members are held against its most central one, then, for those in other components, against
-another; at last all pairs of a bucket that still lie in different components. A pair needs 80 of 128
-equal slots (a pair at 0.8 has 102 +- 4.5) before its texts are fetched and the full sets compared:
-100 * |A & B| >= 80 * |A | B|.
+in buckets of bands: 32 of 4 rows, so that a pair at 0.8 misses all of them once in 2e7. Pairs of a
+bucket with 80 of 128 equal slots (a pair at 0.8 has 102 +- 4.5) join families, and all pairs of a
+family are compared on full sets: 100 * |A & B| >= 80 * |A | B|. Large buckets and families are cut into
+pieces, and each pair of pieces is compared within a task that sends on spanning edges only, never
+its pairs.
 
 Repeated rows are copies of each other. Null and empty texts have n_shingles 0 and stay alone.
 """
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
+from .components import components, smallest_members
 from .textscan import NOT_SPACE, U, mix, row_words, seeded, slices, word_names, word_spans
 
 SLOTS, BANDS, ROWS = 128, 32, 4
 LEAST_EQUAL_SLOTS = 80
-STARS = 3
-PAIR_BYTES = 4 << 20
+#: Rows of a bucket in one piece; a family's pieces, which carry texts, are half as large.
+PIECE = 512
 
 _PLACE = seeded(21, 8) | U(1)
 _BAND = seeded(22, ROWS) | U(1)
@@ -116,52 +116,105 @@ def _sign(words: int):
     return run
 
 
-def _equal_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = (x == y).sum(axis=1) >= LEAST_EQUAL_SLOTS
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-
-def _similar(words: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, buf, off in slices(batch, "ta", PAIR_BYTES):
-                row_a, a = shingles(buf, off, words)
-                key_a = mix(a ^ mix(row_a.astype(U) + U(7)))
-                shared = np.zeros(part.num_rows, dtype=np.int64)
-                total = np.bincount(row_a, minlength=part.num_rows)
-                start = 0
-                for sub, buf_b, off_b in slices(part, "tb", PAIR_BYTES):
-                    row_b, b = shingles(buf_b, off_b, words)
-                    row_b = row_b + start
-                    key_b = mix(b ^ mix(row_b.astype(U) + U(7)))
-                    shared += np.bincount(row_b[np.isin(key_b, key_a)], minlength=part.num_rows)
-                    total = total + np.bincount(row_b, minlength=part.num_rows)
-                    start += sub.num_rows
-                keep = (shared > 0) & (100 * shared >= percent * (total - shared))
-                yield part.select([0, 1]).filter(pa.array(keep))
+def pieced(members: DataFrame, group: str, member: str, piece: int, task_rows: int) -> DataFrame:
+    """members (group, member) with columns piece, p, q and task: every pair of a group's members meets in one (p, q).
+
+    A group is cut by a hash into pieces of about `piece` rows, every pair of pieces is met once, and
+    pairs of pieces are dealt to tasks of about `task_rows` rows.
+    """
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
+    rows = members.join(sizes, group).withColumn("piece", F.pmod(F.xxhash64(member, F.lit(7)), F.col("pieces")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = written(rows.select(group, member, "piece", F.least("piece", "with").alias("p"), F.greatest("piece", "with").alias("q")), "mh-pieces")
+    tasks = max(1, -(-rows.count() // task_rows))
+    return rows.withColumn("task", F.pmod(F.xxhash64(group, "p", "q"), F.lit(tasks)))
+
+
+def _groups(table: pa.Table, group: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers of each (group, p, q), those of piece p and of piece q."""
+    c = lambda n: table.column(n).to_numpy()
+    piece, p, q = c("piece"), c("p"), c("q")
+    key = mix(c(group).view(U) + mix(p.astype(U) * U(1 << 32) + q.astype(U)))
+    order = np.argsort(key, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        first = own[0]
+        if p[first] == q[first]:
+            yield own, own, own
+        else:
+            yield own, own[piece[own] == p[first]], own[piece[own] == q[first]]
+
+
+def _spanning(rep: np.ndarray, i: list, j: list) -> pa.Table:
+    """Edges that join the same members as rows i - j do."""
+    i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (i, j))
+    ids, at = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
+    root = smallest_members(len(ids), at[: len(i)], at[len(i) :])
+    own = root != np.arange(len(ids))
+    return pa.table({"a": ids[root[own]], "b": ids[own]})
+
+
+def _maybe(table: pa.Table) -> pa.Table:
+    """Of members of buckets with their slots: edges over all pairs with enough equal slots."""
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
+    rep = table.column("rep").to_numpy()
+    left, right = [], []
+    for _, a, b in _groups(table, "bucket"):
+        for x in a.tolist():
+            rest = b[b > x] if a is b else b
+            near = rest[(sig[rest] == sig[x]).sum(axis=1) >= LEAST_EQUAL_SLOTS]
+            left.append(np.full(len(near), x))
+            right.append(near)
+    return _spanning(rep, left, right)
+
+
+def _sets_of(texts: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, name) of the shingles of a column of texts, by row."""
+    rows, values, first = [], [], 0
+    batch = pa.RecordBatch.from_arrays([texts.combine_chunks()], ["text"])
+    for part, buf, off in slices(batch, "text"):
+        row, value = shingles(buf, off, words)
+        order = np.argsort(row, kind="stable")
+        rows.append(row[order] + first)
+        values.append(value[order])
+        first += part.num_rows
+    return np.concatenate(rows), np.concatenate(values)
+
+
+def _verified(words: int, percent: int):
+    """Of families with their texts: edges over all pairs whose full sets are similar enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        row, value = _sets_of(table.column("text"), words)
+        start = np.searchsorted(row, np.arange(table.num_rows + 1))
+        size = np.diff(start)
+        left, right = [], []
+        for own, a, b in _groups(table, "family"):
+            # who holds each shingle of the group
+            places = np.concatenate([np.arange(start[x], start[x + 1]) for x in own.tolist()])
+            number = np.unique(value[places], return_inverse=True)[1]
+            holder = np.repeat(np.arange(len(own)), size[own])
+            order = np.argsort(number, kind="stable")
+            holders, first = holder[order], np.concatenate([[0], np.cumsum(np.bincount(number))])
+            bounds = np.concatenate([[0], np.cumsum(size[own])])
+            local = {x: k for k, x in enumerate(own.tolist())}
+            in_b = np.isin(own, b)
+            for x in a.tolist():
+                k = local[x]
+                mine = number[bounds[k] : bounds[k + 1]]
+                count = first[mine + 1] - first[mine]
+                at = np.repeat(first[mine] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                shared = np.bincount(holders[at], minlength=len(own))
+                ok = in_b & (100 * shared >= percent * (size[x] + size[own] - shared)) & (shared > 0)
+                other = own[ok]
+                other = other[other > x] if a is b else other
+                left.append(np.full(len(other), x))
+                right.append(other)
+        return _spanning(rep, left, right)
 
     return run
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of representatives, those whose full sets are similar enough."""
-    sig = reps.select("rep", "sig")
-    close = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    close = written(close.mapInArrow(_equal_slots, "a long, b long"), "mh-close")
-    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "mh-texts")
-    both = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return written(both.mapInArrow(_similar(words, percent), "a long, b long"), "mh-links")
-
-
-def _order(turn: int):
-    """Who leads a bucket: its most central member, later any other."""
-    return F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id long, text) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(words), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"), "mh-signed")
@@ -170,27 +223,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = written(reps.select(*key, "rep", "x.*"), "mh-reps")
     banded = reps.where("rep is not null").select("rep", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket", "n")
-    members = written(banded.join(shared, "bucket"), "mh-buckets")
-    # the text that others were made from shares the most bands with the most of them
-    middle = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = written(members.select("bucket", "rep").join(middle, "rep"), "mh-members")
-    links, tested, named = None, None, members.withColumn("component", F.col("rep"))
-    for turn in range(STARS):
-        lead = named.groupBy("bucket").agg(F.max(F.struct(_order(turn), "rep", "component")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
-        lead = lead.where("low < high").select("bucket", F.col("x.rep").alias("lead"), F.col("x.component").alias("lc"))
-        star = named.join(lead, "bucket").where("component <> lc").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        star = written(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "mh-star")
-        found = _linked(star, reps, docs, words, percent)
-        links = found if links is None else links.union(found)
-        tested = star if tested is None else tested.union(star)
-        named = members.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        named = written(named, "mh-named")
-    open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = written(named.join(open_, "bucket").select("bucket", "rep", "component"), "mh-open")
-    other = left.select("bucket", F.col("rep").alias("other"), F.col("component").alias("oc"))
-    rest = left.join(other, "bucket").where("component < oc").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.union(_linked(written(rest, "mh-rest"), reps, docs, words, percent))
-    found = components(links).withColumnRenamed("node", "rep")
+    members = pieced(banded.join(shared.select("bucket"), "bucket"), "bucket", "rep", PIECE, 8192)
+    maybe = members.join(reps.select("rep", "sig"), "rep").groupBy("task").applyInArrow(_maybe, "a long, b long")
+    families = written(components(written(maybe.distinct(), "mh-maybe")).toDF("rep", "family"), "mh-families")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(families.select("rep"), "rep", "left_semi")
+    texts = written(texts.groupBy("rep").agg(F.min("text").alias("text")), "mh-texts")
+    compared = pieced(families, "family", "rep", PIECE // 2, 512).join(texts, "rep")
+    links = written(compared.groupBy("task").applyInArrow(_verified(words, percent), "a long, b long"), "mh-links")
+    found = written(components(links).withColumnRenamed("node", "rep"), "mh-found")
     classes = reps.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", *key).join(classes, key, "left")
     component = F.coalesce("component_id", "doc_id")

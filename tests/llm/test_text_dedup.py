@@ -131,3 +131,28 @@ def test_byte_shards(frame, documents):
     order = sorted(got, key=lambda r: (r.shard, r.slot))
     assert [r.doc_id for r in order] == sorted(r.doc_id for r in got)
     assert sharding.shard(frame.limit(0)).count() == 0
+
+
+def test_near_duplicates_in_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
+    docs = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(150)] = f"x{rng.randint(0, 10**6)}"
+        docs.append((i, " ".join(own)))
+    monkeypatch.setattr(minhash, "PIECE", 24)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 4).collect()}
+    assert got == brute.near(docs)
+
+
+def test_contraction_agrees_with_union_find(spark, monkeypatch):
+    from lakewright.llm import components
+
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)], "a long, b long")
+    one = sorted(map(tuple, components.components(edges).collect()))
+    monkeypatch.setattr(components, "TASK_EDGES", 0)
+    assert sorted(map(tuple, components.components(edges).collect())) == one
