@@ -80,7 +80,7 @@ def test_mix_targets_and_shards(spark):
     for s in size:
         mine = [r for r in out if r.source == s]
         assert all(r.source_size == size[s] and r.target == pytest.approx(want[s]) and r.taken <= 2 * r.size for r in mine)
-        assert abs(sum(r.taken for r in mine) - want[s]) <= 1
+        assert abs(sum(r.taken for r in mine) - want[s]) <= 30  # half of the longest document
         assert all(len(r.shards) * r.size == r.taken for r in mine if r.size)
     words = [sum(r.size * r.shards.count(k) for r in out) for k in range(8)]
     assert max(words) - min(words) <= 4 * 64 * len(size)
