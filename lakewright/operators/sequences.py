@@ -87,3 +87,37 @@ def majority_ending(df: DataFrame, id_: str, text: str, ending: str = ".") -> Da
     cut = many & has & (F.col("n") > F.col("y")) & (F.col("y") > 0)
     fixed = F.when(add, F.concat(F.col(text), F.lit(ending))).when(cut, F.substring(F.col(text), F.lit(1), F.length(text) - len(ending))).otherwise(F.col(text))
     return out.select(id_, fixed.alias(text))
+
+
+def marked_order(df: DataFrame, by: str, order: str, at: str) -> DataFrame:
+    """Adds in_order: whether a row's time is not before that of the row ahead of it; drops the time."""
+    w = Window.partitionBy(by).orderBy(order)
+    return df.withColumn("in_order", F.coalesce(F.lag(at).over(w) <= F.col(at), F.lit(True))).drop(at)
+
+
+def cut_points(df: DataFrame, by: str, order: str, size: Column, valid: Column, budget: int) -> DataFrame:
+    """(by, cut): the first valid row at or after the place from which on the last rows reach the budget.
+
+    Where the whole group stays below it, or no valid row follows, the first valid row is the cut.
+    """
+    used = F.sum(size).over(Window.partitionBy(by).orderBy(F.desc(order)))
+    rows = df.select(by, order, valid.alias("_valid"), used.alias("_used"))
+    rows = rows.withColumn("_reached", F.max(F.when(F.col("_used") >= budget, F.col(order))).over(Window.partitionBy(by)))
+    first = lambda ok: F.min(F.when(ok, F.col(order)))
+    return rows.groupBy(by).agg(F.coalesce(first(F.col("_valid") & (F.col(order) >= F.col("_reached"))), first(F.col("_valid"))).alias("cut"))
+
+
+def repeated_texts(df: DataFrame, by: str, order: str, text: str, least: int = 80) -> DataFrame:
+    """(by, order, earlier): rows that hold the whole text, of `least` characters or more, of an earlier row of their group. For groups of bounded length."""
+    long_ = df.where(F.length(text) >= least)
+    a = long_.select(by, F.col(order).alias("earlier"), F.col(text).alias("_old"))
+    b = long_.select(by, order, F.col(text).alias("_new"))
+    hit = b.join(a, by).where((F.col("earlier") < F.col(order)) & F.contains("_new", "_old"))
+    return hit.groupBy(by, order).agg(F.min("earlier").alias("earlier"))
+
+
+def smoothed(df: DataFrame, by: str, order: list[str], observed: Column, prior: float, low: float, high: float, keep: float = 0.7) -> DataFrame:
+    """(by, n, estimate): exponential smoothing over a group's values in order, each held within low and high."""
+    g = df.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*order, observed.alias("_o")))).alias("_s"))
+    step = lambda s, x: F.lit(keep) * s + F.lit(1 - keep) * F.greatest(F.lit(low), F.least(F.lit(high), x["_o"]))
+    return g.select(by, "n", F.aggregate("_s", F.lit(float(prior)), step).alias("estimate"))

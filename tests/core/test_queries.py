@@ -7,10 +7,10 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from lakewright.plans import records, streams, tables, texts
+from lakewright.plans import entities, records, streams, tables, texts
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-REGISTRIES = (tables.R, texts.R, records.R, streams.R)
+REGISTRIES = (tables.R, texts.R, records.R, entities.R, streams.R)
 QUERIES = {k: v for r in REGISTRIES for k, v in r.queries.items()}
 SQL = {k: v for r in REGISTRIES for k, v in r.sql.items()}
 
