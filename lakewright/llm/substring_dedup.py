@@ -16,8 +16,8 @@ anchor form a block (name, hash of its words, document, first and last window):
   4. Each document loses the words of its removed windows.
 
 Windows never cross documents and are judged on the input. Copies in the same doc_id, or in rows
-with a null doc_id, remove nothing. Null texts have no words. A name that many documents share has one
-short row for each of its blocks, which are sorted with spill, never gathered.
+with a null doc_id, remove nothing. Null texts have no words. A name or window that many documents share
+is summed up before the shuffle and then joined to its short rows, a join whose hot keys Spark splits.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .textscan import NOT_SPACE, U, mix, row_words, seeded, slices, word_names, word_spans
 
 WINDOW = 50
@@ -240,16 +240,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id long, text) -> doc_id, n_words, n_removed, kept_text; one row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = docs.where("doc_id is not null").mapInArrow(_block_rows(window), "name long, words long, doc_id long, lo int, hi int")
-    named = Window.partitionBy("name")
-    shared = found.withColumns({"d0": F.min("doc_id").over(named), "d1": F.max("doc_id").over(named), "w0": F.min("words").over(named), "w1": F.max("words").over(named)})
-    shared = written(shared.where("d0 < d1").select("name", "words", "doc_id", "lo", "hi", (F.col("w0") < F.col("w1")).alias("mixed")), "sd-shared")
+    found = written(found, "sd-blocks")
+    ends = lambda c, a, b: (F.min(c).alias(a), F.max(c).alias(b))
+    names = found.groupBy("name").agg(*ends("doc_id", "d0", "d1"), *ends("words", "w0", "w1")).where("d0 < d1")
+    names = written(names.select("name", (F.col("w0") < F.col("w1")).alias("mixed")), "sd-names")
+    shared = written(found.join(names, "name"), "sd-shared")
+    drop_written(found, names)
     groups = shared.groupBy("name", "words").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("x"), F.max("mixed").alias("mixed"))
     groups = written(groups.select("name", "words", "x.*", "mixed"), "sd-groups")
     doubtful = groups.where("mixed").groupBy("doc_id").agg(F.collect_list(F.struct("name", "words", "lo", "hi")).alias("blocks"))
     windows = docs.join(doubtful, "doc_id").mapInArrow(_window_rows(window), "w1 long, w2 long, doc_id long, name long, words long, offset int")
+    windows = written(windows, "sd-windows")
     # of a group's windows, those that a smaller document than its own first one holds
-    earlier = windows.withColumn("m", F.min("doc_id").over(Window.partitionBy("w1", "w2"))).where("m < doc_id")
+    first = windows.groupBy("w1", "w2").agg(*ends("doc_id", "m", "d1")).where("m < d1").select("w1", "w2", "m")
+    first = written(first, "sd-first")
+    earlier = windows.join(first, ["w1", "w2"]).where("m < doc_id")
     matched = written(earlier.groupBy("name", "words").agg(F.collect_set("offset").alias("offsets")), "sd-matched")
+    drop_written(windows, first)
     known = groups.select("name", "words", F.col("doc_id").alias("m0")).join(matched, ["name", "words"], "left")
     gone = shared.join(known, ["name", "words"])
     gone = gone.select("doc_id", "lo", "hi", "words", "m0", F.when(F.col("m0") >= F.col("doc_id"), F.col("offsets")).alias("offsets")).where("m0 < doc_id or size(offsets) > 0")
