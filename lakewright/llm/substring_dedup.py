@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     matched = written(earlier.groupBy("name", "words").agg(F.collect_set("offset").alias("offsets")), "sd-matched")
     drop_written(windows, first)
     known = groups.select("name", "words", F.col("doc_id").alias("m0")).join(matched, ["name", "words"], "left")
+    known = written(known, "sd-known")  # Spark splits hot keys of a join of two tables, not of three
     gone = shared.join(known, ["name", "words"])
     gone = gone.select("doc_id", "lo", "hi", "words", "m0", F.when(F.col("m0") >= F.col("doc_id"), F.col("offsets")).alias("offsets")).where("m0 < doc_id or size(offsets) > 0")
     gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "words", "offsets")).alias("gone"))
