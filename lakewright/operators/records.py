@@ -93,6 +93,23 @@ def pair_audit(rows: DataFrame, id_: str, key: str, claims: str) -> DataFrame:
     return a.join(b, "k").where("a < b").where(none | ((F.size("ca") == 1) & (F.col("ca") == F.col("cb")))).select("k", "a", "b")
 
 
+def pair_classes(rows: DataFrame, id_: str, key: str, claims: str) -> DataFrame:
+    """(k, n, silent, pairs): rows of a key, those without a claim, and how many pairs pair_audit gives; no pair is made.
+
+    Pairs of a set are (n * n - sum over ids of their rows squared) / 2. A pair counts unless both sides claim
+    something; then it counts if both claim the same single thing.
+    """
+    c = F.col(claims)
+    one = rows.select(F.col(key).alias("k"), F.col(id_).alias("id"), c.alias("c")).where("k is not null and id is not null and c is not null")
+    one = one.groupBy("k", "c", "id").agg(F.count("*").alias("m"))
+    claimed = F.when(F.size("c") > 0, F.col("m")).otherwise(0)
+    ids = one.groupBy("k", "id").agg(F.sum("m").alias("m"), F.sum(claimed).alias("claimed"))
+    pairs = lambda v: (F.sum(v) * F.sum(v) - F.sum(F.col(v) * F.col(v))) / 2
+    whole = ids.groupBy("k").agg(F.sum("m").alias("n"), (F.sum("m") - F.sum("claimed")).alias("silent"), (pairs("m") - pairs("claimed")).alias("free"))
+    same = one.where("size(c) = 1").groupBy("k", "c").agg(pairs("m").alias("same")).groupBy("k").agg(F.sum("same").alias("same"))
+    return whole.join(same, "k", "left").select("k", "n", "silent", (F.col("free") + F.coalesce("same", F.lit(0.0))).cast("long").alias("pairs"))
+
+
 def negation_conflicts(members: DataFrame, cluster: str, doc: str, negated: str) -> DataFrame:
     """Clusters of several documents, and whether negated and plain members meet."""
     g = members.groupBy(cluster).agg(F.count("*").alias("size"), F.count_distinct(doc).alias("docs"), F.count_distinct(negated).alias("kinds"))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.values import dot
 
+#: Rows of a block that meets another in one task, and rows of it that are multiplied at a time (fixed values).
+BLOCK, TILE = 1024, 64
+
 
 def manifest_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """(key, change): added, removed or changed. A change needs a value on both sides."""
@@ -61,6 +69,66 @@ def similar_pairs(rows: DataFrame, id_: str, vector: str, block: str, least: flo
     return pairs.where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def _tiles(ids: np.ndarray, own: np.ndarray, vectors: np.ndarray, i: int, j: int):
+    """(ids of a tile's rows, ids of its columns, which cells are pairs, dot products). Products are summed in order, as a plain loop does."""
+    ids_b, b = ids[own == j], vectors[own == j].T.copy()
+    ids_a, a = ids[own == i], vectors[own == i]
+    for at in range(0, len(a), TILE):
+        rows, x = ids_a[at : at + TILE], a[at : at + TILE]
+        sums, part = np.zeros((len(x), b.shape[1])), np.empty((len(x), b.shape[1]))
+        for d in range(len(b)):
+            sums += np.multiply(x[:, d, None], b[d], out=part)
+        yield rows, ids_b, (rows[:, None] < ids_b if i == j else rows[:, None] != ids_b), sums
+
+
+def _met(rows: DataFrame, id_: str, vector: str, by: str, tile: Callable, schema: StructType | str) -> DataFrame:
+    """tile(ids of rows, ids of columns, is a pair, dot product) -> columns of schema, over every pair of rows that are equal in `by`.
+
+    A group is cut into blocks by a hash of the id, and any two of its blocks meet in a task of their own.
+    """
+    rows = rows.select(F.col(by).alias("g"), F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    blocks = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("g", "id", "v", "own", other).select("g", "id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, own = (table.column(c).to_numpy() for c in ("id", "own"))
+        flat = table.column("v").combine_chunks()
+        vectors = flat.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        found = [tile(*x) for x in _tiles(ids, own, vectors, key[1].as_py(), key[2].as_py())]
+        return pa.concat_tables(found) if found else empty
+
+    empty = pa.table({f.name: pa.array([], _ARROW[f.dataType.simpleString()]) for f in schema})
+    return rows.groupBy("g", "i", "j").applyInArrow(run, schema)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
+def all_similar_pairs(rows: DataFrame, id_: str, vector: str, by: str, least: float) -> DataFrame:
+    """(a, b, similarity): every pair a < b of vectors that are equal in `by`, with a dot product of at least `least`. Rows with nulls have no pair."""
+    kind = rows.schema[id_].dataType
+
+    def tile(a, b, pair, s):
+        x, y = np.nonzero(pair & (s >= least))
+        low, high = np.minimum(a[x], b[y]), np.maximum(a[x], b[y])
+        return pa.table({"a": pa.array(low, arrow), "b": pa.array(high, arrow), "similarity": s[x, y]})
+
+    arrow = _ARROW[kind.simpleString()]
+    return _met(rows, id_, vector, by, tile, StructType().add("a", kind).add("b", kind).add("similarity", "double"))
+
+
+def all_similarity_counts(rows: DataFrame, id_: str, vector: str, by: str, steps: int) -> DataFrame:
+    """(bucket, n): how many of those pairs have a dot product in each bucket of 1 / steps. Pairs are counted where they meet."""
+
+    def tile(a, b, pair, s):
+        at, n = np.unique(np.floor(s[pair] * steps).astype(np.int64), return_counts=True)
+        return pa.table({"bucket": at, "n": n.astype(np.int64)})
+
+    return _met(rows, id_, vector, by, tile, StructType().add("bucket", "long").add("n", "long")).groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
 def overlapping(ranges: DataFrame, marks: DataFrame, by: str, width: int) -> DataFrame:
     """(range_id, mark_id): ranges [start, stop) and marks of one group that overlap; meets on buckets of `width`, no cross join."""
     r = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))

@@ -78,6 +78,14 @@ def ambiguous_pairs(t: Tables):
     return records.pair_audit(t.pages.select("page_id", k.alias("k"), c.alias("c")), "page_id", "k", "c")
 
 
+@R.add(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS k, CASE WHEN page_id % 3 = 0 THEN [] ELSE [page_id % 2] END AS c FROM pages),
+    x AS (SELECT a.k, count(*) AS pairs FROM p a JOIN p b ON a.k = b.k AND a.page_id < b.page_id WHERE len(a.c) = 0 OR len(b.c) = 0 OR (len(a.c) = 1 AND a.c = b.c) GROUP BY 1)
+    SELECT k, n, silent, coalesce(pairs, 0) AS pairs FROM (SELECT k, count(*) AS n, count(*) FILTER (len(c) = 0) AS silent FROM p GROUP BY 1) LEFT JOIN x USING (k)""")
+def ambiguous_classes(t: Tables):
+    c = F.when(F.col("page_id") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("page_id") % 2))
+    return records.pair_classes(t.pages.select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("k"), c.alias("c")), "page_id", "k", "c")
+
+
 @R.add(r"""SELECT source, count(*) AS size, count(DISTINCT lang) > 1 AS cross_document, count(DISTINCT regexp_matches(lower(text), '(^|[^a-z])(not|no|never|without|cannot|neither|nor|lack of|failed to|absence of)([^a-z]|$)')) > 1 AS mixed_negation FROM documents GROUP BY 1""")
 def negation_conflicts(t: Tables):
     return records.negation_conflicts(t.documents.select("source", "lang", X.has_negation(F.col("text")).alias("negated")), "source", "lang", "negated")

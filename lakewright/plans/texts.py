@@ -65,6 +65,17 @@ def similarity_histogram(t: Tables):
     return p.groupBy(F.floor(F.col("similarity") * 20).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@R.add("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.1""")
+def label_similar_pairs(t: Tables):
+    p = relating.all_similar_pairs(t.embeddings, "vec_id", "embedding", "label", 0.1)
+    return p.withColumn("similarity", F.round("similarity", 6))
+
+
+@R.add("""SELECT CAST(floor(s * 20) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) GROUP BY 1""")
+def label_similarity_histogram(t: Tables):
+    return relating.all_similarity_counts(t.embeddings, "vec_id", "embedding", "label", 20)
+
+
 @R.add("""SELECT source, doc_id, n_chars, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3""")
 def longest_per_source(t: Tables):
     return ranking.top_per_group(t.documents.select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3)
