@@ -241,6 +241,15 @@ def linked_components(t: Tables):
     return identity.contraction_components(e.join(known, "b", "left_semi"), t.customer, "c_custkey")
 
 
+@R.add()
+def order_components(t: Tables):
+    # every order is a link; linked ids wrap at the table's largest. The recursive SQL would make all pairs of a component
+    ids = t.customer.agg((F.max("c_custkey") + 1).alias("ids"))  # one row
+    e = t.orders.crossJoin(ids).select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % F.col("ids")).alias("b")).distinct()
+    known = t.customer.select(F.col("c_custkey").alias("b"))
+    return identity.contraction_components(e.join(known, "b", "left_semi"), t.customer, "c_custkey")
+
+
 @R.add("SELECT user_id, arg_min(value, (CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id)) AS value FROM events WHERE value IS NOT NULL GROUP BY 1")
 def preferred_values(t: Tables):
     p = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
