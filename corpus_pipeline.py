@@ -40,10 +40,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, dealt to shards and shuffled within them."""
-    found = mixing.mix(docs).where("size(shards) > 0").groupBy("doc_id").agg(F.first("shards").alias("shards"))
-    rows = docs.join(found, "doc_id").withColumn("shard", F.explode("shards"))
-    key = F.xxhash64(F.lit(mixing.SEED), "doc_id", "shard")
+    """Each document as often as the mix takes it, dealt to shards and shuffled within them.
+
+    Rows without doc_id get a row number, so that each has its own place, shards and key (null: no part of a hash).
+    """
+    unnamed = written(docs.where("doc_id is null").withColumn("row", F.monotonically_increasing_id()), "mix-unnamed")
+    docs = docs.where("doc_id is not null").withColumn("row", F.lit(None).cast("long")).unionByName(unnamed)
+    found = mixing.mix(docs, keep=("row",)).where("size(shards) > 0").groupBy("doc_id", "row").agg(F.first("shards").alias("shards"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "shards")
+    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row"))).withColumn("shard", F.explode("shards"))
+    key = F.xxhash64(F.lit(mixing.SEED), "doc_id", "row", "shard")
     return rows.withColumn("key", key).repartition("shard", F.pmod("key", F.lit(64))).sortWithinPartitions("shard", "key").select(*COLUMNS)
 
 

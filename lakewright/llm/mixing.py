@@ -49,25 +49,25 @@ def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, c
     return out.select("source", "sid", "source_size", "n", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def placed(docs: DataFrame, seed: str = SEED, **goal) -> tuple[DataFrame, DataFrame]:
+def placed(docs: DataFrame, seed: str = SEED, keep: tuple = (), **goal) -> tuple[DataFrame, DataFrame]:
     """(rows with their place in their source's stream, sources with targets), both written."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("h"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in ("doc_id", *keep)])).alias("h"), *keep)
     rows = written(rows, "mix-rows")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = written(targets(totals, **goal), "mix-sources")
     buckets = F.ceil(F.col("n") / F.greatest(F.lit(500.0), F.sqrt("n")))
     part = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32)
     s = sources.select(F.col("source").alias("_source"), "sid", "n")
-    rows = rows.join(s, rows["source"].eqNullSafe(s["_source"])).select("doc_id", "sid", "size", "h", F.floor(part * buckets).alias("bucket"))
+    rows = rows.join(s, rows["source"].eqNullSafe(s["_source"])).select("doc_id", "sid", "size", "h", F.floor(part * buckets).alias("bucket"), *keep)
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     ahead = F.sum("words").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("words")
     sums = sums.select("sid", "bucket", ahead.alias("ahead"))
     own = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("before", F.sum("size").over(own) - F.col("size")).join(sums, ["sid", "bucket"])
-    return written(rows.select("doc_id", "sid", "size", "h", (F.col("ahead") + F.col("before")).alias("before")), "mix-placed"), sources
+    return written(rows.select("doc_id", "sid", "size", "h", (F.col("ahead") + F.col("before")).alias("before"), *keep), "mix-placed"), sources
 
 
-def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
+def taken(rows: DataFrame, sources: DataFrame, keep: tuple = ()) -> DataFrame:
     """Adds source_size, target, copies: how often the mix takes each document."""
     s = sources.select("sid", "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole"))
     s = s.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -82,7 +82,7 @@ def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.join(other, "sid", "left")
     flip = (F.col("size") > 0) & F.coalesce(F.col("before") == F.col("turned"), F.lit(False))
     copies = F.col("whole") + (F.col("extra") != flip).cast("long")
-    return rows.select("doc_id", "sid", "size", "h", "before", "source_size", "target", copies.alias("copies"))
+    return rows.select("doc_id", "sid", "size", "h", "before", "source_size", "target", copies.alias("copies"), *keep)
 
 
 def _ln_factorial(x: Column) -> Column:
@@ -139,10 +139,13 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = SEED) -> D
     return now.withColumn("end", ends).groupBy("sid").agg(F.array_sort(F.collect_list("end")).alias("ends"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: str = SEED, **goal) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, and the shards of its copies."""
-    rows, sources = placed(docs, seed, **goal)
-    rows = written(taken(rows, sources), "mix-taken")
+def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: str = SEED, keep: tuple = (), **goal) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target, taken, and the shards of its copies.
+
+    keep: columns that tell documents of one doc_id (or none) apart; they are part of the key and are returned.
+    """
+    rows, sources = placed(docs, seed, keep, **goal)
+    rows = written(taken(rows, sources, keep), "mix-taken")
     block = lambda copy: F.floor((F.col("before") + copy * F.col("source_size")) / block_words)
     last = F.when(F.col("copies") > 0, block(F.col("copies") - 1) + 1).otherwise(0)
     quotas = rows.groupBy("sid").agg(F.max(last).alias("blocks"))
@@ -150,4 +153,4 @@ def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, s
     rows = rows.join(ends, "sid")
     copies = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
     of = F.transform(copies, lambda c: F.least(F.lit(shards - 1), F.size(F.filter("ends", lambda e: e <= block(c)))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), of.alias("shards"), "h")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), of.alias("shards"), "h", *keep)

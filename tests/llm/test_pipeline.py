@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -45,3 +47,18 @@ def test_decontamination_keeps_clean_documents(spark):
     docs = spark.createDataFrame([(1, words), (2, f"{words} {bench}"), (3, bench), (4, None)], "doc_id long, text string")
     got = {r.doc_id: r.contaminated for r in decontaminate.digest(decontaminate.contamination(docs, spark.createDataFrame([(1, bench)], "item_id long, text string"))).collect()}
     assert got == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_mix_keeps_rows_without_id(spark):
+    """A lone source is taken 1.5 times, so each row appears once or twice, with or without doc_id."""
+    rows = [(None if i % 3 == 0 else i, f"text{i} " + "w " * (20 + i), "en", "s", 1) for i in range(60)]
+    rows += [(None, "same words twice", "en", "s", 1)] * 2 + [(None, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.source_mix(spark, docs, None)
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    times = Counter((r[0], r[1]) for r in rows if r[1])
+    assert out.columns == docs.columns and all(n <= got[k] <= 2 * n for k, n in times.items())
+    words = lambda c: sum(n * len((t or "").split()) for (_, t), n in c.items())
+    assert abs(words(got) - 1.5 * words(times)) <= 40
+    found = corpus_pipeline.tokens(spark, out, None).collect()
+    assert {d for r in found for d in r.doc_ids} >= {None}
