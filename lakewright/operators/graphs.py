@@ -1,4 +1,4 @@
-"""Trees, paths and link graphs by recursive queries and joins."""
+"""Trees, paths and link graphs by doubling and joins."""
 
 from __future__ import annotations
 
@@ -6,29 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_links, wikilinks
+from .identity import keep_rounds
 
 
-def paths(spark, nodes: str, id_: str, parent: str, label: str, depth: int = 50) -> DataFrame:
-    """(id, depth, path) from each root, over a view; a cycle ends at its first repeated node."""
-    return spark.sql(f"""
-      WITH RECURSIVE walk AS (
-        SELECT {id_} AS id, 0 AS depth, array({id_}) AS seen, CAST({label} AS string) AS path FROM {nodes} WHERE {parent} IS NULL
-        UNION ALL
-        SELECT n.{id_}, w.depth + 1, array_append(w.seen, n.{id_}), concat(w.path, '/', n.{label})
-        FROM walk w JOIN {nodes} n ON n.{parent} = w.id WHERE NOT array_contains(w.seen, n.{id_}) AND w.depth < {depth})
-      SELECT id, depth, path FROM walk""")
-
-
-def thread_roots(spark, messages: str, id_: str, parent: str, depth: int = 100) -> DataFrame:
-    """(id, root): follows parents to the last known one; in a cycle the smallest id met."""
-    return spark.sql(f"""
-      WITH RECURSIVE up AS (
-        SELECT {id_} AS id, {id_} AS at, {parent} AS next, array({id_}) AS seen FROM {messages}
-        UNION ALL
-        SELECT u.id, m.{id_}, m.{parent}, array_append(u.seen, m.{id_}) FROM up u JOIN {messages} m ON m.{id_} = u.next
-        WHERE NOT array_contains(u.seen, m.{id_}) AND size(u.seen) < {depth})
-      SELECT id, CASE WHEN max_by(cyclic, n) THEN min(at) ELSE max_by(at, n) END AS root FROM (
-        SELECT id, at, size(seen) AS n, next IS NOT NULL AND array_contains(seen, next) AS cyclic FROM up) GROUP BY id""")
+def paths(spark, nodes: str, id_: str, parent: str, label: str) -> DataFrame:
+    """(id, depth, path) from each root, over a view; a cycle ends at its first repeated node.
+
+    Each round doubles the length of the walks that do not start at a root and hangs them below the
+    paths found so far, so any depth ends after logarithmically many rounds. Rounds are checkpointed.
+    """
+    keep_rounds(spark)
+    rows = spark.table(nodes).select(F.col(parent).alias("top"), F.col(id_).alias("id"), F.array(F.col(id_)).alias("seen"), F.col(label).cast("string").alias("path"))
+    whole = rows.where("top is null").select("id", "seen", "path").checkpoint()
+    walks = rows.where("top is not null").checkpoint()
+
+    def below(upper: DataFrame, lower: DataFrame, *top: str) -> DataFrame:
+        lower = lower.select(F.col("top").alias("_top"), F.col("id").alias("_id"), F.col("seen").alias("_seen"), F.col("path").alias("_path"))
+        met = upper.join(lower, F.col("id") == F.col("_top")).where("not arrays_overlap(seen, _seen)")
+        return met.select(*top, F.col("_id").alias("id"), F.concat("seen", "_seen").alias("seen"), F.concat("path", F.lit("/"), "_path").alias("path"))
+
+    while not walks.isEmpty():
+        whole, walks = whole.union(below(whole, walks)).checkpoint(), below(walks, walks, "top").checkpoint()
+    return whole.select("id", (F.size("seen") - 1).alias("depth"), "path")
+
+
+def thread_roots(spark, messages: str, id_: str, parent: str) -> DataFrame:
+    """(id, root): follows parents to the last known one; in a cycle the smallest id met.
+
+    Pointers jump to their pointer's pointer, so any length ends after logarithmically many rounds;
+    each knows the smallest id it passed. A round that ends no chain leaves only those that run into a
+    cycle, and these are done when they have walked as many steps as there are such messages. Of
+    repeated ids the smallest parent counts. Messages without id have no thread. Rounds are checkpointed.
+    """
+    keep_rounds(spark)
+    rows = spark.table(messages).select(F.col(id_).alias("id"), F.col(parent).alias("parent")).where("id is not null")
+    rows = rows.groupBy("id").agg(F.min("parent").alias("parent")).checkpoint()
+    known = rows.select(F.col("id").alias("parent"), F.col("id").alias("up"))
+    at = F.coalesce("up", "id")
+    now = rows.join(known, "parent", "left").select("id", at.alias("at"), F.least("id", at).alias("low"), (at == F.col("id")).alias("done")).checkpoint()
+    # a message that answers itself is its own root, as is one whose parent is not known
+    steps, left, before = 1, now.where("not done").count(), None
+    while left and (left != before or steps < left):
+        to = now.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("low").alias("_low"), F.col("done").alias("_done"))
+        jumped = now.where("not done").join(to, "at").select("id", F.col("_at").alias("at"), F.least("low", "_low").alias("low"), F.col("_done").alias("done"))
+        now = now.where("done").union(jumped).checkpoint()
+        steps, before, left = 2 * steps, left, now.where("not done").count()
+    return now.select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("low")).alias("root"))
 
 
 def links(pages: DataFrame, id_: str, html: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_body
@@ -48,6 +48,13 @@ def line_containment(short: Column, long_: Column) -> Column:
     return F.when(F.size(a) > 0, shared / F.size(a)).otherwise(0.0)
 
 
+def keep_rounds(spark: SparkSession) -> None:
+    """Checkpoints need a folder; a local one is set only where none is configured."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.conf.set("spark.checkpoint.dir", "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+
+
 def contraction_components(edges: DataFrame, nodes: DataFrame, id_: str) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b); lone nodes are their own.
 
@@ -55,10 +62,7 @@ def contraction_components(edges: DataFrame, nodes: DataFrame, id_: str) -> Data
     long paths end after logarithmically many rounds. Rounds are checkpointed.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.conf.set("spark.checkpoint.dir", "/tmp/checkpoints")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    keep_rounds(edges.sparkSession)
     now = nodes.select(F.col(id_).alias("id"), F.col(id_).alias("label")).distinct()
     while True:
         heard = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
