@@ -1,49 +1,32 @@
-"""Connected components: union-find in one task up to a bound of edges, repeated contraction beyond it.
+"""Connected components by repeated contraction: no task gathers a component, whatever the number of edges.
 
-At most TASK_EDGES edges (16 bytes each) go to the union-find task. Above that no task gathers a
-component: every node hooks to the smallest node next to it, by a random order, and edges are renamed to their
+Every node hooks to the smallest node next to it, by a random order, and edges are renamed to their
 ends' parents until none is left. Labels are 64-bit hashes of ids; xxhash64 of one long is a
 bijection, so they never collide. Each round is a written table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-TASK_EDGES = 1_000_000
+from .common import drop_written, written
 
 
-def smallest_members(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Union-find: for each of 0 .. n - 1 the smallest one that links i - j lead to."""
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of 0 .. n - 1 the smallest one that links i - j lead to, by repeated minimum and jumping."""
     root = np.arange(n)
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        while root[b] != b:
-            root[b] = b = root[root[b]]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    while True:
-        up = root[root]
-        if (up == root).all():
-            return root
-        root = up
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
-    if pairs:
-        nodes, at = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
-        at = at.reshape(2, -1)
-        root = smallest_members(len(nodes), at[0], at[1])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new[root]]
+        if (new == root).all():
+            break
+        root = new
+    return root
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,17 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     The edges are read more than once: pass a written table.
     """
-    edges = edges.where("a <> b")
-    if edges.count() <= TASK_EDGES:
-        return edges.select("a", "b").coalesce(1).mapInArrow(_grouped, "node long, component long")
-    return contracted(edges)
-
-
-def contracted(edges: DataFrame) -> DataFrame:
-    """The same for any number of edges (a, b), a <> b."""
-    nodes = written(edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"), F.xxhash64("a").alias("label")), "cc-nodes")
     x, y = F.xxhash64("a"), F.xxhash64("b")
-    now = written(edges.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "cc-edges")
+    now = edges.where("a <> b")
+    nodes = written(now.select("a").union(now.select("b")).distinct().select(F.col("a").alias("node"), F.xxhash64("a").alias("label")), "cc-nodes")
+    now = written(now.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "cc-edges")
     while not now.isEmpty():
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "cc-parents")
@@ -70,7 +46,9 @@ def contracted(edges: DataFrame) -> DataFrame:
         moved = now.join(pa, "a").join(pb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
         chain = parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select(F.col("p").alias("a"), F.col("pp").alias("b"))
         moved = moved.union(chain).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        old = [now, nodes, parent]
         nodes = written(nodes.join(parent.select(F.col("a").alias("label"), "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "cc-nodes")
         now = written(moved.distinct(), "cc-edges")
+        drop_written(*old)
     smallest = nodes.groupBy("label").agg(F.min("node").alias("component"))
     return nodes.join(smallest, "label").select("node", "component")

@@ -1,16 +1,21 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
 Words are runs of letters and digits (all that is not ASCII counts), A-Z lower-cased. A window is
-`window` consecutive words of an item; a shorter item is one window. Each shard (an Arrow batch of
-documents) is reduced to the stretches of words whose neighbouring pairs all occur in the benchmark,
-which loses no occurrence; their concatenation is suffix-sorted, and its Burrows-Wheeler transform
-kept as a wavelet matrix. Windows are found by backward search over wavelet ranks, located by
-walking back to a sampled suffix position, and merged to spans of words in each document.
-
-The benchmark is searched in blocks of at most BLOCK_WORDS + PART_WORDS words, which is the bound on
-what goes to the tasks; items longer than PART_WORDS are cut into overlapping parts. Null or empty
-texts have no words, items without words no windows; an empty benchmark hits nothing. Repeated
-rows each get their result; repeated items count once.
+`window` consecutive words of an item; a shorter item is one window.
+
+Index. Each shard (documents of about SHARD_WORDS words, or one longer document) has its words numbered
+by their spelling, is suffix-sorted, and gets the wavelet matrix of its Burrows-Wheeler transform and
+every SAMPLE-th suffix position. Nothing is left out of it, and it does not depend on the benchmark:
+`build_index` gives a table that serves any benchmark.
+
+Search. The distinct windows are dealt by hash to blocks of about BLOCK_BYTES, which is the bound on what
+is broadcast. In each shard they are found by backward search over wavelet ranks, located by walking to a
+sampled suffix position, and merged to spans of words in each document.
+
+Null or empty texts have no words, items without words no windows; an empty benchmark hits nothing, an
+empty table gives none. Rows are told apart by their place in a shard, so each repeated row or doc_id
+has its own result; repeated items count once. A long text is one shard, whole within one task. Other
+columns of both tables are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,67 +25,121 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .textscan import ALNUM, row_words, slices, word_names, word_spans
+from .common import drop_written, written
+from .textscan import ALNUM, numbered, row_words, slices, word_spans
 
 WINDOW = 13
-BLOCK_WORDS, PART_WORDS = 400_000, 4096
+SHARD_WORDS, BLOCK_BYTES = 1 << 19, 4 << 20
 SAMPLE = 8
-_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_SPANS = "array<struct<start: long, stop: long>>"
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Suffix array of symbols, the last of which occurs nowhere else: some symbols at once, then by doubling what is still equal."""
+    n = len(symbols)
+    bits = max(1, int(symbols.max()).bit_length())
+    k = max(1, min(8, 62 // bits))
+    key = np.zeros(n, dtype=np.int64)
+    for d in range(k):
+        key <<= bits
+        key[: max(0, n - d)] |= symbols[d:]
+    order = np.argsort(key)
+    rank = np.zeros(n, dtype=np.int64)
+    base = np.zeros(n, dtype=np.int64)
+    open_, key = order, key[order]
+    while len(open_):
+        at = np.arange(len(open_))
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        old = np.concatenate([[True], base[1:] != base[:-1]])
+        new = base + np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(old, at, 0))
+        rank[open_] = new
+        rest = ~(head & np.append(head[1:], True))
+        open_ = open_[rest]
+        key = rank[open_] * (n + 1) + rank[np.minimum(open_ + k, n - 1)]
+        order = np.argsort(key)
+        open_, key = open_[order], key[order]
+        base = rank[open_]
+        k *= 2
+    out = np.empty(n, dtype=np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 class WaveletMatrix:
     """Ranks of symbols in a sequence; one cumulative bit count for each bit of a symbol."""
 
-    def __init__(self, seq: np.ndarray, bits: int):
-        self.ones, self.zeros, self.bits = [], [], bits
-        for b in range(bits - 1, -1, -1):
-            bit = (seq >> b) & 1
-            count = np.zeros(len(seq) + 1, dtype=np.int32)
+    def __init__(self, levels: list[np.ndarray]):
+        self.levels = levels
+        self.ones = []
+        for bit in levels:
+            count = np.zeros(len(bit) + 1, dtype=np.int32)
             np.cumsum(bit, out=count[1:])
             self.ones.append(count)
-            self.zeros.append(len(seq) - int(count[-1]))
-            seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
+        self.zeros = [len(c) - 1 - int(c[-1]) for c in self.ones]
+
+    @classmethod
+    def of(cls, seq: np.ndarray, bits: int) -> WaveletMatrix:
+        levels = []
+        for b in range(bits - 1, -1, -1):
+            bit = ((seq >> b) & 1).astype(bool)
+            levels.append(bit)
+            seq = np.concatenate([seq[~bit], seq[bit]])
+        return cls(levels)
 
     def rank(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each end."""
         start = np.zeros_like(end)
+        top = len(self.ones) - 1
         for k, (count, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
-            one = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
+            one = ((symbol >> (top - k)) & 1).astype(bool)
             r, s = count[end], count[start]
             end = np.where(one, zeros + r, end - r)
             start = np.where(one, zeros + s, start - s)
         return end - start
 
+    def symbols(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), dtype=np.int64)
+        for bit, count, zeros in zip(self.levels, self.ones, self.zeros, strict=True):
+            one = bit[at]
+            out = out * 2 + one
+            at = np.where(one, zeros + count[at], at - count[at])
+        return out
+
 
 class FMIndex:
-    """Of a text of symbols 1.. in which 0 separates segments; no pattern holds a 0."""
+    """Of a text of symbols 1.. in which 0 ends each document; no pattern holds a 0."""
+
+    def __init__(self, tree: WaveletMatrix, below: np.ndarray, kept: np.ndarray, samples: np.ndarray):
+        self.tree, self.below, self.kept, self.samples = tree, below, kept, samples
+        self.n, self.kept_before = len(kept), np.cumsum(kept) - kept
 
-    def __init__(self, text: np.ndarray, symbols: int):
+    @classmethod
+    def of(cls, text: np.ndarray, symbols: int) -> FMIndex:
         n = len(text)
         cut = text == 0
-        rank = np.where(cut, np.cumsum(cut) - 1, text + int(cut.sum()))  # separators all differ
-        sa, k = np.argsort(rank, kind="stable"), 1
-        while True:
-            new = np.zeros(n, dtype=np.int64)
-            second = np.zeros(n, dtype=np.int64)
-            second[: n - k] = rank[k:] + 1
-            key = rank * (int(rank.max()) + 2 + n) + second if k < n else rank
-            sa = np.argsort(key, kind="stable")
-            new[sa[1:]] = np.cumsum(key[sa[1:]] != key[sa[:-1]])
-            rank, k = new, 2 * k
-            if rank[sa[-1]] == n - 1 or k >= n:
-                break
-        self.n = n
-        self.bwt = np.where(sa > 0, text[sa - 1], 0)
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
-        self.tree = WaveletMatrix(self.bwt, max(1, int(symbols).bit_length()))
+        sa = suffix_order(np.where(cut, np.cumsum(cut) - 1, text + int(cut.sum())))  # ends of documents all differ
         place = np.arange(n) - np.maximum.accumulate(np.where(cut, np.arange(n), -1)) - 1
-        kept = (place % SAMPLE == 0)[sa] | cut[sa]
-        self.kept, self.kept_before, self.samples = kept, np.cumsum(kept) - kept, sa[kept]
+        kept = ((place % SAMPLE == 0) | cut)[sa]
+        bwt = np.where(sa > 0, text[sa - 1], 0)
+        below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
+        return cls(WaveletMatrix.of(bwt, max(1, int(symbols).bit_length())), below, kept, sa[kept])
+
+    def packed(self) -> list[bytes]:
+        bits = np.packbits(np.stack([*self.tree.levels, self.kept]), axis=1)
+        return [bits.tobytes(), np.diff(self.below).astype(np.int32).tobytes(), self.samples.astype(np.int32).tobytes()]
+
+    @classmethod
+    def unpacked(cls, bits: bytes, counts: bytes, samples: bytes) -> FMIndex:
+        below = np.concatenate([[0], np.cumsum(np.frombuffer(counts, dtype=np.int32), dtype=np.int64)])
+        n = int(below[-1])
+        rows = np.unpackbits(np.frombuffer(bits, dtype=np.uint8).reshape(-1, -(-n // 8)), axis=1, count=n).astype(bool)
+        return cls(WaveletMatrix(list(rows[:-1])), below, rows[-1], np.frombuffer(samples, dtype=np.int32).astype(np.int64))
 
     def ranges(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges of patterns, one in a row, aligned left."""
@@ -104,160 +163,146 @@ class FMIndex:
             done = open_[known]
             out[done] = self.samples[self.kept_before[rows[done]]] + steps[done]
             open_ = open_[~known]
-            c = self.bwt[rows[open_]]
+            c = self.tree.symbols(rows[open_])
             rows[open_] = self.below[c] + self.tree.rank(c, rows[open_])
             steps[open_] += 1
         return out
 
 
-class Phrases:
-    """The windows of a block of benchmark parts, over the block's own vocabulary."""
-
-    def __init__(self, parts: list[tuple[str, str]], window: int):
-        names, ids = [], []
-        for item, text in parts:
-            raw = np.frombuffer(text.encode(), dtype=np.uint8)
-            s, e, _ = word_spans(raw, np.array([0, len(raw)]), ALNUM)
-            if len(s):
-                names.append(word_names(raw, s, e, lower=True))
-                ids.append(item)
-        self.vocab = np.unique(np.concatenate(names)) if names else np.zeros(0, dtype=np.uint64)
-        self.items = sorted(set(ids))
-        number = {x: k for k, x in enumerate(self.items)}
-        rows: dict[tuple, set[int]] = {}
-        pairs = []
-        for item, own in zip(ids, names, strict=True):
-            word = np.searchsorted(self.vocab, own) + 1
-            pairs.append(word[:-1] * (len(self.vocab) + 1) + word[1:])
-            length = min(window, len(word))
-            for k in range(len(word) - length + 1):
-                rows.setdefault(tuple(word[k : k + length].tolist()), set()).add(number[item])
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
-        self.lengths = np.array([len(x) for x in rows], dtype=np.int64)
-        self.rows = np.zeros((len(rows), window), dtype=np.int64)
-        for k, x in enumerate(rows):
-            self.rows[k, : len(x)] = x
-        self.of = [sorted(x) for x in rows.values()]
-        self.shortest = int(self.lengths.min()) if rows else 0
-        self.single = np.unique(self.rows[self.lengths == 1, 0])
-
-    def stretches(self, names: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols, positions) of the words that can be part of an occurrence; symbol 0 after each stretch."""
-        v = len(self.vocab)
-        at = np.minimum(np.searchsorted(self.vocab, names), v - 1)
-        word = np.where(self.vocab[at] == names, at + 1, 0)
-        both = np.flatnonzero((word[:-1] > 0) & (word[1:] > 0) & (row[:-1] == row[1:]))
-        key = word[both] * (v + 1) + word[both + 1]
-        if len(self.pairs):
-            p = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            both = both[self.pairs[p] == key]
-        else:
-            both = both[:0]
-        linked = np.zeros(len(word) + 1, dtype=bool)  # linked[i]: words i - 1 and i belong together
-        linked[both + 1] = True
-        keep = linked[:-1] | linked[1:]
-        if len(self.single):
-            keep |= np.isin(word, self.single)
-        pos = np.flatnonzero(keep)
-        if not len(pos):
-            return pos, pos
-        new = ~linked[:-1][pos]
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(pos)))
-        long_ = np.repeat(size >= self.shortest, size)
-        pos, new = pos[long_], new[long_]
-        group = np.cumsum(new) - 1
-        out = np.zeros(len(pos) + (int(group[-1]) + 1 if len(pos) else 0), dtype=np.int64)
-        where = np.full(len(out), -1, dtype=np.int64)
-        slot = np.arange(len(pos)) + group
-        out[slot], where[slot] = word[pos], pos
-        return out, where
-
-
-def _search(phrases: Phrases):
+def _index(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents -> shards: doc_ids, words of each, vocabulary, index."""
+        part, made = TaskContext.get().partitionId(), 0
+        ids, counts, bufs, words, held = [], [], [], [], 0
+
+        def shard() -> pa.RecordBatch:
+            nonlocal ids, counts, bufs, words, held, made
+            data, sizes = np.concatenate(bufs), np.concatenate(words)
+            ends = np.cumsum(sizes)
+            number, vocabulary = numbered(data, ends - sizes, ends, np.ones(256, dtype=bool))
+            count = np.concatenate(counts)
+            text = np.insert(number + 1, np.cumsum(count), 0)
+            bits, freq, samples = FMIndex.of(text, len(vocabulary)).packed()
+            doc_ids = pa.concat_arrays(ids)
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], type=pa.int32()), a)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + made]), one(doc_ids), one(pa.array(count.astype(np.int64))), one(vocabulary.cast(pa.binary())), *[pa.array([b], type=pa.binary()) for b in (bits, freq, samples)]],
+                ["shard", "doc_ids", "counts", "vocabulary", "bits", "freq", "samples"],
+            )
+            ids, counts, bufs, words, held = [], [], [], [], 0
+            made += 1
+            return out
+
         for batch in batches:
-            rows = batch.num_rows
-            ids = batch.column(0)
-            counts, symbols, places, at_row, words = [], [], [], 0, 0
-            for part, buf, off in slices(batch, "text"):
-                s, e, wrow = word_spans(buf, off, ALNUM)
-                counts.append(np.diff(row_words(wrow, part.num_rows)))
-                if len(phrases.vocab) and len(s):
-                    sym, place = phrases.stretches(word_names(buf, s, e, lower=True), wrow)
-                    symbols.append(sym)
-                    places.append(np.where(place >= 0, place + words, -1))
-                words += len(s)
-                at_row += part.num_rows
-            count = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
-            first = np.concatenate([[0], np.cumsum(count)])
-            items: dict[int, list[str]] = {}
-            spans: dict[int, list[dict]] = {}
-            text = np.concatenate(symbols) if symbols else np.zeros(0, dtype=np.int64)
-            if len(text):
-                place = np.concatenate(places)
-                index = FMIndex(text, len(phrases.vocab))
-                low, high = index.ranges(phrases.rows, phrases.lengths)
-                size = np.maximum(high - low, 0)
-                which = np.repeat(np.arange(len(size)), size)
-                suffix = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which]
-                start = place[index.locate(suffix)]
-                order = np.argsort(start, kind="stable")
-                start, which = start[order], which[order]
-                stop = np.maximum.accumulate(start + phrases.lengths[which]) if len(start) else start
-                row = np.searchsorted(first, start, side="right") - 1
-                found: dict[int, set[int]] = {}
-                for r, w in zip(*(x.tolist() for x in _distinct(row, which)), strict=True):
-                    found.setdefault(r, set()).update(phrases.of[w])
-                items = {r: sorted(phrases.items[k] for k in x) for r, x in found.items()}
-                head = np.ones(len(start), dtype=bool)
-                head[1:] = start[1:] >= stop[:-1]  # a stretch never crosses documents
-                heads = np.flatnonzero(head)
-                ends = stop[np.append(heads[1:], len(start)) - 1] if len(start) else stop
-                for r, a, b in zip(row[heads].tolist(), (start[heads] - first[row[heads]]).tolist(), (ends - first[row[heads]]).tolist(), strict=True):
-                    spans.setdefault(r, []).append({"start": a, "stop": b})
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(count.astype(np.int64)), pa.array([items.get(r, []) for r in range(rows)], type=pa.list_(pa.string())), pa.array([spans.get(r, []) for r in range(rows)], type=kind)], ["doc_id", "n_words", "items", "spans"])
+            for rows, buf, off in slices(batch, "text", min(1 << 19, 8 * most)):
+                s, e, row = word_spans(buf, off, ALNUM)
+                n = np.diff(row_words(row, rows.num_rows))
+                if held and held + len(s) + len(n) > most:
+                    yield shard()
+                low = buf[ALNUM[buf]].copy()
+                low[(low >= 0x41) & (low <= 0x5A)] += 32
+                ids.append(rows.column(0))
+                counts.append(n)
+                bufs.append(low)
+                words.append(e - s)
+                held += len(s) + len(n)
+        if held:
+            yield shard()
 
     return run
 
 
-def _distinct(row: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    width = int(which.max()) + 1 if len(which) else 1
-    key = np.unique(row * width + which)
-    return key // width, key % width
-
-
-def parts_of(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item, part, block): items as strings, cut to at most PART_WORDS words that overlap by a window."""
-    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD), F.lit(0))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("w")).where("size(w) > 0").distinct()
-    step = PART_WORDS - window + 1
-    begin = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)), F.lit(step))
-    cut = items.select("item", F.explode(begin).alias("at"), "w").select("item", "at", F.slice("w", F.col("at"), PART_WORDS).alias("w"))
-    upto = F.sum(F.size("w")).over(Window.orderBy("item", "at", "w").rowsBetween(Window.unboundedPreceding, -1))
-    block = F.floor(F.coalesce(upto, F.lit(0)) / BLOCK_WORDS)
-    return cut.select("item", F.array_join("w", " ").alias("part"), block.alias("block"))
+def build_index(docs: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
+    """docs (doc_id, text) -> a row for each shard; write it before it is searched, as shards are numbered by task."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(_index(most), f"shard long, doc_ids array<{kind}>, counts array<long>, vocabulary array<binary>, bits binary, freq binary, samples binary")
+
+
+def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(words, items): the distinct windows of the items and, sorted, which items have them."""
+    low = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("w")).where("item is not null and size(w) > 0")
+    begin = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))
+    cut = items.select("item", F.explode(F.transform(begin, lambda i: F.slice("w", i, window))).alias("words"))
+    return cut.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards, each with a block of windows -> the documents with hits: shard, row, items, spans."""
+    for batch in batches:
+        col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+        for k in range(batch.num_rows):
+            words, items = col["words"][k].values, col["items"][k].values
+            size = words.value_lengths().to_numpy().astype(np.int64)
+            number = pc.index_in(words.flatten().cast(pa.binary()), value_set=col["vocabulary"][k].values).fill_null(-1).to_numpy().astype(np.int64) + 1
+            first = np.cumsum(size) - size
+            known = np.flatnonzero(np.minimum.reduceat(number, first) > 0) if len(size) else first
+            if not len(known):
+                continue
+            length = size[known]
+            patterns = np.zeros((len(known), int(length.max())), dtype=np.int64)
+            for t in range(patterns.shape[1]):
+                on = np.flatnonzero(length > t)
+                patterns[on, t] = number[first[known[on]] + t]
+            index = FMIndex.unpacked(*[col[c][k].as_py() for c in ("bits", "freq", "samples")])
+            low, high = index.ranges(patterns, length)
+            times = np.maximum(high - low, 0)
+            which = np.repeat(np.arange(len(times)), times)
+            suffix = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + low[which]
+            start = index.locate(suffix)
+            order = np.argsort(start, kind="stable")
+            start, which = start[order], which[order]
+            if not len(start):
+                continue
+            begin = np.concatenate([[0], np.cumsum(col["counts"][k].values.to_numpy() + 1)])  # each document and its end
+            row = np.searchsorted(begin, start, side="right") - 1
+            stop = np.maximum.accumulate(start + length[which])
+            head = np.concatenate([[True], (start[1:] >= stop[:-1]) | (row[1:] != row[:-1])])
+            at = np.flatnonzero(head)
+            ends = stop[np.append(at[1:], len(start)) - 1]
+            spans: dict[int, list[dict]] = {}
+            for r, a, b in zip(row[at].tolist(), (start[at] - begin[row[at]]).tolist(), (ends - begin[row[at]]).tolist(), strict=True):
+                spans.setdefault(r, []).append({"start": a, "stop": b})
+            width = len(known)
+            both = np.unique(row * width + which)
+            named: dict[int, set[str]] = {}
+            for r, w in zip((both // width).tolist(), known[both % width].tolist(), strict=True):
+                named.setdefault(r, set()).update(items[w].as_py())
+            rows = sorted(spans)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([col["shard"][k].as_py()] * len(rows), type=pa.int64()), pa.array(rows, type=pa.int64()), pa.array([sorted(named[r]) for r in rows], type=pa.list_(pa.string())), pa.array([spans[r] for r in rows], type=kind)],
+                ["shard", "row", "items", "spans"],
+            )
+
+
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, items (sorted), spans (of words, disjoint and sorted within a block); one row for each document of the index."""
+    windows = written(windows_of(benchmark, window), "dc-windows")
+    size = windows.agg(F.sum(F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " ")))).first()[0] or 0
+    blocks = -(-size // block_bytes)
+    dealt = windows.groupBy(F.pmod(F.xxhash64("words"), F.lit(max(1, blocks))).alias("block")).agg(F.collect_list(F.struct("words", "items")).alias("x"))
+    dealt = written(dealt.select("block", "x.words", "x.items"), "dc-blocks")
+    hits = []
+    for b in range(blocks):
+        one = index.withColumn("block", F.explode(F.array(F.lit(b).cast("long")))).join(F.broadcast(dealt.where(F.col("block") == b)), "block")
+        hits.append(written(one.drop("doc_ids", "block").mapInArrow(_found, f"shard long, row long, items array<string>, spans {_SPANS}"), f"dc-hits-{b}"))
+    rows = index.select("shard", F.posexplode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("counts").alias("n_words"))).alias("row", "x"))
+    rows = rows.select("shard", F.col("row").cast("long"), "x.doc_id", "x.n_words")
+    none = F.array().cast("array<string>"), F.array().cast(_SPANS)
+    if not hits:
+        return rows.select("doc_id", "n_words", none[0].alias("items"), none[1].alias("spans"))
+    all_ = reduce(DataFrame.union, hits).groupBy("shard", "row").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "spans")])
+    out = rows.join(all_, ["shard", "row"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("items", none[0]).alias("items"), F.coalesce("spans", none[1]).alias("spans"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, items (sorted), spans (of words, merged); one row for each row of docs."""
-    parts = written(parts_of(benchmark, window), "dc-parts")
-    blocks = [r[0] for r in parts.select("block").distinct().orderBy("block").collect()] or [0]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, items array<string>, spans array<struct<start: long, stop: long>>"
-    found = []
-    for b in blocks:
-        own = [(r.item, r.part) for r in parts.where(F.col("block") == b).collect()]
-        found.append(docs.select("doc_id", "text").mapInArrow(_search(Phrases(own, window)), schema))
-    if len(found) == 1:
-        return found[0]
-    # the same rows from each block: repeated rows agree, so one result for each (doc_id, n_words) and the rows again
-    all_ = written(reduce(DataFrame.union, [f.withColumn("block", F.lit(b)) for f, b in zip(found, blocks, strict=True)]), "dc-blocks")
-    rows = all_.where(F.col("block") == blocks[0]).select("doc_id", "n_words")
-    hits = all_.where("size(spans) > 0").groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n"), "items", "spans")
-    out = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_id"]) & (F.col("n_words") == F.col("_n")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"))
+    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, n_words, items, spans; one row for each row of docs."""
+    index = written(build_index(docs), "dc-index")
+    found = written(search(index, benchmark, window), "dc-found")
+    drop_written(index)
+    return found
 
 
 def digest(found: DataFrame) -> DataFrame:

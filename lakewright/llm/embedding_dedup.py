@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
+from .components import components, local_roots
 from .textscan import U, mix
 
 COSINE = 0.93
@@ -158,7 +158,7 @@ def _links(dims: int, k: int, tables: int, cosine: float):
         links = np.zeros(len(ids), dtype=np.int64)
         np.add.at(links, row[i], copies[j])
         np.add.at(links, row[j], copies[i])
-        root = _local_roots(len(ids), row[i], row[j])
+        root = local_roots(len(ids), row[i], row[j])
         keep = links > 0
         return pa.table({"rep": ids[keep], "links": links[keep], "other": ids[root][keep]})
 

@@ -6,14 +6,19 @@ of the slots: at step j it offers slot p(j) the value j + r. Ranks within an ele
 which lowers the variance of plain MinHash, and a document stops once no slot holds a rank above j.
 The permutation is affine, which keeps each slot's rank uniform.
 
-Equal sets form a class, represented by its smallest doc_id; only representatives go on. They meet
-in buckets of bands: 32 of 4 rows, so that a pair at 0.8 misses all of them once in 2e7. Pairs of a
-bucket with 80 of 128 equal slots (a pair at 0.8 has 102 +- 4.5) join families, and all pairs of a
-family are compared on full sets: 100 * |A & B| >= 80 * |A | B|. Large buckets and families are cut into
-pieces, and each pair of pieces is compared within a task that sends on spanning edges only, never
-its pairs.
-
-Repeated rows are copies of each other. Null and empty texts have n_shingles 0 and stay alone.
+Texts of equal words (by a 128-bit hash of their spelling) form a class, represented by its smallest
+doc_id; only representatives go on. They meet in buckets of bands: 32 of 4 rows, so that a pair at 0.8
+misses all of them once in 2e7. Pairs of a bucket with 80 of 128 equal slots (a pair at 0.8 has
+102 +- 4.5) join families; tasks send on spanning edges only, never the pairs of a bucket.
+
+Verification is on full sets, with words told apart by their bytes: 100 * |A & B| >= 80 * |A | B|.
+  1. Each spanning edge of a family is verified: a hub's text goes once to each piece of its members.
+  2. A family that this joins to one component is done. In the others all pairs of members of
+     different components are compared, piece by piece.
+
+Repeated rows are copies of each other. Null and empty texts have n_shingles 0 and stay alone, as a row
+without doc_id does in its class only if no other row has its words. A long text is whole within one
+task. An empty table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,48 +31,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components, smallest_members
-from .textscan import NOT_SPACE, U, mix, row_words, seeded, slices, word_names, word_spans
+from .components import components, local_roots
+from .textscan import NOT_SPACE, Spelled, U, mix, names_of, numbered, row_words, seeded, slices, word_spans
 
 SLOTS, BANDS, ROWS = 128, 32, 4
 LEAST_EQUAL_SLOTS = 80
 #: Rows of a bucket in one piece; a family's pieces, which carry texts, are half as large.
 PIECE = 512
 
-_PLACE = seeded(21, 8) | U(1)
 _BAND = seeded(22, ROWS) | U(1)
 
 
-def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, name) of the distinct shingles of each row, in no order within it."""
-    rows = len(off) - 1
-    starts, ends, wrow = word_spans(buf, off, NOT_SPACE)
-    names = word_names(buf, starts, ends, lower=True)
-    first = row_words(wrow, rows)
-    count = np.diff(first)
-    n = len(names)
-    place = seeded(21, words) | U(1)
-    row, value = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
-    if n >= words:
-        value = np.zeros(n - words + 1, dtype=U)
+class Shingles:
+    """The distinct shingles of each row of a slice: their rows, and numbers that are equal only for equal words."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, words: int):
+        rows = len(off) - 1
+        self.starts, self.ends, wrow = word_spans(buf, off, NOT_SPACE)
+        self.word, self.vocabulary = numbered(buf, self.starts, self.ends, NOT_SPACE, lower=True)
+        self.first = row_words(wrow, rows)
+        count = np.diff(self.first)
+        n = len(self.word)
+        begin = np.zeros(0, dtype=np.int64)
+        if n >= words:
+            begin = np.flatnonzero(wrow[: n - words + 1] == wrow[words - 1 :])
+        few = np.flatnonzero((count > 0) & (count < words))
+        begin = np.concatenate([begin, self.first[few]])
+        size = np.concatenate([np.full(len(begin) - len(few), words), count[few]])
+        row = wrow[begin]
+        self.spelt = np.full((len(begin), words), -1, dtype=np.int32)  # -1 after the end of a short text
         for k in range(words):
-            value += names[k : n - words + 1 + k] * place[k]
-        ok = wrow[: n - words + 1] == wrow[words - 1 :]
-        row, value = wrow[: n - words + 1][ok], mix(value[ok])
-    few = np.flatnonzero((count > 0) & (count < words))
-    if len(few):
-        own = np.zeros(len(few), dtype=U)
-        for k in range(words - 1):
-            has = count[few] > k
-            own[has] += names[first[few[has]] + k] * place[k]
-        row, value = np.concatenate([row, few]), np.concatenate([value, mix(own + count[few].astype(U))])
-    key = mix(value ^ mix(row.astype(U) + U(7)))
-    order = np.argsort(key)
-    key = key[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    keep = np.sort(order[new])
-    return row[keep], value[keep]
+            has = np.flatnonzero(size > k)
+            self.spelt[has, k] = self.word[begin[has] + k]
+        raw = pa.Array.from_buffers(pa.binary(4 * words), len(begin), [None, pa.py_buffer(self.spelt)])
+        number = raw.dictionary_encode().indices.to_numpy().astype(np.int64)
+        key = row * (len(begin) + 1) + number
+        order = np.argsort(key)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = np.diff(key[order]) != 0
+        keep = order[new]  # by row
+        self.row, self.number, self.spelt = row[keep], number[keep], self.spelt[keep]
+
+    def names(self) -> np.ndarray:
+        """A 64-bit name of each shingle, the same in every task."""
+        words = np.append(names_of(self.vocabulary), U(0))  # the last one for -1
+        place = seeded(21, self.spelt.shape[1]) | U(1)
+        return mix((words[self.spelt] * place).sum(axis=1, dtype=U))
 
 
 def super_minhash(row: np.ndarray, value: np.ndarray, rows: int, slots: int = SLOTS) -> np.ndarray:
@@ -77,10 +86,11 @@ def super_minhash(row: np.ndarray, value: np.ndarray, rows: int, slots: int = SL
     at = mix(value + U(0x1234567)) & U(slots - 1)
     stride = (mix(value + U(0x89ABCDE)) & U(slots - 1)) | U(1)
     base = row.astype(U) * U(slots)
+    turn = seeded(23, slots)
     for j in range(slots):
         if not len(value):
             break
-        offer = (mix(value ^ (U(j + 1) * U(0x9E3779B97F4A7C15))) >> U(8)) | (U(j) << U(56))
+        offer = (mix(value ^ turn[j]) >> U(8)) | (U(j) << U(56))
         np.minimum.at(flat, (base + at).astype(np.int64), offer)
         going = ~(sig < (U(j + 1) << U(56))).all(axis=1)
         on = going[row]
@@ -95,12 +105,10 @@ def _sign(words: int):
         for batch in batches:
             for part, buf, off in slices(batch, "text"):
                 rows = part.num_rows
-                row, value = shingles(buf, off, words)
-                n = np.bincount(row, minlength=rows).astype(np.int64)
-                f1, f2 = np.zeros(rows, dtype=U), np.zeros(rows, dtype=U)
-                np.add.at(f1, row, mix(value + U(3)))
-                np.add.at(f2, row, mix(value ^ U(0x5555555555555555)))
-                sig = super_minhash(row, value, rows)
+                own = Shingles(buf, off, words)
+                n = np.bincount(own.row, minlength=rows).astype(np.int64)
+                f1, f2 = Spelled(buf, own.starts, own.ends, NOT_SPACE, lower=True).digests(own.first[:-1], own.first[1:])
+                sig = super_minhash(own.row, own.names(), rows)
                 grouped = sig.reshape(rows, BANDS, ROWS)
                 bands = np.zeros((rows, BANDS), dtype=U)
                 for k in range(ROWS):
@@ -109,7 +117,7 @@ def _sign(words: int):
                 small = np.ascontiguousarray((mix(sig) & U(255)).astype(np.uint8))
                 at = pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.view(np.int64).reshape(-1))), pa.array([x.tobytes() for x in small], type=pa.binary())],
+                    [part.column(0), pa.array(n), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(at, pa.array(bands.view(np.int64).reshape(-1))), pa.array([x.tobytes() for x in small], type=pa.binary())],
                     ["doc_id", "n_shingles", "f1", "f2", "bands", "sig"],
                 )
 
@@ -148,7 +156,7 @@ def _spanning(rep: np.ndarray, i: list, j: list) -> pa.Table:
     """Edges that join the same members as rows i - j do."""
     i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (i, j))
     ids, at = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
-    root = smallest_members(len(ids), at[: len(i)], at[len(i) :])
+    root = local_roots(len(ids), at[: len(i)], at[len(i) :])
     own = root != np.arange(len(ids))
     return pa.table({"a": ids[root[own]], "b": ids[own]})
 
@@ -168,44 +176,60 @@ def _maybe(table: pa.Table) -> pa.Table:
 
 
 def _sets_of(texts: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, name) of the shingles of a column of texts, by row."""
-    rows, values, first = [], [], 0
-    batch = pa.RecordBatch.from_arrays([texts.combine_chunks()], ["text"])
-    for part, buf, off in slices(batch, "text"):
-        row, value = shingles(buf, off, words)
-        order = np.argsort(row, kind="stable")
-        rows.append(row[order] + first)
-        values.append(value[order])
-        first += part.num_rows
-    return np.concatenate(rows), np.concatenate(values)
+    """Shingle numbers of a column of texts, and where each text's begin."""
+    batch = pa.RecordBatch.from_arrays([texts.cast(pa.large_string()).combine_chunks()], ["text"])
+    (_, buf, off), *_ = slices(batch, "text", 1 << 62)  # one slice: numbers hold within it
+    own = Shingles(buf, off, words)
+    return own.number, np.searchsorted(own.row, np.arange(len(texts) + 1))
+
+
+def _star_links(words: int, percent: int):
+    """Of hubs and pieces of their members, with texts: the edges whose full sets are similar enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number, start = _sets_of(table.column("text"), words)
+        size = np.diff(start)
+        hub, rep, piece = (table.column(c).to_numpy() for c in ("hub", "rep", "piece"))
+        order = np.lexsort((rep != hub, piece, hub))
+        there = np.zeros(int(number.max(initial=-1)) + 1, dtype=bool)
+        found = []
+        for own in np.split(order, np.flatnonzero((np.diff(hub[order]) != 0) | (np.diff(piece[order]) != 0)) + 1):
+            x, rest = own[0], own[1:]
+            there[number[start[x] : start[x + 1]]] = True
+            shared = np.array([there[number[start[y] : start[y + 1]]].sum() for y in rest.tolist()], dtype=np.int64)
+            there[number[start[x] : start[x + 1]]] = False
+            found.append(rest[(shared > 0) & (100 * shared >= percent * (size[x] + size[rest] - shared))])
+        good = np.concatenate(found)
+        return pa.table({"a": hub[good], "b": rep[good]})
+
+    return run
 
 
 def _verified(words: int, percent: int):
-    """Of families with their texts: edges over all pairs whose full sets are similar enough."""
+    """Of families with their texts: edges over all pairs of different parts whose full sets are similar enough."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        row, value = _sets_of(table.column("text"), words)
-        start = np.searchsorted(row, np.arange(table.num_rows + 1))
+        rep, part = table.column("rep").to_numpy(), table.column("part").to_numpy()
+        number, start = _sets_of(table.column("text"), words)
         size = np.diff(start)
         left, right = [], []
         for own, a, b in _groups(table, "family"):
             # who holds each shingle of the group
             places = np.concatenate([np.arange(start[x], start[x + 1]) for x in own.tolist()])
-            number = np.unique(value[places], return_inverse=True)[1]
+            mine_of = np.unique(number[places], return_inverse=True)[1]
             holder = np.repeat(np.arange(len(own)), size[own])
-            order = np.argsort(number, kind="stable")
-            holders, first = holder[order], np.concatenate([[0], np.cumsum(np.bincount(number))])
+            order = np.argsort(mine_of, kind="stable")
+            holders, first = holder[order], np.concatenate([[0], np.cumsum(np.bincount(mine_of))])
             bounds = np.concatenate([[0], np.cumsum(size[own])])
             local = {x: k for k, x in enumerate(own.tolist())}
             in_b = np.isin(own, b)
             for x in a.tolist():
                 k = local[x]
-                mine = number[bounds[k] : bounds[k + 1]]
+                mine = mine_of[bounds[k] : bounds[k + 1]]
                 count = first[mine + 1] - first[mine]
                 at = np.repeat(first[mine] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
                 shared = np.bincount(holders[at], minlength=len(own))
-                ok = in_b & (100 * shared >= percent * (size[x] + size[own] - shared)) & (shared > 0)
+                ok = in_b & (part[own] != part[x]) & (100 * shared >= percent * (size[x] + size[own] - shared)) & (shared > 0)
                 other = own[ok]
                 other = other[other > x] if a is b else other
                 left.append(np.full(len(other), x))
@@ -215,6 +239,15 @@ def _verified(words: int, percent: int):
     return run
 
 
+def _stars(edges: DataFrame, piece: int) -> DataFrame:
+    """edges (a, b) -> hub, rep, piece: members b dealt to pieces of about `piece` rows, and the hub a in each piece."""
+    sizes = written(edges.groupBy("a").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces")), "mh-stars")
+    members = edges.join(sizes, "a").select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.pmod(F.xxhash64("b", F.lit(7)), F.col("pieces")).cast("int").alias("piece"))
+    # a piece that the hash leaves empty holds its hub alone, which links with nothing
+    hubs = sizes.select(F.col("a").alias("hub"), F.col("a").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    return members.union(hubs)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id long, text) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(words), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"), "mh-signed")
@@ -225,11 +258,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket", "n")
     members = pieced(banded.join(shared.select("bucket"), "bucket"), "bucket", "rep", PIECE, 8192)
     maybe = members.join(reps.select("rep", "sig"), "rep").groupBy("task").applyInArrow(_maybe, "a long, b long")
-    families = written(components(written(maybe.distinct(), "mh-maybe")).toDF("rep", "family"), "mh-families")
+    maybe = written(maybe.distinct(), "mh-maybe")
+    families = written(components(maybe).toDF("rep", "family"), "mh-families")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(families.select("rep"), "rep", "left_semi")
     texts = written(texts.groupBy("rep").agg(F.min("text").alias("text")), "mh-texts")
-    compared = pieced(families, "family", "rep", PIECE // 2, 512).join(texts, "rep")
-    links = written(compared.groupBy("task").applyInArrow(_verified(words, percent), "a long, b long"), "mh-links")
+    stars = _stars(maybe, PIECE // 2).join(texts, "rep")
+    tasks = max(1, -(-maybe.count() // 512))
+    stars = stars.groupBy(F.pmod(F.xxhash64("hub", "piece"), F.lit(tasks)).alias("task"))
+    linked = written(stars.applyInArrow(_star_links(words, percent), "a long, b long"), "mh-linked")
+    parts = components(linked).withColumnRenamed("node", "rep")
+    parts = written(families.join(parts, "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("part")), "mh-parts")
+    open_ = parts.groupBy("family").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("family")
+    rest = written(parts.join(open_, "family").select("rep", "family", "part"), "mh-open")
+    compared = pieced(rest.select("rep", "family"), "family", "rep", PIECE // 2, 512).join(rest.select("rep", "part"), "rep").join(texts, "rep")
+    links = written(compared.groupBy("task").applyInArrow(_verified(words, percent), "a long, b long").union(linked), "mh-links")
     found = written(components(links).withColumnRenamed("node", "rep"), "mh-found")
     classes = reps.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", *key).join(classes, key, "left")

@@ -78,12 +78,12 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     low = np.concatenate([[0], np.cumsum(_LOWER[buf] | _FAR[buf], dtype=np.int64)])
     up = np.concatenate([[0], np.cumsum(_UPPER[buf], dtype=np.int64)])
     shout = (low[e] == low[s]) & (up[e] - up[s] >= 2)
-    names = word_names(buf, s, e, lower=True)
+    names = word_names(buf, s, e, NOT_SPACE, lower=True)
     distinct, top = _repeats(rows, row, names)
     near = row[1:] == row[:-1]
     pairs = np.bincount(row[1:][near], minlength=rows)
     distinct_pairs, _ = _repeats(rows, row[1:][near], mix(names[:-1][near] * U(3) + names[1:][near]))
-    distinct_lines, _ = _repeats(rows, lrow, word_names(buf, ls, le))
+    distinct_lines, _ = _repeats(rows, lrow, word_names(buf, ls, le, _LINE))
     spread = np.sqrt(np.maximum(np.bincount(row, length * length, minlength=rows) / np.maximum(n, 1) - mean * mean, 0))
     columns = [np.log1p(size), np.log1p(n), mean, longest, n / np.maximum(lines, 1), *kinds]
     columns += [np.where(size > 0, 1 - sum(kinds), 0)]

@@ -6,17 +6,20 @@ and the round. A name is a keyed hash of its parts, so it is the same in every d
 executor, without a shuffled dictionary in each round. A symbol also carries the stretch of words
 that its making depended on. Wherever that stretch recurs, so does the symbol.
 
+Names only propose; what is removed is compared by 128-bit hashes of the words' spelling (BLAKE2b).
+
 Each window of `window` words is represented by an anchor: the first symbol of the highest round
 whose stretch lies within the window. Equal windows have equal anchors. Neighbouring windows with one
-anchor form a block (name, hash of its words, document, first and last window):
+anchor form a block (name, hash of its spelling, document, first and last window):
   1. Names found in one document only are dropped: their windows have no equal elsewhere.
   2. A block whose words recur as a block of a smaller document is removed as a whole.
   3. Blocks with a shared name but other words (at the ends of repeats) are compared window by
-     window, on 128-bit hashes, one block for each distinct text.
+     window, on the hashes of the windows, one block for each distinct text.
   4. Each document loses the words of its removed windows.
 
 Windows never cross documents and are judged on the input. Copies in the same doc_id, or in rows
-with a null doc_id, remove nothing. Null texts have no words. A name or window that many documents share
+with a null doc_id, remove nothing. Null texts have no words; a long text is whole within one task. An
+empty table gives none; other columns are ignored, whatever their names. A name or window that many documents share
 is summed up before the shuffle and then joined to its short rows, a join whose hot keys Spark splits.
 """
 
@@ -30,27 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
-from .textscan import NOT_SPACE, U, mix, row_words, seeded, slices, word_names, word_spans
+from .textscan import NOT_SPACE, Spelled, U, mix, row_words, seeded, slices, word_names, word_spans
 
 WINDOW = 50
 ROUNDS = 10
 _K = seeded(31, 8) | U(1)
 _SIDE = seeded(32, 64)
-BASES = (U(0xD1342543DE82EF95), U(0xF1357AEA2E62A9C5))
-
-
-class SpanHash:
-    """Hashes of any stretch of a word sequence, from prefix sums of a polynomial mod 2**64."""
-
-    def __init__(self, names: np.ndarray, base: np.uint64):
-        n = len(names)
-        up = np.cumprod(np.concatenate([[U(1)], np.full(n, base, dtype=U)]))
-        self.back = np.cumprod(np.concatenate([[U(1)], np.full(n, U(pow(int(base), -1, 1 << 64)), dtype=U)]))
-        self.sums = np.zeros(n + 1, dtype=U)
-        np.cumsum(names * up[:n], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(U))
 
 
 def rounds_of(names: np.ndarray, row: np.ndarray, window: int) -> list[tuple[np.ndarray, ...]]:
@@ -135,22 +123,17 @@ def blocks(names: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray,
     return start[heads], start[tails], name[heads]
 
 
-def _named(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    s, e, row = word_spans(buf, off, NOT_SPACE)
-    return s, e, row, word_names(buf, s, e)
-
-
 def _block_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in slices(batch, "text"):
-                s, e, row, names = _named(buf, off)
-                lo, hi, name = blocks(names, row, window)
-                words = SpanHash(names, BASES[0])(lo, hi + window)
+                s, e, row = word_spans(buf, off, NOT_SPACE)
+                lo, hi, name = blocks(word_names(buf, s, e, NOT_SPACE), row, window)
+                k1, k2 = Spelled(buf, s, e, NOT_SPACE).digests(lo, hi + window)
                 own = row[lo]
                 first = row_words(row, part.num_rows)[own]
                 ids = part.column(0).take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(words.view(np.int64)), ids, pa.array((lo - first).astype(np.int32)), pa.array((hi - first).astype(np.int32))], ["name", "words", "doc_id", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(k1), pa.array(k2), ids, pa.array((lo - first).astype(np.int32)), pa.array((hi - first).astype(np.int32))], ["name", "k1", "k2", "doc_id", "lo", "hi"])
 
     return run
 
@@ -163,29 +146,34 @@ def _listed(part: pa.RecordBatch, column: str):
     return flat, np.repeat(np.arange(part.num_rows), lens)
 
 
+def _own(flat: pa.Array, own: np.ndarray, first: np.ndarray, spelled: Spelled, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words and last windows of listed blocks, and which blocks are of this text (a doc_id may have several)."""
+    lo, hi = (flat.field(x).to_numpy().astype(np.int64) + first[own] for x in ("lo", "hi"))
+    good = np.flatnonzero(hi + window <= first[own + 1])
+    k1, k2 = spelled.digests(lo[good], hi[good] + window)
+    return lo, hi, good[(k1 == flat.field("k1").to_numpy()[good]) & (k2 == flat.field("k2").to_numpy()[good])]
+
+
 def _window_rows(window: int):
     """Of documents with their listed blocks: a row for each window of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in slices(batch, "text"):
-                s, e, row, names = _named(buf, off)
+                s, e, row = word_spans(buf, off, NOT_SPACE)
                 first = row_words(row, part.num_rows + 1)
+                spelled = Spelled(buf, s, e, NOT_SPACE)
                 flat, own = _listed(part, "blocks")
-                lo, hi = (flat.field(x).to_numpy().astype(np.int64) + first[own] for x in ("lo", "hi"))
-                hash1, hash2 = SpanHash(names, BASES[0]), SpanHash(names, BASES[1])
-                words = flat.field("words").to_numpy()
-                good = hi + window <= first[own + 1]
-                good[good] = hash1(lo[good], hi[good] + window).view(np.int64) == words[good]  # not another text with this id
-                good = np.flatnonzero(good)
+                lo, hi, good = _own(flat, own, first, spelled, window)
                 size = hi[good] - lo[good] + 1
                 at = np.repeat(np.arange(len(good)), size)
                 offset = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
                 start = lo[good][at] + offset
+                w1, w2 = spelled.digests(start, start + window)
                 source = pa.array(good[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hash1(start, start + window).view(np.int64)), pa.array(hash2(start, start + window).view(np.int64)), part.column(0).take(pa.array(own[good][at])), flat.field("name").take(source), flat.field("words").take(source), pa.array(offset.astype(np.int32))],
-                    ["w1", "w2", "doc_id", "name", "words", "offset"],
+                    [pa.array(w1), pa.array(w2), part.column(0).take(pa.array(own[good][at])), flat.field("name").take(source), flat.field("k1").take(source), flat.field("k2").take(source), pa.array(offset.astype(np.int32))],
+                    ["w1", "w2", "doc_id", "name", "k1", "k2", "offset"],
                 )
 
     return run
@@ -198,22 +186,19 @@ def _cut(window: int):
         for batch in batches:
             for part, buf, off in slices(batch, "text"):
                 rows = part.num_rows
-                s, e, row, names = _named(buf, off)
+                s, e, row = word_spans(buf, off, NOT_SPACE)
                 first = row_words(row, rows + 1)
                 flat, own = _listed(part, "gone")
-                change = np.zeros(len(names) + 1, dtype=np.int64)
+                change = np.zeros(len(s) + 1, dtype=np.int64)
                 if len(flat):
-                    lo, hi = (flat.field(x).to_numpy().astype(np.int64) + first[own] for x in ("lo", "hi"))
-                    good = hi + window <= first[own + 1]
-                    good[good] = SpanHash(names, BASES[0])(lo[good], hi[good] + window).view(np.int64) == flat.field("words").to_numpy()[good]
+                    lo, hi, good = _own(flat, own, first, Spelled(buf, s, e, NOT_SPACE), window)
                     some = flat.field("offsets")
-                    whole = some.is_null().to_numpy(zero_copy_only=False)
-                    for a, b in ((lo[good & whole], hi[good & whole] + window),):
-                        np.add.at(change, a, 1)
-                        np.add.at(change, b, -1)
+                    whole = good[some.is_null().to_numpy(zero_copy_only=False)[good]]
+                    np.add.at(change, lo[whole], 1)
+                    np.add.at(change, hi[whole] + window, -1)
                     offsets = some.flatten().to_numpy().astype(np.int64)
                     at = np.repeat(np.arange(len(flat)), some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                    ok = good[at]
+                    ok = np.isin(at, good)
                     a = lo[at][ok] + offsets[ok]
                     np.add.at(change, a, 1)
                     np.add.at(change, a + window, -1)
@@ -239,30 +224,32 @@ def _cut(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id long, text) -> doc_id, n_words, n_removed, kept_text; one row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = docs.where("doc_id is not null").mapInArrow(_block_rows(window), "name long, words long, doc_id long, lo int, hi int")
+    found = docs.where("doc_id is not null").mapInArrow(_block_rows(window), "name long, k1 long, k2 long, doc_id long, lo int, hi int")
     found = written(found, "sd-blocks")
     ends = lambda c, a, b: (F.min(c).alias(a), F.max(c).alias(b))
-    names = found.groupBy("name").agg(*ends("doc_id", "d0", "d1"), *ends("words", "w0", "w1")).where("d0 < d1")
-    names = written(names.select("name", (F.col("w0") < F.col("w1")).alias("mixed")), "sd-names")
+    names = found.groupBy("name").agg(*ends("doc_id", "d0", "d1"), *ends("k1", "a0", "a1"), *ends("k2", "b0", "b1")).where("d0 < d1")
+    names = written(names.select("name", F.expr("a0 < a1 or b0 < b1").alias("mixed")), "sd-names")
     shared = written(found.join(names, "name"), "sd-shared")
     drop_written(found, names)
-    groups = shared.groupBy("name", "words").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("x"), F.max("mixed").alias("mixed"))
-    groups = written(groups.select("name", "words", "x.*", "mixed"), "sd-groups")
-    doubtful = groups.where("mixed").groupBy("doc_id").agg(F.collect_list(F.struct("name", "words", "lo", "hi")).alias("blocks"))
-    windows = docs.join(doubtful, "doc_id").mapInArrow(_window_rows(window), "w1 long, w2 long, doc_id long, name long, words long, offset int")
+    block = ["name", "k1", "k2"]
+    groups = shared.groupBy(*block).agg(F.min(F.struct("doc_id", "lo", "hi")).alias("x"), F.max("mixed").alias("mixed"))
+    groups = written(groups.select(*block, "x.*", "mixed"), "sd-groups")
+    doubtful = groups.where("mixed").groupBy("doc_id").agg(F.collect_list(F.struct(*block, "lo", "hi")).alias("blocks"))
+    windows = docs.join(doubtful, "doc_id").mapInArrow(_window_rows(window), "w1 long, w2 long, doc_id long, name long, k1 long, k2 long, offset int")
     windows = written(windows, "sd-windows")
     # of a group's windows, those that a smaller document than its own first one holds
     first = windows.groupBy("w1", "w2").agg(*ends("doc_id", "m", "d1")).where("m < d1").select("w1", "w2", "m")
     first = written(first, "sd-first")
     earlier = windows.join(first, ["w1", "w2"]).where("m < doc_id")
-    matched = written(earlier.groupBy("name", "words").agg(F.collect_set("offset").alias("offsets")), "sd-matched")
+    matched = written(earlier.groupBy(*block).agg(F.collect_set("offset").alias("offsets")), "sd-matched")
     drop_written(windows, first)
-    known = groups.select("name", "words", F.col("doc_id").alias("m0")).join(matched, ["name", "words"], "left")
+    known = groups.select(*block, F.col("doc_id").alias("m0")).join(matched, block, "left")
     known = written(known, "sd-known")  # Spark splits hot keys of a join of two tables, not of three
-    gone = shared.join(known, ["name", "words"])
-    gone = gone.select("doc_id", "lo", "hi", "words", "m0", F.when(F.col("m0") >= F.col("doc_id"), F.col("offsets")).alias("offsets")).where("m0 < doc_id or size(offsets) > 0")
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "words", "offsets")).alias("gone"))
+    gone = shared.join(known, block)
+    gone = gone.select("doc_id", "lo", "hi", "k1", "k2", "m0", F.when(F.col("m0") >= F.col("doc_id"), F.col("offsets")).alias("offsets")).where("m0 < doc_id or size(offsets) > 0")
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "k1", "k2", "offsets")).alias("gone"))
     gone = written(gone, "sd-gone")
+    drop_written(shared, groups, matched, known)
     return docs.join(gone, "doc_id", "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -1,12 +1,14 @@
 """Words of Arrow text columns as numpy arrays, without a Python object for each word.
 
 Texts are taken as UTF-8 bytes in slices of a few MB, so memory is bounded by the longest text.
-Words get 64-bit names from a keyed polynomial over their bytes.
+Within a task words are numbered by their bytes. Between tasks they have 64-bit names, which only
+propose candidates: what is decided is decided on words, or on 128-bit hashes of their spelling.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,6 @@ def seeded(seed: int, n: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U) + U(seed) * U(1 << 32)) * U(0x9E3779B97F4A7C15))
 
 
-_BYTE_NAMES = seeded(11, 256)
-_BASE = U(0xD6E8FEB86659FD93)
-
-
 def byte_set(pairs: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     for a, b in pairs:
@@ -86,20 +84,48 @@ def word_spans(buf: np.ndarray, off: np.ndarray, allowed: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
-def word_names(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit name of each word's bytes."""
+def numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, allowed: np.ndarray, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the words that word_spans found, and the distinct words (large binary) in the order of these numbers.
+
+    Words are told apart by their bytes, so equal numbers mean equal words.
+    """
+    data = buf[allowed[buf]]
+    data = np.ascontiguousarray(LOWER[data] if lower else data)
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary
+
+
+def names_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit name of each of some byte strings, cut from a cryptographic hash."""
+    raw = b"".join(blake2b(w, digest_size=8).digest() for w in words.to_pylist())
+    return np.frombuffer(raw, dtype=U)
+
+
+def word_names(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, allowed: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The 64-bit name of each word."""
     if len(starts) == 0:
         return np.zeros(0, dtype=U)
-    a = starts[0]
-    part = buf[a : ends[-1]]
-    gaps = np.diff(np.append(starts, ends[-1]))
-    place = np.arange(len(part)) - np.repeat(starts - a, gaps)
-    lens = ends - starts
-    powers = np.cumprod(np.full(int(gaps.max()), _BASE, dtype=U))
-    values = (_BYTE_NAMES[LOWER] if lower else _BYTE_NAMES)[part]
-    values *= powers[place]
-    values[place >= np.repeat(lens, gaps)] = 0
-    return mix(np.add.reduceat(values, starts - a) + lens.astype(U) * U(0x9E3779B97F4A7C15))
+    number, words = numbered(buf, starts, ends, allowed, lower)
+    return names_of(words)[number]
+
+
+class Spelled:
+    """Words of a slice spelled with one space after each; gives 128-bit hashes of stretches of them."""
+
+    def __init__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, allowed: np.ndarray, lower: bool = False):
+        data = buf[allowed[buf]]
+        stops = np.cumsum(ends - starts)
+        self.text = memoryview(np.insert(LOWER[data] if lower else data, stops, 0x20).tobytes())
+        self.at = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])
+
+    def digests(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words start .. stop - 1 of each stretch: two longs."""
+        text = self.text
+        raw = b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(self.at[start].tolist(), self.at[stop].tolist(), strict=True)])
+        both = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def row_words(words_row: np.ndarray, rows: int) -> np.ndarray:

@@ -81,25 +81,47 @@ def test_contamination_matches_brute_force(spark, sf_dir, frame, documents):
     assert got == sorted(brute.contamination(documents, items), key=repr)
 
 
-def test_contamination_in_blocks(spark, sf_dir, frame, documents, monkeypatch):
+def test_contamination_in_blocks(spark, sf_dir, frame, documents):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     items += [(900, documents[7][1]), (905, documents[11][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
-    monkeypatch.setattr(decontaminate, "PART_WORDS", 64)
-    got = rows_of(decontaminate.digest(decontaminate.contamination(frame, bench)))
+    index = decontaminate.build_index(frame, most=700).cache()
+    assert index.count() > 10
+    got = rows_of(decontaminate.digest(decontaminate.search(index, bench, block_bytes=60_000)))
     assert got == sorted(brute.contamination(documents, items), key=repr)
     none = decontaminate.digest(decontaminate.contamination(frame, bench.limit(0)))
     assert none.where("n_hit > 0 or n_items > 0").count() == 0
 
 
+def test_contamination_of_rows_with_one_id_in_blocks(spark):
+    """Rows of one doc_id with as many words keep their own hits; extra columns clash with inner names."""
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, a, 5), (1, b, 6), (None, a, 7)], "doc_id long, text string, shard long")
+    bench = spark.createDataFrame([(1, a, "x"), (2, " ".join(f"c{i}" for i in range(20)), "y")], "item_id long, text string, words string")
+    index = decontaminate.build_index(docs).cache()
+    for size in (1 << 20, 50):
+        got = sorted((r.doc_id or -1, r.n_hit) for r in decontaminate.digest(decontaminate.search(index, bench, block_bytes=size)).collect())
+        assert got == [(-1, 20), (1, 0), (1, 20)]
+
+
+def test_suffix_order_of_copies():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    part = rng.integers(10, 14, 50)
+    text = np.concatenate([np.concatenate([part, [k]]) for k in range(8)] + [np.full(70, 12), [9]])
+    want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    assert decontaminate.suffix_order(text).tolist() == want
+
+
 def test_fm_index_counts_all_substrings():
     import numpy as np
 
     rng = np.random.default_rng(3)
     text = rng.integers(0, 4, 300)
     text[-1] = 0
-    index = decontaminate.FMIndex(text, 3)
+    made = decontaminate.FMIndex.of(text, 3)
+    index = decontaminate.FMIndex.unpacked(*made.packed())
     for size in (1, 2, 3):
         for pattern in np.ndindex(*[3] * size):
             p = np.array([pattern]) + 1
@@ -133,6 +155,21 @@ def test_byte_shards(frame, documents):
     assert sharding.shard(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_chain(spark):
+    """Neighbours are near, the ends are not, and a boilerplate keeps all in one family."""
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(40):
+        own = list(base)
+        for k in range(i):
+            own[k * 7 % 300] = f"y{k}"
+        docs.append((i, " ".join(own)))
+    docs += [(100 + i, " ".join(base[:230] + [f"z{i}_{k}" for k in range(70)])) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 4).collect()}
+    assert got == brute.near(docs)
+
+
 def test_near_duplicates_in_pieces(spark, monkeypatch):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
@@ -148,11 +185,38 @@ def test_near_duplicates_in_pieces(spark, monkeypatch):
     assert got == brute.near(docs)
 
 
-def test_contraction_agrees_with_union_find(spark, monkeypatch):
+def test_contraction_of_random_edges(spark):
     from lakewright.llm import components
 
     rng = random.Random(4)
-    edges = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)], "a long, b long")
-    one = sorted(map(tuple, components.components(edges).collect()))
-    monkeypatch.setattr(components, "TASK_EDGES", 0)
-    assert sorted(map(tuple, components.components(edges).collect())) == one
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in linked}
+
+
+def unlike_words():
+    """Two words of 1024 bytes that a polynomial hash modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_that_differ(spark):
+    one, two = unlike_words()
+    tail = " ".join(f"k{i}" for i in range(60))
+    df = spark.createDataFrame([(1, one, "", ""), (2, two, "", ""), (3, f"{one} {tail[:180]}", "", ""), (4, f"{two} {tail[:180]}", "", "")], SCHEMA)
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 4).collect()} == brute.near(docs)
+    assert rows_of(substring_dedup.digest(substring_dedup.remove_repeats(df, 20))) == sorted(brute.repeats(docs, 20), key=repr)
+    bench = spark.createDataFrame([(7, one)], "item_id long, text string")
+    assert rows_of(decontaminate.digest(decontaminate.contamination(df, bench))) == sorted(brute.contamination(docs, [(7, one)]), key=repr)
