@@ -1,11 +1,12 @@
 """Embedding near-duplicates by collision counting over sorted one-dimensional projections.
 
-A table has a random projection by which vectors are sorted, and coarse cells of `CELLS_K` further
-projections that keep unlike vectors apart. Two vectors of one label collide in a table if their
-cells agree and each lies in the other's window on the sorted projection. A pair that collides in at
-least COUNT tables is verified by cosine in double precision. The number of tables is the least at
-which a pair at the threshold reaches COUNT with probability RECALL, from the normal law of projected
-differences; the number of cell projections grows with the logarithm of the largest label.
+A table has a random projection and coarse cells of further projections that keep unlike vectors
+apart: in 64 dimensions a one-dimensional window alone holds most of a label. Within each cell vectors are
+sorted by the table's projection, and each vector's window on it gives the candidates: those that collide
+with it in this table. A pair that collides in at least COUNT tables is verified by cosine in double
+precision. The number of tables is the least at which a pair at the threshold reaches COUNT with probability
+RECALL, from the normal law of projected differences; the number of cell projections grows with the
+logarithm of the largest label.
 
 Only cells with two or more vectors get vectors sent. A large cell is cut by a hash into pieces of
 about PIECE rows, and every pair of pieces is a task, so no cell is one task's work. A pair counts in
@@ -13,7 +14,8 @@ the first table in which it collides, so no list of pairs is gathered to make it
 for each vector how many links they found, and edges that span their linked groups.
 
 Equal vectors of a label form a class and travel once; links of a class count its copies. Null, zero
-and non-finite vectors, null labels and null ids link with nothing; nor do vectors of other lengths.
+and non-finite vectors, null labels and null ids link with nothing; nor do vectors of other lengths. An
+empty table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,37 +104,32 @@ def _cells(dims: int, k: int, tables: int):
     return run
 
 
-def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest member of each one's group under links i-j, by repeated minimum and jumping."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new[root]]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
-def _pairs(group: np.ndarray, piece: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of one group that lie in its pieces p and q."""
-    order = np.argsort(group, kind="stable")
-    cut = np.flatnonzero(np.diff(group[order])) + 1
-    left, right = [], []
-    for own in np.split(order, cut):
-        if p[own[0]] == q[own[0]]:
-            i, j = np.triu_indices(len(own), 1)
-            left.append(own[i])
-            right.append(own[j])
-        else:
-            low = piece[own] == p[own[0]]
-            x, y = own[low], own[~low]
-            left.append(np.repeat(x, len(y)))
-            right.append(np.tile(y, len(x)))
-    return np.concatenate(left), np.concatenate(right)
+def _windows(group: np.ndarray, place: np.ndarray, first: np.ndarray, both: np.ndarray, span: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of one group that lie in each other's window on the sorted projection, some at a time.
+
+    A group within one piece (not both) pairs all its rows; one of two pieces pairs the first piece's rows (first) with the other's.
+    Groups stand one after the other on a line, so one sort and one search serve all of them.
+    """
+    line = group * (4.0 * span) + place  # |place| < span
+    reach = WINDOW + 1e-9  # rounding on the line; callers compare places
+    order = np.argsort(line, kind="stable")
+    target = order[~(both & first)[order]]  # rows that are looked for
+    query = order[(~both | first)[order]]
+    low = np.searchsorted(line[target], line[query] - reach, side="left")
+    high = np.searchsorted(line[target], line[query] + reach, side="right")
+    after = np.searchsorted(line[target], line[query], side="left")  # within a piece, each pair once: those behind in the order
+    at = np.empty(len(group), dtype=np.int64)
+    at[target] = np.arange(len(target))
+    low = np.where(both[query], low, np.maximum(after, at[query] + 1) if len(query) else low)
+    count = np.maximum(high - low, 0)
+    ends = np.cumsum(count)
+    i = 0
+    while i < len(query):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, side="right")))
+        n = count[i:j]
+        k = np.repeat(low[i:j] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        yield np.repeat(query[i:j], n), target[k]
+        i = j
 
 
 def _links(dims: int, k: int, tables: int, cosine: float):
@@ -143,10 +140,9 @@ def _links(dims: int, k: int, tables: int, cosine: float):
         x = _unit(table.column("v").combine_chunks(), dims)
         names, place = made(x)
         group = np.unique(mix(column("cell").view(U) + mix(t.astype(U) + mix(column("p").astype(U) * U(65536) + column("q").astype(U)))), return_inverse=True)[1]
-        left, right = _pairs(group, column("piece"), column("p"), column("q"))
+        both = column("p") != column("q")
         out_i, out_j = [], []
-        for s in range(0, len(left), PAIRS):
-            i, j = left[s : s + PAIRS], right[s : s + PAIRS]
+        for i, j in _windows(group, place[np.arange(len(t)), t], column("piece") == column("p"), both, math.sqrt(dims) + 1):
             hit = (names[i] == names[j]) & (np.abs(place[i] - place[j]) <= WINDOW)
             ok = (hit.sum(axis=1) >= COUNT) & (hit.argmax(axis=1) == t[i]) & hit[np.arange(len(i)), t[i]] & (label[i] == label[j])
             i, j = i[ok], j[ok]

@@ -9,13 +9,17 @@ Quotas. Each source's documents stand in a keyed permutation, its stream; the st
 after its end. The documents whose middle lies before the target are taken, then one document is
 added or left out if that comes closer to the target. Streams are cut into blocks of `block_words`.
 
-Shards. A splitting tree halves the shards; at each node the left half's share of every source's
-blocks is a multivariate hypergeometric draw, made source by source, so quotas stay exact and each
-shard is a fair sample. Shards then own disjoint runs of permuted blocks and order rows by a key.
+Draw. A splitting tree halves the shards; at each node the left half's share of every source's blocks
+is a multivariate hypergeometric draw, made by halving the sources as well, so quotas stay exact and each
+shard is a fair sample. Shards then own disjoint runs of permuted blocks: a draw is one copy of one
+document with its shard, block and place. A shard's blocks stand in a keyed order, and so do the rows of a
+block. What the mix takes of a document is what its draws add up to.
 
 Positions come from sums for each (source, key bucket), with about sqrt(rows) rows in a bucket, so a
-source that holds a third of all rows is no single task's work. Null texts have size 0. Repeated
-rows are documents of their own. An empty table gives an empty mix.
+source that holds a third of all rows is no single task's work. A source is one row of the small tables
+(targets, quotas), which are sorted in one task. Null texts have size 0. Rows are told apart by a row
+number, so repeated rows and null ids are documents of their own. An empty table gives an empty mix. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +56,8 @@ def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, c
 def placed(docs: DataFrame, seed: str = SEED, keep: tuple = (), **goal) -> tuple[DataFrame, DataFrame]:
     """(rows with their place in their source's stream, sources with targets), both written."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in ("doc_id", *keep)])).alias("h"), *keep)
-    rows = written(rows, "mix-rows")
+    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-rows")
+    keep = ("rid", *keep)
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = written(targets(totals, **goal), "mix-sources")
     buckets = F.ceil(F.col("n") / F.greatest(F.lit(500.0), F.sqrt("n")))
@@ -114,43 +119,70 @@ def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> C
     return F.least(b, at)
 
 
+def drawn_shares(rows: DataFrame, levels: int, seed: Column) -> DataFrame:
+    """rows (node, sid, c, room): adds k, how many of a source's c are among the room drawn of its node's.
+
+    The sources of a node are halved `levels` times, by the bits of sid. Each row follows its own half down, and rows of one half
+    draw the same numbers from the same sums, so no row holds the other sources.
+    """
+    part = lambda j: F.shiftright("sid", j)
+    for j in range(levels + 1):
+        rows = rows.withColumn(f"t{j}", F.sum("c").over(Window.partitionBy("node", part(j))))
+    rows = rows.withColumn("k", F.col("room"))
+    for j in range(levels - 1, -1, -1):  # from halves of 2 ** (j + 1) sources to those of 2 ** j
+        left = part(j) % 2 == 0
+        low = F.when(left, F.col(f"t{j}")).otherwise(F.col(f"t{j + 1}") - F.col(f"t{j}"))
+        u = F.pmod(F.xxhash64(seed, "node", F.lit(j), part(j + 1)), F.lit(1 << 52)) / float(1 << 52)
+        rows = rows.withColumn("low", low).withColumn("u", u)
+        rows = rows.withColumn("got", hypergeometric(F.col("u"), F.col(f"t{j + 1}"), F.col("low"), F.col("k")).cast("long"))
+        rows = rows.withColumn("k", F.when(left, F.col("got")).otherwise(F.col("k") - F.col("got")))
+    return rows.select("node", "sid", "c", "k")
+
+
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """quotas (sid, blocks) -> (sid, ends): ends[k] is the first block after shard k's. shards: a power of two."""
     assert shards > 0 and shards & (shards - 1) == 0
     now = quotas.select(F.lit(0).alias("node"), "sid", F.col("blocks").cast("long").alias("c"))
+    most = quotas.agg(F.max("sid")).first()[0] or 0
     width = shards
     while width > 1:
         width //= 2
-        nodes = now.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sid", "c"))).alias("all"), F.sum("c").alias("total"))
         # half of the node's blocks; an odd one goes to a side by hash
         odd = F.pmod(F.xxhash64(F.lit(seed), F.lit(width), "node"), F.lit(2))
-        nodes = nodes.withColumn("width", F.lit(width)).withColumn("room", F.floor((F.col("total") + odd) / 2).cast("long"))
-
-        def step(acc, x):
-            u = F.pmod(F.xxhash64(F.lit(seed), "width", "node", x["sid"]), F.lit(1 << 52)) / float(1 << 52)
-            k = hypergeometric(u, acc["total"], x["c"], acc["room"]).cast("long")
-            child = F.struct(x["sid"].alias("sid"), k.alias("left"), (x["c"] - k).alias("right"))
-            return F.struct((acc["total"] - x["c"]).alias("total"), (acc["room"] - k).alias("room"), F.array_append(acc["out"], child).alias("out"))
-
-        none = F.array().cast("array<struct<sid:int,left:bigint,right:bigint>>")
-        drawn = F.aggregate("all", F.struct(F.col("total").alias("total"), F.col("room").alias("room"), none.alias("out")), step)["out"]
-        now = nodes.select("node", F.explode(drawn).alias("d")).select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), "d.sid", F.col("d.left").alias("c")), F.struct((F.col("node") * 2 + 1).alias("node"), "d.sid", F.col("d.right").alias("c")))).alias("x")).select("x.node", "x.sid", "x.c")
+        room = F.floor((F.sum("c").over(Window.partitionBy("node")) + odd) / 2).cast("long")
+        halves = drawn_shares(now.withColumn("room", room), int(most).bit_length(), F.concat_ws("|", F.lit(seed), F.lit(width)))
+        sides = F.array(F.struct((F.col("node") * 2).alias("node"), "sid", F.col("k").alias("c")), F.struct((F.col("node") * 2 + 1).alias("node"), "sid", (F.col("c") - F.col("k")).alias("c")))
+        now = written(halves.select(F.explode(sides).alias("x")).select("x.*"), f"mix-split-{width}")
     ends = F.sum("c").over(Window.partitionBy("sid").orderBy("node"))
     return now.withColumn("end", ends).groupBy("sid").agg(F.array_sort(F.collect_list("end")).alias("ends"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: str = SEED, keep: tuple = (), **goal) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, and the shards of its copies.
+def draws(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: str = SEED, keep: tuple = (), **goal) -> tuple[DataFrame, DataFrame]:
+    """(rows, draws), both written. rows: a row for each document, with doc_id, size, source_size, target. draws: a row for each
+    copy that the mix takes, with rid (of its row), shard, block (the rank of its block in the shard) and place (in the block).
 
     keep: columns that tell documents of one doc_id (or none) apart; they are part of the key and are returned.
     """
     rows, sources = placed(docs, seed, keep, **goal)
-    rows = written(taken(rows, sources, keep), "mix-taken")
+    rows = written(taken(rows, sources, ("rid", *keep)), "mix-taken")
     block = lambda copy: F.floor((F.col("before") + copy * F.col("source_size")) / block_words)
     last = F.when(F.col("copies") > 0, block(F.col("copies") - 1) + 1).otherwise(0)
-    quotas = rows.groupBy("sid").agg(F.max(last).alias("blocks"))
+    quotas = written(rows.groupBy("sid").agg(F.max(last).alias("blocks")), "mix-quotas")
     ends = written(split_quotas(quotas, shards, seed), "mix-ends")
-    rows = rows.join(ends, "sid")
-    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
-    of = F.transform(copies, lambda c: F.least(F.lit(shards - 1), F.size(F.filter("ends", lambda e: e <= block(c)))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), of.alias("shards"), "h", *keep)
+    copies = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("of", block(F.col("copy")))
+    copies = copies.join(ends, "sid").withColumn("shard", F.least(F.lit(shards - 1), F.size(F.filter("ends", lambda e: e <= F.col("of")))))
+    # blocks of all sources stand in a shard in a keyed order; a block's rows stand in the order of another key
+    blocks = written(copies.select("shard", "sid", "of").distinct().withColumn("order", F.xxhash64(F.lit(seed), "shard", "sid", "of")), "mix-shard-blocks")
+    blocks = blocks.withColumn("block", F.row_number().over(Window.partitionBy("shard").orderBy("order", "sid", "of")) - 1)
+    at = F.row_number().over(Window.partitionBy("sid", "of", "shard").orderBy(F.xxhash64(F.lit(seed), "h", "copy"), "rid")) - 1
+    copies = copies.withColumn("place", at).join(written(blocks.drop("order"), "mix-ranks"), ["shard", "sid", "of"])
+    return rows, written(copies.select("rid", "doc_id", "size", "copy", "shard", "block", "place", *keep), "mix-draws")
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: str = SEED, keep: tuple = (), **goal) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target, taken (words of its draws), and its draws (shard, block, place)."""
+    rows, drawn = draws(docs, shards, block_words, seed, keep, **goal)
+    own = drawn.groupBy("rid").agg(F.sum("size").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "block", "place"))).alias("draws"))
+    out = rows.join(own, "rid", "left")
+    none = F.array().cast("array<struct<shard:int,block:int,place:int>>")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("draws", none).alias("draws"), *keep)

@@ -33,7 +33,7 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.sequences(table(spark, sf_dir, "documents"))
+    return token_output.materialised(table(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,4 @@ _OP5_SQL = f"""WITH d AS (SELECT doc_id, source, len(list_filter(string_split_re
   SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN extra <> (size > 0 AND coalesce(before = turned, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
   FROM y LEFT JOIN f ON y.source IS NOT DISTINCT FROM f.source"""
 
-_OP7_SQL = f"""WITH d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size FROM documents),
-  p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(size) OVER ()::BIGINT AS total FROM d),
-  s AS (SELECT *, least({sharding.SHARDS - 1}, floor((2 * upto - size)::DOUBLE * {sharding.SHARDS} / (2.0::DOUBLE * total)))::INT AS shard FROM p)
-  SELECT doc_id, size, {{crc}} AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s"""
-
 ORACLE = {"op2_secret_scan": _op2_sql(), "op5_source_mix": _OP5_SQL}

@@ -7,14 +7,15 @@ power of two that holds n, and repeats where it leaves the range. Sequence i goe
 shard holds `stride` slots, and range partitions hold whole shards in slot order. So the bytes of a
 slot are at (slot % stride) * length * width of shard slot // stride, and a reader resumes anywhere.
 
-Repeated rows are tokenised as often as they occur; other columns are ignored; an empty table gives
-no sequence. The tokenised sequences are a written table, so a lost executor repeats no tokenising.
+Repeated rows are tokenised as often as they occur, rows without doc_id too; a long text is whole within one
+task; other columns are ignored, whatever their names; an empty table gives no sequence. The tokenised sequences are a written table, so a lost executor repeats no tokenising.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 from .textscan import U, mix
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -141,13 +142,22 @@ def sequences(docs: DataFrame, path: str = TOKENIZER, length: int = LENGTH, stri
     tasks = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = made.join(parts.select("part", "ahead"), "part").withColumn("slot", slot_of(F.col("ahead") + F.col("at")))
     rows = rows.withColumn("shard", F.floor(F.col("slot") / stride).cast("int"))
-    rows = rows.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    rows = rows.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
     return rows.select("slot", "shard", (F.col("slot") % stride).cast("int").alias("place"), "n_tokens", "doc_ids", "tokens")
 
 
 def write_shards(seqs: DataFrame, path: str) -> None:
     """Parquet with a folder for each shard, rows by slot; any store that Spark writes to."""
-    seqs.write.partitionBy("shard").parquet(path)
+    seqs.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
+def materialised(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
+    """Writes the shards of docs to path (a new folder of the shared one if not given); their rows, read from there."""
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex[:12]}"
+    seqs = sequences(docs, **how)
+    write_shards(seqs, path)
+    return spark.read.schema(seqs.schema).parquet(path).select(*seqs.columns)
 
 
 def read_from(spark, path: str, slot: int, stride: int = STRIDE) -> DataFrame:

@@ -28,7 +28,7 @@ def test_stages_take_effect(spark, sf_dir):
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
             assert sorted(r.doc_id for r in rows) == sorted(x[0] for x in brute.contamination(before, items) if not x[5])
         elif name == "mix":
-            taken = {r.doc_id: len(r.shards) for r in mixing.mix(now).collect()}
+            taken = {r.doc_id: len(r.draws) for r in mixing.mix(now).collect()}
             got = {}
             for r in rows:
                 got[r.doc_id] = got.get(r.doc_id, 0) + 1

@@ -60,7 +60,7 @@ def test_mix_targets_and_shards(spark):
     df = docs_of(spark, rows)
     out = mixing.mix(df, shards=8, block_words=64).join(df.select("doc_id", "source"), "doc_id").collect()
     again = mixing.mix(df, shards=8, block_words=64).collect()
-    assert {(r.doc_id, r.taken, tuple(r.shards)) for r in out} == {(r.doc_id, r.taken, tuple(r.shards)) for r in again}
+    assert {(r.doc_id, r.taken, tuple(r.draws)) for r in out} == {(r.doc_id, r.taken, tuple(r.draws)) for r in again}
     size = {s: sum(r.size for r in out if r.source == s) for s in {r.source for r in out}}
     order = sorted(s for s in size if s is not None) + [None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
@@ -81,12 +81,27 @@ def test_mix_targets_and_shards(spark):
         mine = [r for r in out if r.source == s]
         assert all(r.source_size == size[s] and r.target == pytest.approx(want[s]) and r.taken <= 2 * r.size for r in mine)
         assert abs(sum(r.taken for r in mine) - want[s]) <= 30  # half of the longest document
-        assert all(len(r.shards) * r.size == r.taken for r in mine if r.size)
-    words = [sum(r.size * r.shards.count(k) for r in out) for k in range(8)]
+        assert all(len(r.draws) * r.size == r.taken for r in mine if r.size)
+    words = [sum(r.size * sum(d.shard == k for d in r.draws) for r in out) for k in range(8)]
+    places = sorted((d.shard, d.block, d.place) for r in out for d in r.draws)
+    for k in range(8):  # a shard's blocks are numbered without gaps, and so are a block's places
+        blocks = {b for s, b, _ in places if s == k}
+        assert blocks == set(range(len(blocks)))
+        for b in blocks:
+            own = [p for s, c, p in places if (s, c) == (k, b)]
+            assert own == list(range(len(own)))
     assert max(words) - min(words) <= 4 * 64 * len(size)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_split_quotas_are_exact(spark):
+    quotas = {1: 0, 2: 7, 3: 1000, 4: 55, 5: 1, 6: 333}
+    ends = {r.sid: list(r.ends) for r in mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "sid int, blocks long"), 8).collect()}
+    assert all(e == sorted(e) and e[-1] == quotas[s] and len(e) == 8 for s, e in ends.items())
+    share = np.array([np.diff([0, *ends[s]]) for s in sorted(ends)])
+    assert set(share.sum(axis=0).tolist()) <= {174, 175} and abs(share[2] - 125).max() < 40
+
+
 def test_hypergeometric_draws(spark):
     u = (F.col("id") + 0.5) / 4000
     k = mixing.hypergeometric(u, F.lit(50).cast("long"), F.lit(20).cast("long"), F.lit(10).cast("long"))
