@@ -46,16 +46,18 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     unnamed = written(docs.where("doc_id is null").withColumn("row", F.monotonically_increasing_id()), "mix-unnamed")
     docs = docs.where("doc_id is not null").withColumn("row", F.lit(None).cast("long")).unionByName(unnamed)
-    found = mixing.mix(docs, keep=("row",)).where("size(shards) > 0").groupBy("doc_id", "row").agg(F.first("shards").alias("shards"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "shards")
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row"))).withColumn("shard", F.explode("shards"))
-    key = F.xxhash64(F.lit(mixing.SEED), "doc_id", "row", "shard")
-    return rows.withColumn("key", key).repartition("shard", F.pmod("key", F.lit(64))).sortWithinPartitions("shard", "key").select(*COLUMNS)
+    _, drawn = mixing.draws(docs, keep=("row",))
+    # rows of one doc_id, which near_dedup leaves none of, each stand where the first one does
+    found = drawn.groupBy("doc_id", "row").agg(F.min("rid").alias("rid")).join(drawn.drop("doc_id", "row"), "rid")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "shard", "block", "place")
+    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row")))
+    part = F.pmod(F.xxhash64("shard", F.floor(F.col("block") / 64)), F.lit(1 << 20))
+    return rows.repartition("shard", part).sortWithinPartitions("shard", "block", "place").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences at their slots of the training order."""
-    return token_output.sequences(docs)
+    """Token sequences at their slots of the training order, read back from their shards."""
+    return token_output.materialised(docs)
 
 
 STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mix", source_mix), ("tokens", tokens)]
