@@ -135,7 +135,8 @@ def _key(doc_id: str, text: str) -> Column:
 def trigram_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings (gram, key) of all trigrams of the whole lower-cased texts; a gram is named by its hash."""
     characters = F.split(F.lower(F.col(text)), "")
-    grams = F.transform(F.array(characters), lambda c: F.array_distinct(F.zip_with(F.zip_with(c, F.slice(c, 2, MOST), F.xxhash64), F.slice(c, 3, MOST), F.xxhash64)))
+    both = lambda x, y: F.xxhash64(x, y)
+    grams = F.transform(F.array(characters), lambda c: F.array_distinct(F.zip_with(F.zip_with(c, F.slice(c, 2, MOST), both), F.slice(c, 3, MOST), both)))
     return docs.where(F.length(text) >= 3).select(_key(doc_id, text).alias("key"), F.explode(F.get(grams, F.lit(0))).alias("gram")).select("gram", "key")
 
 
