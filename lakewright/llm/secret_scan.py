@@ -62,8 +62,6 @@ MORE_RULES = [
 RULES = BASE_RULES + MORE_RULES
 #: At most so many strings are told apart in one place of a pattern; more count as "anything".
 MOST_STRINGS = 16
-#: More characters than a text can have.
-MOST = (1 << 31) - 1
 
 
 def _strings(items) -> list[set[str] | None]:
@@ -136,7 +134,7 @@ def trigram_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """Postings (gram, key) of all trigrams of the whole lower-cased texts; a gram is named by its hash."""
     characters = F.split(F.lower(F.col(text)), "")
     both = lambda x, y: F.xxhash64(x, y)
-    grams = F.transform(F.array(characters), lambda c: F.array_distinct(F.zip_with(F.zip_with(c, F.slice(c, 2, MOST), both), F.slice(c, 3, MOST), both)))
+    grams = F.transform(F.array(characters), lambda c: F.array_distinct(F.zip_with(F.zip_with(c, F.slice(c, 2, F.size(c)), both), F.slice(c, 3, F.size(c)), both)))
     return docs.where(F.length(text) >= 3).select(_key(doc_id, text).alias("key"), F.explode(F.get(grams, F.lit(0))).alias("gram")).select("gram", "key")
 
 
