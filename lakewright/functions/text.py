@@ -8,10 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "[\\p{L}\\p{N}_-]+"
-#: Query parameters that only track visits (fixed values).
-TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "igshid", "ref_src")
+#: White space as JavaScript has it, for shares that count other characters.
+WHITE = "[\\s\\x{0B}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+#: Query parameters that only track visits, besides all that begin with utm_ (fixed values).
+TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "mkt_tok", "msclkid", "ref", "ref_src", "spm", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term", "yclid")
+#: Hosts that wrap a target URL, and the parameters that hold it (fixed values).
+WRAPPERS = {"www.google.com": ("url", "q"), "google.com": ("url", "q"), "duckduckgo.com": ("uddg",), "l.facebook.com": ("u",), "lm.facebook.com": ("u",)}
 #: Cues of negation in a claim (fixed values).
-NEGATION_CUES = ("not", "no", "never", "without", "cannot", "neither", "nor", "lack of", "failed to", "absence of")
+NEGATION_CUES = ("not", "no", "never", "without", "cannot", "n't", "fails to", "failed to", "lack", "absence of", "insignificant", "no significant", "no effect", "did not", "does not")
+#: Marks in messages of failed edits and their kinds, first match first (fixed values).
+EDIT_ERRORS = (
+    ("file_not_found", "file not found"),
+    ("not_found_exact_text", "could not find the exact text"),
+    ("multiple_occurrences", "found multiple occurrences|(?m)^found [0-9]+ occurrences"),
+    ("no_changes_made", "no changes made"),
+    ("invalid_input", "input is invalid"),
+    ("overlapping_edits", "must not overlap"),
+    ("aborted", "aborted"),
+)
+#: Bounds of text quality: least characters, least share of letters and digits, most of marks, most of dot runs (fixed values).
+LEAST_CHARACTERS, LEAST_ALNUM, MOST_MARKS, MOST_DOTS = 40, 0.2, 0.55, 0.2
 
 
 def is_blank(c: Column) -> Column:
@@ -82,19 +98,50 @@ def normalize_doi(c: Column) -> Column:
     return F.when(s.rlike("^10\\.[0-9]{4,9}/\\S+$"), s)
 
 
+def _parameter(query: Column, name: str) -> Column:
+    value = F.regexp_extract(query, f"(?:^|&){name}=([^&]*)", 1)
+    return F.when(value != "", F.try_url_decode(value))
+
+
+def unwrapped_url(c: Column) -> Column:
+    """The target of a redirect wrapper's URL, or the URL itself."""
+    host, query = F.lower(F.regexp_extract(c, "(?i)^https?://([^/?#:]*)", 1)), F.regexp_extract(c, "^[^?#]*\\?([^#]*)", 1)
+    out = c
+    for wrapper, names in WRAPPERS.items():
+        for name in reversed(names):
+            target = _parameter(query, name)
+            out = F.when((host == wrapper) & target.rlike("(?i)^https?://"), target).otherwise(out)
+    return out
+
+
+def _once(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def canonical_url(c: Column) -> Column:
-    """Lower-case scheme and host without m. or amp., no default port, tracking parameters, fragment or last slash; sorted query."""
+    """Unwrapped (up to three times); lower-case scheme and host without m. or amp., no default port, tracking parameters or fragment;
+    parameters by name, a slash at the end of the host only; a DOI's path in lower case. Escapes stay as they are written.
+    """
+    for _ in range(3):
+        c = _once(c, unwrapped_url)
+    return _once(c, _canonical)
+
+
+def _canonical(url: Column) -> Column:
     whole = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
-    part = lambda k: F.regexp_extract(c, whole, k)
+    part = lambda k: F.regexp_extract(url, whole, k)
     scheme = F.lower(part(1))
-    host = F.regexp_replace(F.lower(part(2)), "^(m|amp)\\.", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(part(2)), "^m\\.", ""), "^amp\\.", "")
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    path = F.regexp_replace(part(3), "/+$", "")
-    name = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
-    keep = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(*TRACKING))
-    query = F.array_join(F.array_sort(keep), "&")
+    path = F.when(part(3) == "", "/").when(part(3) != "/", F.regexp_replace(part(3), "/$", "")).otherwise(part(3))
+    path = F.when(host.rlike("(^|\\.)doi\\.org$") & path.rlike("(?i)^/10\\.[0-9]{4,9}/"), F.lower(path)).otherwise(path)
+    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
+    keep = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(name(p)).startswith("utm_") & ~F.lower(name(p)).isin(*TRACKING))
+    placed = F.array_sort(F.transform(keep, lambda p, i: F.struct(name(p).alias("name"), i.alias("at"), p.alias("p"))))
+    query = F.array_join(F.transform(placed, lambda x: x["p"]), "&")
     out = F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(c.rlike(whole), out).otherwise(c)
+    return F.when(url.rlike(whole), out).otherwise(url)
 
 
 def url_host(c: Column) -> Column:
@@ -114,8 +161,16 @@ def readable_html(c: Column) -> Column:
     return F.regexp_replace(s, "^\\s+|\\s+$", "")
 
 
+def _meta(c: Column, key: str, name: str) -> Column:
+    first = F.regexp_extract(c, f"(?is)<meta\\s[^>]*{key}=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
+    last = F.regexp_extract(c, f"(?is)<meta\\s[^>]*content=[\"']([^\"']*)[\"'][^>]*{key}=[\"']{name}[\"']", 1)
+    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(last, F.lit("")))
+
+
 def html_title(c: Column) -> Column:
-    return F.trim(F.regexp_extract(c, "(?is)<title[^>]*>(.*?)</title>", 1))
+    """og:title, else citation_title, else the title element; null where all are missing or empty."""
+    element = F.trim(F.regexp_extract(c, "(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.coalesce(_meta(c, "property", "og:title"), _meta(c, "name", "citation_title"), F.nullif(element, F.lit("")))
 
 
 def html_links(c: Column) -> Column:
@@ -131,14 +186,13 @@ def has_negation(c: Column) -> Column:
     return F.coalesce(F.lower(c).rlike("(^|[^a-z])(" + "|".join(NEGATION_CUES) + ")([^a-z]|$)"), F.lit(False))
 
 
-def error_kind(c: Column) -> Column:
-    """A coarse class of an error message."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    cases = [("timeout", "timed? ?out"), ("not_found", "not found|no such file|does not exist"), ("permission", "permission|denied|forbidden"), ("rate_limit", "rate limit|too many requests|429"), ("connection", "connection|refused|reset|network")]
+def error_kind(text: Column, is_error: Column, matched: Column) -> Column:
+    """The kind of a failed edit: missing_result without a result, null for a success, else by the first mark in its message."""
+    low = F.lower(F.coalesce(text, F.lit("")))
     out = F.lit("other")
-    for name, pattern in reversed(cases):
+    for name, pattern in reversed(EDIT_ERRORS):
         out = F.when(low.rlike(pattern), name).otherwise(out)
-    return F.when(low == "", F.lit(None)).otherwise(out)
+    return F.when(~matched, "missing_result").when(is_error, out)
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -155,15 +209,25 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def text_quality(c: Column) -> dict[str, Column]:
-    """Counts and shares that tell prose from noise, and a weighted score."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", "")
-    n = F.length(s)
-    alnum = F.length(F.regexp_replace(s, "[^\\p{L}\\p{N}]", ""))
-    punct = F.length(F.regexp_replace(s, "[\\p{L}\\p{N}]", ""))
-    words = F.regexp_count(F.coalesce(c, F.lit("")), F.lit("\\p{L}{2,}"))
+    """Counts, shares (to four places), a weighted score, and the reasons for which a text looks like noise."""
+    text = F.coalesce(c, F.lit(""))
+    n = F.length(F.regexp_replace(text, WHITE, ""))
+    alnum = F.regexp_count(text, F.lit("[\\p{L}\\p{N}]"))
+    words = F.regexp_count(text, F.lit("\\p{L}{3,}"))
+    marks = F.regexp_count(text, F.lit("[.!?,;:$%#&*()]"))
+    dots = F.aggregate(F.regexp_extract_all(text, F.lit("\\.{3,}"), F.lit(0)), F.lit(0), lambda s, x: s + F.length(x))
     share = lambda x: F.when(n > 0, x / n).otherwise(0.0)
-    score = F.least(F.lit(1.0), share(alnum)) * 0.55 + F.least(F.lit(1.0), words / 20.0) * 0.25 + (1 - F.least(F.lit(1.0), share(punct))) * 0.2
-    return {"n": n, "alnum_share": share(alnum), "punct_share": share(punct), "words": words, "score": F.when(n > 0, score).otherwise(0.0)}
+    score = F.least(F.lit(1.0), share(alnum) / 0.7) * 0.55 + F.least(F.lit(1.0), words / 20.0) * 0.25
+    score = score + F.greatest(F.lit(0.0), 1 - share(marks) / MOST_MARKS) * 0.1 + F.greatest(F.lit(0.0), 1 - share(dots) / MOST_DOTS) * 0.1
+    long_ = n > 100
+    reasons = [
+        F.when(alnum < LEAST_CHARACTERS, "low-text"),
+        F.when(long_ & (share(alnum) < LEAST_ALNUM), "low-alphanumeric-ratio"),
+        F.when(long_ & (share(marks) > MOST_MARKS), "punctuation-heavy"),
+        F.when(long_ & (share(dots) > MOST_DOTS), "dot-run-heavy"),
+        F.when((alnum >= LEAST_CHARACTERS) & (words < 3), "insufficient-word-like-text"),
+    ]
+    return {"n": n, "alnum": alnum, "words": words, "alnum_share": F.round(share(alnum), 4), "mark_share": F.round(share(marks), 4), "dot_share": F.round(share(dots), 4), "score": F.round(score, 4), "reasons": F.array_compact(F.array(*reasons))}
 
 
 def any_of(cs: list[Column]) -> Column:

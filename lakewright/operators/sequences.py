@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .identity import keep_rounds
+
 
 def gaps(df: DataFrame, by: str, at: str, key: str, seconds: int = 60) -> DataFrame:
     """Rows that follow the previous one of their group by more than `seconds`."""
@@ -121,3 +123,13 @@ def smoothed(df: DataFrame, by: str, order: list[str], observed: Column, prior:
     g = df.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*order, observed.alias("_o")))).alias("_s"))
     step = lambda s, x: F.lit(keep) * s + F.lit(1 - keep) * F.greatest(F.lit(low), F.least(F.lit(high), x["_o"]))
     return g.select(by, "n", F.aggregate("_s", F.lit(float(prior)), step).alias("estimate"))
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds the row number by keys over all rows: range partitions, each with the rows before it, so no task sorts everything."""
+    keep_rounds(df.sparkSession)
+    rows = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", ahead.alias("_ahead"))  # a row for each partition
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return rows.join(parts, "_part").withColumn(name, (at + F.col("_ahead")).cast("long")).drop("_part", "_ahead")

@@ -86,7 +86,7 @@ def ambiguous_classes(t: Tables):
     return records.pair_classes(t.pages.select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("k"), c.alias("c")), "page_id", "k", "c")
 
 
-@R.add(r"""SELECT source, count(*) AS size, count(DISTINCT lang) > 1 AS cross_document, count(DISTINCT regexp_matches(lower(text), '(^|[^a-z])(not|no|never|without|cannot|neither|nor|lack of|failed to|absence of)([^a-z]|$)')) > 1 AS mixed_negation FROM documents GROUP BY 1""")
+@R.add(r"""SELECT source, count(*) AS size, count(DISTINCT lang) > 1 AS cross_document, count(DISTINCT regexp_matches(lower(text), '(^|[^a-z])(not|no|never|without|cannot|n''t|fails to|failed to|lack|absence of|insignificant|no significant|no effect|did not|does not)([^a-z]|$)')) > 1 AS mixed_negation FROM documents GROUP BY 1""")
 def negation_conflicts(t: Tables):
     return records.negation_conflicts(t.documents.select("source", "lang", X.has_negation(F.col("text")).alias("negated")), "source", "lang", "negated")
 

@@ -23,14 +23,16 @@ class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
+        self.covers: dict[str, tuple[str, ...]] = {}
 
-    def add(self, sql: str | None = None):
-        """Decorator: a function of Tables becomes the query of its name."""
+    def add(self, sql: str | None = None, covers: tuple[str, ...] = ()):
+        """Decorator: a function of Tables becomes the query of its name. covers: ids of the survey's inventory."""
 
         def wrap(f: Callable[[Tables], DataFrame]):
             self.queries[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
             if sql:
                 self.sql[f.__name__] = sql
+            self.covers[f.__name__] = covers
             return f
 
         return wrap

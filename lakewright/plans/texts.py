@@ -182,10 +182,16 @@ def document_structure(t: Tables):
     return t.documents.select("doc_id", *[c.alias(n) for n, c in checking.structure(F.col("text")).items()])
 
 
-@R.add(r"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS s FROM documents), y AS (SELECT doc_id, length(s) AS n, length(regexp_replace(s, '[^\p{L}\p{N}]', '', 'g')) AS a, length(regexp_replace(s, '[\p{L}\p{N}]', '', 'g')) AS p, len(regexp_extract_all(t, '\p{L}{2,}')) AS w FROM x)
-    SELECT doc_id, round(CASE WHEN n > 0 THEN least(1.0, a / n) * 0.55 + least(1.0, w / 20.0) * 0.25 + (1 - least(1.0, p / n)) * 0.2 ELSE 0 END, 6)::DOUBLE AS score FROM y""")
+@R.add(r"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    y AS (SELECT doc_id, length(regexp_replace(t, '[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]', '', 'g')) AS n, len(regexp_extract_all(t, '[\p{L}\p{N}]')) AS a, len(regexp_extract_all(t, '\p{L}{3,}')) AS w,
+      len(regexp_extract_all(t, '[.!?,;:$%#&*()]')) AS p, coalesce(list_sum(list_transform(regexp_extract_all(t, '\.{3,}'), lambda s: length(s))), 0) AS d FROM x),
+    z AS (SELECT *, CASE WHEN n > 0 THEN a / n ELSE 0 END AS ar, CASE WHEN n > 0 THEN p / n ELSE 0 END AS pr, CASE WHEN n > 0 THEN d / n ELSE 0 END AS dr FROM y)
+    SELECT doc_id, round(ar, 4)::DOUBLE AS alnum_share, round(pr, 4)::DOUBLE AS mark_share, round(dr, 4)::DOUBLE AS dot_share,
+      round(least(1.0::DOUBLE, ar / 0.7::DOUBLE) * 0.55::DOUBLE + least(1.0::DOUBLE, w / 20.0::DOUBLE) * 0.25::DOUBLE + greatest(0.0::DOUBLE, 1 - pr / 0.55::DOUBLE) * 0.1::DOUBLE + greatest(0.0::DOUBLE, 1 - dr / 0.2::DOUBLE) * 0.1::DOUBLE, 4) AS score,
+      list_filter([CASE WHEN a < 40 THEN 'low-text' END, CASE WHEN n > 100 AND ar < 0.2 THEN 'low-alphanumeric-ratio' END, CASE WHEN n > 100 AND pr > 0.55 THEN 'punctuation-heavy' END, CASE WHEN n > 100 AND dr > 0.2 THEN 'dot-run-heavy' END, CASE WHEN a >= 40 AND w < 3 THEN 'insufficient-word-like-text' END], lambda r: r IS NOT NULL) AS reasons FROM z""")
 def text_quality(t: Tables):
-    return t.documents.select("doc_id", F.round(X.text_quality(F.col("text"))["score"], 6).alias("score"))
+    q = X.text_quality(F.col("text"))
+    return t.documents.select("doc_id", *[q[k].alias(k) for k in ("alnum_share", "mark_share", "dot_share", "score", "reasons")])
 
 
 @R.add(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS names, len(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'))) AS numbers FROM documents""")
@@ -193,7 +199,7 @@ def named_specifics(t: Tables):
     return t.documents.select("doc_id", F.array_sort(checking.capital_names(F.col("text"))).alias("names"), F.size(checking.numbers_in(F.col("text"))).cast("long").alias("numbers"))
 
 
-@R.add(r"""SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z])(not|no|never|without|cannot|neither|nor|lack of|failed to|absence of)([^a-z]|$)') AS negated, ceil(length(text) / 4.0)::BIGINT AS tokens, 'doc-' || substr(sha256(text), 1, 12) AS stable_id FROM documents""")
+@R.add(r"""SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z])(not|no|never|without|cannot|n''t|fails to|failed to|lack|absence of|insignificant|no significant|no effect|did not|does not)([^a-z]|$)') AS negated, ceil(length(text) / 4.0)::BIGINT AS tokens, 'doc-' || substr(sha256(text), 1, 12) AS stable_id FROM documents""")
 def text_scalars(t: Tables):
     c = F.col("text")
     return t.documents.select("doc_id", X.has_negation(c).alias("negated"), X.estimate_tokens(c).alias("tokens"), X.stable_id("doc", c).alias("stable_id"))
@@ -205,13 +211,15 @@ def name_keys(t: Tables):
     return t.part.select("p_partkey", X.title_key(c).alias("title_key"), X.slug(c).alias("slug"))
 
 
-@R.add(r"""WITH m AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^(m|amp)\.', ''), ':(80|443)$', '') AS h, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS p, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))) AS q FROM pages)
-    SELECT page_id, s || '://' || h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url, h AS host FROM m""")
+@R.add(r"""WITH m AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^m\.', ''), '^amp\.', ''), ':(80|443)$', '') AS h, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p,
+      list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|igshid|mc_cid|mc_eid|mkt_tok|msclkid|ref|ref_src|spm|yclid)$')) AS q FROM pages),
+    k AS (SELECT *, list_transform(list_sort(list_transform(q, lambda x, i: {'name': split_part(x, '=', 1), 'at': i, 'x': x})), lambda e: e.x) AS o FROM m)
+    SELECT page_id, s || '://' || h || CASE WHEN p = '' THEN '/' WHEN p = '/' THEN p ELSE regexp_replace(p, '/$', '') END || CASE WHEN len(o) > 0 THEN '?' || array_to_string(o, '&') ELSE '' END AS url, h AS host FROM k""")
 def canonical_urls(t: Tables):
     return t.pages.select("page_id", X.canonical_url(F.col("url")).alias("url"), F.regexp_replace(X.url_host(F.col("url")), "^(m|amp)\\.", "").alias("host"))
 
 
-@R.add(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1)) AS links FROM pages""")
+@R.add(r"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<meta\s[^>]*property=["'']og:title["''][^>]*content=["'']([^"'']*)["'']', 1), ''), nullif(regexp_extract(html, '(?is)<meta\s[^>]*name=["'']citation_title["''][^>]*content=["'']([^"'']*)["'']', 1), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')) AS title, len(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1)) AS links FROM pages""")
 def page_titles(t: Tables):
     return t.pages.select("page_id", X.html_title(F.col("html")).alias("title"), F.size(X.html_links(F.col("html"))).cast("long").alias("links"))
 

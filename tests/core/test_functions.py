@@ -40,6 +40,19 @@ def test_urls(spark):
     got = one(spark, X.canonical_url(F.lit("HTTP://M.Example.org:80/a/?utm_source=x&b=2&a=1#f")))
     assert got == "http://example.org/a?a=1&b=2"
     assert one(spark, X.canonical_url(F.lit("not a url"))) == "not a url"
+    wrapped = "https://www.google.com/url?q=https%3A%2F%2Fduckduckgo.com%2Fl%2F%3Fuddg%3Dhttps%253A%252F%252Fdoi.org%252F10.1000%252FAbC%252F&sa=D"
+    assert one(spark, X.canonical_url(F.lit(wrapped))) == "https://doi.org/10.1000/abc"
+    assert one(spark, X.canonical_url(F.lit("https://A.org?ref=1&z=1&a=2&z=0&yclid=4"))) == "https://a.org/?a=2&z=1&z=0"
+
+
+def test_titles_and_quality(spark):
+    page = '<head><title> T </title><meta content="C" name="citation_title"><meta property="og:title" content="O"></head>'
+    assert one(spark, X.html_title(F.lit(page))) == "O"
+    assert one(spark, X.html_title(F.lit(page.replace("og:title", "og:x")))) == "C"
+    q = X.text_quality(F.lit("word " * 30 + "....."))
+    assert one(spark, q["score"]) == pytest.approx(0.55 + 0.25 + 0.1 * (1 - 5 / 125 / 0.55) + 0.1 * (1 - 5 / 125 / 0.2), abs=1e-4)
+    assert one(spark, X.text_quality(F.lit("a1"))["reasons"]) == ["low-text"]
+    assert one(spark, X.has_negation(F.lit("It Fails to hold"))) and not one(spark, X.has_negation(F.lit("nothing, neither")))
 
 
 def test_identifiers_and_names(spark):
