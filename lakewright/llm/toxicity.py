@@ -3,7 +3,7 @@
 Voters are short patterns over words of letters (A-Z lower-cased): whole words of a seed lexicon, and
 whole words and word beginnings that labelled rows propose, as they stand, once or a few times, mostly in
 toxic documents. Such a voter says "toxic" where its pattern occurs often enough and abstains elsewhere.
-Three further voters say "clean" where no seed word, no other whole word, or no beginning votes. Every
+Two further voters say "clean": where no voter votes, and where one at most does that is no seed word. Every
 pattern that passes the tests of support and precision is a voter; there is no limit to their number.
 
 The generative label model has a latent class, and for each voter the rates at which it votes in either
@@ -149,16 +149,17 @@ def voted(docs: DataFrame, voters: list[Voter], dense: bool = False) -> DataFram
 
 
 def clean_votes(votes: np.ndarray, voters: list[Voter]) -> np.ndarray:
-    """rows x 3: votes for "clean", by the silence of seed words, other whole words, and beginnings."""
+    """rows x 2: votes for "clean", by silence (no voter votes) and by faintness (one at most does, and it is no seed word)."""
     seeds = {w.encode() + b"$" for w in SEED_LEXICON}
-    kind = np.array([0 if v in seeds else 1 if v.endswith(b"$") else 2 for v, _ in voters])
-    return np.stack([(votes[:, kind == k].sum(axis=1) == 0) & bool((kind == k).any()) for k in range(3)], axis=1).astype(float)
+    seed = np.array([v in seeds for v, _ in voters])
+    loud = votes.sum(axis=1)
+    return np.stack([loud == 0, (loud <= 1) & (votes[:, seed].sum(axis=1) == 0)], axis=1).astype(float)
 
 
 def label_model(votes: np.ndarray, clean: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Posterior of one class for each vote vector, from votes alone. weight: how many rows have it."""
     loud = votes.sum(axis=1)
-    belief = (loud + 0.1) / (loud + clean.sum(axis=1) + 1)
+    belief = (loud + 0.1) / (loud + clean.sum(axis=1) + 0.2)
     votes = np.concatenate([votes, clean], axis=1)
     for _ in range(MOST_STEPS):
         mass1, mass0 = weight @ belief, weight @ (1 - belief)
