@@ -13,6 +13,7 @@ task; other columns are ignored, whatever their names; an empty table gives no s
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import uuid
@@ -39,8 +40,12 @@ _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s | \s|^ | $")
 
 
+@functools.cache
 def encoder(path: str = TOKENIZER, width: int = 2) -> Callable[[str], bytes]:
-    """Text -> ids as little-endian bytes. Words are remembered: a single space between others always starts a token."""
+    """Text -> ids as little-endian bytes. Words are remembered: a single space between others always starts a token.
+
+    A Python worker keeps its encoder, with the words it remembers, for all its tasks.
+    """
     import base64
 
     import tiktoken
@@ -56,15 +61,16 @@ def encoder(path: str = TOKENIZER, width: int = 2) -> Callable[[str], bytes]:
 
     def encode(text: str) -> bytes:
         words = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        out = [raw(words[0])] if words[0] else []
-        for w in words[1:]:
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[w] = raw(" " + w)
-            out.append(ids)
-        return b"".join(out)
+        first, rest = words[0], words[1:]
+        out = list(map(known.get, rest))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    w = rest[k]
+                    out[k] = known[w] = known.get(w) or raw(" " + w)
+        return (raw(first) if first else b"") + b"".join(out)
 
     return encode
 
