@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.values import dot
 
 #: Rows of a block that meets another in one task, and rows of it that are multiplied at a time (fixed values).
 BLOCK, TILE = 1024, 64
@@ -61,14 +60,6 @@ def nearest_value(left: DataFrame, right: DataFrame, by: str, left_at: Column, r
     return rows.select(left_id, F.least(F.abs(F.col("t") - F.col("down")), F.abs(F.col("up") - F.col("t"))).alias("distance"))
 
 
-def similar_pairs(rows: DataFrame, id_: str, vector: str, block: str, least: float) -> DataFrame:
-    """(a, b, similarity) of unit vectors in one block with a dot product of at least `least`. For bounded blocks."""
-    a = rows.select(F.col(block), F.col(id_).alias("a"), F.col(vector).alias("va"))
-    b = rows.select(F.col(block), F.col(id_).alias("b"), F.col(vector).alias("vb"))
-    pairs = a.join(b, block).where("a < b").withColumn("similarity", dot(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("similarity") >= least).select("a", "b", "similarity")
-
-
 def _tiles(ids: np.ndarray, own: np.ndarray, vectors: np.ndarray, i: int, j: int):
     """(ids of a tile's rows, ids of its columns, which cells are pairs, dot products). Products are summed in order, as a plain loop does."""
     ids_b, b = ids[own == j], vectors[own == j].T.copy()

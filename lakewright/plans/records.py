@@ -70,14 +70,6 @@ def undecided_groups(t: Tables):
     return records.undecided(records.pass_summary(t.events, "event_type", "user_id", F.col("value") > 5), 0.6)
 
 
-@R.add(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) || page_id % 40 AS k, CASE WHEN page_id % 3 = 0 THEN [] ELSE [page_id % 2] END AS c FROM pages)
-    SELECT a.k, a.page_id AS a, b.page_id AS b FROM p a JOIN p b ON a.k = b.k AND a.page_id < b.page_id WHERE len(a.c) = 0 OR len(b.c) = 0 OR (len(a.c) = 1 AND a.c = b.c)""")
-def ambiguous_pairs(t: Tables):
-    c = F.when(F.col("page_id") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("page_id") % 2))
-    k = F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), (F.col("page_id") % 40).cast("string"))
-    return records.pair_audit(t.pages.select("page_id", k.alias("k"), c.alias("c")), "page_id", "k", "c")
-
-
 @R.add(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS k, CASE WHEN page_id % 3 = 0 THEN [] ELSE [page_id % 2] END AS c FROM pages),
     x AS (SELECT a.k, count(*) AS pairs FROM p a JOIN p b ON a.k = b.k AND a.page_id < b.page_id WHERE len(a.c) = 0 OR len(b.c) = 0 OR (len(a.c) = 1 AND a.c = b.c) GROUP BY 1)
     SELECT k, n, silent, coalesce(pairs, 0) AS pairs FROM (SELECT k, count(*) AS n, count(*) FILTER (len(c) = 0) AS silent FROM p GROUP BY 1) LEFT JOIN x USING (k)""")

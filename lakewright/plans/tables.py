@@ -230,17 +230,6 @@ def common_block_keys(t: Tables):
     return identity.common_keys(t.documents, [F.substring("text", 1, 40), F.concat("source", F.col("n_chars").cast("string"))], 3)
 
 
-_EDGES = "e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + o_orderkey % 3) % 1500 AS b FROM orders WHERE o_orderkey % 41 = 0)"
-
-
-@R.add(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT c_custkey AS id, c_custkey AS seen FROM customer UNION SELECT r.id, u.b FROM r JOIN u ON r.seen = u.a JOIN customer c ON u.b = c.c_custkey)
-    SELECT id, min(seen) AS component FROM r GROUP BY 1""")
-def linked_components(t: Tables):
-    e = t.orders.where("o_orderkey % 41 = 0").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 1500).alias("b")).distinct()
-    known = t.customer.select(F.col("c_custkey").alias("b"))
-    return identity.contraction_components(e.join(known, "b", "left_semi"), t.customer, "c_custkey")
-
-
 @R.add()
 def order_components(t: Tables):
     # every order is a link; linked ids wrap at the table's largest. The recursive SQL would make all pairs of a component

@@ -51,20 +51,6 @@ def nearest_neighbours(t: Tables):
     return n.withColumn("similarity", F.round("similarity", 6))
 
 
-@R.add("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 64 = b.vec_id % 64 AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.1""")
-def similar_pairs(t: Tables):
-    rows = t.embeddings.withColumn("block", F.struct("label", (F.col("vec_id") % 64).alias("m")))
-    p = relating.similar_pairs(rows, "vec_id", "embedding", "block", 0.1)
-    return p.withColumn("similarity", F.round("similarity", 6))
-
-
-@R.add("""SELECT CAST(floor(s * 20) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 64 = b.vec_id % 64 AND a.vec_id < b.vec_id) GROUP BY 1""")
-def similarity_histogram(t: Tables):
-    rows = t.embeddings.withColumn("block", F.struct("label", (F.col("vec_id") % 64).alias("m")))
-    p = relating.similar_pairs(rows, "vec_id", "embedding", "block", -2.0)
-    return p.groupBy(F.floor(F.col("similarity") * 20).alias("bucket")).agg(F.count("*").alias("n"))
-
-
 @R.add("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.1""")
 def label_similar_pairs(t: Tables):
     p = relating.all_similar_pairs(t.embeddings, "vec_id", "embedding", "label", 0.1)
