@@ -131,6 +131,63 @@ def transcript(text: Column) -> Column:
     )
 
 
+def meeting_turns(spark: SparkSession, path: str) -> DataFrame:
+    """(path, date, at, speaker, text) of meeting transcripts, a JSON array of {speaker, text} for each file; a blank speaker or text fails."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", "array<struct<speaker:string,text:string>>").alias("turns"))
+    whole = F.when(F.coalesce(F.size("turns"), F.lit(0)) > 0, F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("no transcript array: "), "path")))
+    rows = raw.select("path", F.posexplode(whole).alias("at", "r"))
+    said = lambda k: F.when(F.trim(F.coalesce(F.col(f"r.{k}"), F.lit(""))) != "", F.trim(F.col(f"r.{k}"))).otherwise(F.raise_error(F.concat(F.lit(f"{k} is blank: "), "path")))
+    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))  # Spark gives paths as URLs
+    date = F.try_to_date(F.regexp_extract(name, "\\b([0-9]{4}-[0-9]{2}-[0-9]{2})\\b", 1), "yyyy-MM-dd")
+    return rows.select("path", date.alias("date"), "at", said("speaker").alias("speaker"), said("text").alias("text"))
+
+
+MAIL = "path string, message_id string, reply_to array<string>, sender string, recipients string, subject string, sent string, body string, attachments array<struct<name:string,type:string,bytes:long,sha256:string>>"
+
+
+def mail(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each .eml file: headers, body (plain text first, else HTML without its tags) and what is attached.
+
+    sent is ISO 8601 in the message's own zone, null if it cannot be read. reply_to: In-Reply-To, then References.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(path).select("path", "content")
+
+    def parse(frames):
+        import email
+        import email.policy
+        import hashlib
+        import html
+        import re
+        from email.utils import parsedate_to_datetime
+
+        import pandas as pd
+
+        def one(where, content):
+            m = email.message_from_bytes(bytes(content), policy=email.policy.default)
+            ids = lambda k: re.findall("<([^<>]+)>", str(m.get(k) or ""))
+            part = m.get_body(("plain", "html"))
+            body = part.get_content() if part is not None else ""
+            if part is not None and part.get_content_type() == "text/html":
+                body = html.unescape(re.sub("<[^>]*>", "", re.sub("(?i)<br[^>]*>|</(?:p|div|h[1-6]|li|tr)>", "\n", re.sub("(?is)<(script|style).*?</\\1>", "", body))))
+            held = []
+            for a in m.iter_attachments():
+                data = a.get_payload(decode=True)
+                data = data if data is not None else a.as_bytes()
+                held.append({"name": a.get_filename(), "type": a.get_content_type(), "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+            try:
+                sent = parsedate_to_datetime(str(m["date"])).isoformat()
+            except (TypeError, ValueError):
+                sent = None
+            text = lambda k: None if m[k] is None else str(m[k])
+            return (where, (ids("message-id") or [None])[0], list(dict.fromkeys(ids("in-reply-to") + ids("references"))), text("from"), text("to"), text("subject"), sent, body.strip(), held)
+
+        names = [f.split(" ")[0] for f in re.split(r", (?=[a-z_]+ )", MAIL)]
+        for f in frames:
+            yield pd.DataFrame([one(p, c) for p, c in zip(f["path"], f["content"])], columns=names)
+
+    return files.mapInPandas(parse, MAIL)
+
+
 def segments(result: DataFrame, column: str) -> DataFrame:
     """Rows of a transcription reply {segments: [{start, end, text}], text}; empty texts dropped, one 0-0 segment if there is none."""
     kind = "segments array<struct<start: double, end: double, text: string>>, text string"

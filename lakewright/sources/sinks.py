@@ -52,3 +52,29 @@ def replace_snapshot(df: DataFrame, path: str) -> None:
 
 def append_journal(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def markdown_row(cells: list[Column]) -> Column:
+    """A row of a Markdown pipe table: bars are escaped, line ends become spaces, null is empty."""
+    plain = lambda c: F.replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\\s*\\n\\s*", " "), F.lit("|"), F.lit("\\|"))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *map(plain, cells)), F.lit(" |"))
+
+
+def gantt_lines(rows: DataFrame, id_: str, title: str, section: str, start: str, stop: str) -> DataFrame:
+    """(section, at, id, line) of a Mermaid chart: a head for each section (at 0), then its rows by id.
+
+    A row without an end, or that ends when it starts, is a milestone; one with an end only starts there. Rows without dates are left out.
+    """
+    clean = lambda c: F.replace(F.replace(c.cast("string"), F.lit(":"), F.lit(" - ")), F.lit("\n"), F.lit(" "))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    part = F.coalesce(F.col(section).cast("string"), F.lit("Unassigned"))
+    picked = rows.select(part.alias("section"), F.col(id_).alias("id"), clean(F.col(title)).alias("t"), F.regexp_replace(F.col(id_).cast("string"), "[^A-Za-z0-9_]", "_").alias("k"), day(F.coalesce(start, stop)).alias("a"), day(F.col(stop)).alias("b")).where("a is not null")
+    span = F.concat(F.lit("    "), F.coalesce("t", F.lit("")), F.lit(" :"), F.when(F.coalesce(F.col("a") == F.col("b"), F.lit(True)), F.concat(F.lit("milestone, "), "k", F.lit(", "), "a", F.lit(", 0d"))).otherwise(F.concat("k", F.lit(", "), "a", F.lit(", "), "b")))
+    body = picked.select("section", F.lit(1).alias("at"), "id", span.alias("line"))
+    heads = picked.select("section").distinct().select("section", F.lit(0).alias("at"), F.lit(None).cast(rows.schema[id_].dataType).alias("id"), F.concat(F.lit("    section "), F.replace("section", F.lit(":"), F.lit(" - "))).alias("line"))
+    return heads.unionByName(body)
+
+
+def write_lines(df: DataFrame, path: str, by: list[str], line: str = "line") -> None:
+    """Lines in order: files in the order of their names, each sorted."""
+    df.repartitionByRange(*by).sortWithinPartitions(*by).select(line).write.mode("overwrite").text(path)
