@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, minhash, mixing, quality, secret_scan, sharding, substring_dedup, token_output, toxicity
+from . import decontaminate, embedding_dedup, fill_in_middle, minhash, mixing, quality, secret_scan, sharding, substring_dedup, token_output, toxicity
 from .common import table
 
 
@@ -48,9 +48,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("hits")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_secret_scan, op3_substring_dedup, op4_quality, op5_source_mix, op6_near_duplicates, op7_byte_shards, op8_near_vectors, op9_decontamination, op10_toxicity)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), keep_output=False)
 
 
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_output, op2_secret_scan, op3_substring_dedup, op4_quality, op5_source_mix, op6_near_duplicates, op7_byte_shards, op8_near_vectors, op9_decontamination, op10_toxicity,
+        op11_fill_in_middle,
+    )
+}
+
 
 def _spans_sql(kind: str, order: int, regex: str, group: int, least: int, flags: str) -> str:
     regex = regex.replace("'", "''")
@@ -83,4 +92,11 @@ _OP5_SQL = f"""WITH d AS (SELECT doc_id, source, len(list_filter(string_split_re
   SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN extra <> (size > 0 AND coalesce(before = turned, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
   FROM y LEFT JOIN f ON y.source IS NOT DISTINCT FROM f.source"""
 
-ORACLE = {"op2_secret_scan": _op2_sql(), "op5_source_mix": _OP5_SQL}
+_OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  u AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS e FROM d),
+  f AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+  p AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM f)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM p"""
+
+ORACLE = {"op2_secret_scan": _op2_sql(), "op5_source_mix": _OP5_SQL, "op11_fill_in_middle": _OP11_SQL}
