@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, fill_in_middle, minhash, mixing, quality, secret_scan, sharding, substring_dedup, token_output, toxicity
+from . import decontaminate, embedding_dedup, fill_in_middle, merkle, minhash, mixing, quality, secret_scan, sharding, substring_dedup, token_output, toxicity
 from .common import table
 
 
@@ -52,11 +52,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(table(spark, sf_dir, "documents"), keep_output=False)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=merkle.without_newlines(docs)).proofs(keep_path=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_output, op2_secret_scan, op3_substring_dedup, op4_quality, op5_source_mix, op6_near_duplicates, op7_byte_shards, op8_near_vectors, op9_decontamination, op10_toxicity,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op12_merkle_manifest,
     )
 }
 
@@ -99,4 +104,22 @@ _OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesc
   SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM p"""
 
-ORACLE = {"op2_secret_scan": _op2_sql(), "op5_source_mix": _OP5_SQL, "op11_fill_in_middle": _OP11_SQL}
+_ENCODED = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in merkle.COLUMNS)
+_CRC = "list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || [1::BIGINT, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"
+_OP12_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, source, doc_id, sha256({_ENCODED}) AS h, sha256({_ENCODED.replace("text::VARCHAR", "replace(text, chr(10), '')")}) AS cut, xor({_CRC}, 4294967295) % 2 = 0 AS even FROM documents),
+  n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS cnt FROM d),
+  lv AS (SELECT source, 0 AS lvl, pos, cnt, h FROM n UNION ALL SELECT source, any_value(lvl) + 1, pos // 3, any_value((cnt + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE cnt > 1 GROUP BY source, pos // 3),
+  subs AS MATERIALIZED (SELECT source, lvl AS top, h AS subroot FROM lv WHERE cnt = 1),
+  t0 AS MATERIALIZED (SELECT source, top, subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS cnt FROM subs),
+  tv AS (SELECT 0 AS lvl, pos, cnt, subroot AS h FROM t0 UNION ALL SELECT any_value(lvl) + 1, pos // 3, any_value((cnt + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM tv WHERE cnt > 1 GROUP BY pos // 3),
+  alln AS MATERIALIZED (SELECT coalesce('+' || source, '-') AS seq, lvl, pos, h FROM lv WHERE cnt > 1 UNION ALL SELECT '', lvl, pos, h FROM tv WHERE cnt > 1),
+  runs AS MATERIALIZED (SELECT seq, lvl, pos // 3 AS up, list(h ORDER BY pos) AS hs FROM alln GROUP BY ALL),
+  f AS (SELECT n.r, 0 AS step, top, CASE WHEN top = 0 THEN '' ELSE coalesce('+' || n.source, '-') END AS seq, 0 AS lvl, CASE WHEN top = 0 THEN t0.pos ELSE n.pos END AS pos, t0.pos AS top_at, CASE WHEN even THEN cut ELSE h END AS h, '' AS sibs FROM n JOIN t0 ON n.source IS NOT DISTINCT FROM t0.source
+    UNION ALL SELECT f.r, step + 1, top, CASE WHEN step + 1 >= top THEN '' ELSE f.seq END, CASE WHEN step + 1 >= top THEN step + 1 - top ELSE step + 1 END, CASE WHEN step + 1 = top THEN top_at ELSE f.pos // 3 END, top_at,
+      sha256(list_aggregate(list_transform(hs, lambda x, i: CASE WHEN i = f.pos % 3 + 1 THEN h ELSE x END), 'string_agg', '')), sibs || coalesce(list_aggregate(list_filter(hs, lambda x, i: i <> f.pos % 3 + 1), 'string_agg', ''), '')
+      FROM f JOIN runs ON runs.seq = f.seq AND runs.lvl = f.lvl AND runs.up = f.pos // 3),
+  g AS (SELECT r, arg_max(h, step) AS folded_root, sha256(arg_max(sibs, step)) AS proof_sha256 FROM f GROUP BY r),
+  w AS (SELECT h AS root FROM tv WHERE cnt = 1)
+  SELECT doc_id, h AS leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM n JOIN g USING (r) JOIN t0 ON n.source IS NOT DISTINCT FROM t0.source, w"""
+
+ORACLE = {"op2_secret_scan": _op2_sql(), "op5_source_mix": _OP5_SQL, "op11_fill_in_middle": _OP11_SQL, "op12_merkle_manifest": _OP12_SQL}
