@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, fill_in_middle, merkle, minhash, mixing, quality, secret_scan, sharding, substring_dedup, token_output, toxicity
+from . import decontaminate, embedding_dedup, fill_in_middle, html_extract, merkle, minhash, mixing, quality, secret_scan, sharding, substring_dedup, token_output, toxicity
 from .common import table
 
 
@@ -57,11 +57,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, tampered=merkle.without_newlines(docs)).proofs(keep_path=False)
 
 
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_output, op2_secret_scan, op3_substring_dedup, op4_quality, op5_source_mix, op6_near_duplicates, op7_byte_shards, op8_near_vectors, op9_decontamination, op10_toxicity,
-        op11_fill_in_middle, op12_merkle_manifest,
+        op11_fill_in_middle, op12_merkle_manifest, op13_html_extract,
     )
 }
 
@@ -122,4 +126,9 @@ _OP12_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS
   w AS (SELECT h AS root FROM tv WHERE cnt = 1)
   SELECT doc_id, h AS leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM n JOIN g USING (r) JOIN t0 ON n.source IS NOT DISTINCT FROM t0.source, w"""
 
-ORACLE = {"op2_secret_scan": _op2_sql(), "op5_source_mix": _OP5_SQL, "op11_fill_in_middle": _OP11_SQL, "op12_merkle_manifest": _OP12_SQL}
+_OP13_SQL = """WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's'), '</?(?:p|h1)>', chr(30), 'g') AS x FROM pages),
+  b AS (SELECT page_id, url, list_transform(string_split(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'), chr(30)), lambda s:
+    trim(regexp_replace(replace(regexp_replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', chr(31), 'g'), chr(31), '&'), '[ \t-\r]+', ' ', 'g'))) AS l FROM a)
+  SELECT page_id, url, coalesce(list_aggregate(list_filter(l, lambda s: s <> ''), 'string_agg', chr(10)), '') AS text, length(coalesce(list_aggregate(list_filter(l, lambda s: s <> ''), 'string_agg', chr(10)), '')) AS n_chars FROM b"""
+
+ORACLE = {"op2_secret_scan": _op2_sql(), "op5_source_mix": _OP5_SQL, "op11_fill_in_middle": _OP11_SQL, "op12_merkle_manifest": _OP12_SQL, "op13_html_extract": _OP13_SQL}
