@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_body
@@ -39,13 +42,21 @@ def common_keys(df: DataFrame, keys: list[Column], most: int = 50) -> DataFrame:
     return flat.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most)
 
 
-def line_containment(short: Column, long_: Column) -> Column:
-    """Share of the shorter text's lines that the longer one holds, as multisets."""
-    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    a, b = lines(short), lines(long_)
-    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    shared = F.aggregate(F.transform(F.array_distinct(a), lambda v: F.least(count(a, v), count(b, v))), F.lit(0), lambda s, x: s + x)
-    return F.when(F.size(a) > 0, shared / F.size(a)).otherwise(0.0)
+def _contained(trim: bool):
+    @F.pandas_udf("double")
+    def share(short: pd.Series, long_: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(short, long_, strict=True):
+            lines, other = ([(x.strip(" ") if trim else x) for x in (t or "").split("\n") if x.strip(" " if trim else None)] for t in (a, b))
+            out.append((Counter(lines) & Counter(other)).total() / len(lines) if lines else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return share
+
+
+def line_containment(short: Column, long_: Column, trim: bool = True) -> Column:
+    """Share of the shorter text's lines, blank ones aside, that the longer one holds, as multisets; trim: spaces round a line do not count."""
+    return _contained(trim)(short, long_)
 
 
 def keep_rounds(spark: SparkSession) -> None:
@@ -97,5 +108,7 @@ def first_provider(df: DataFrame, url: Column, provider: Column, rank: Column) -
     """Rows whose provider is the first with their URL; a provider's own repeats stay. Adds order: provider, then rank."""
     rows = df.withColumn("_u", url).withColumn("_p", provider)
     first = rows.groupBy("_u").agg(F.min("_p").alias("_f"))
+    from .sequences import numbered  # which imports this module
+
     rows = rows.join(first, "_u").where("_p = _f").withColumn("_r", rank)
-    return rows.withColumn("order", F.row_number().over(Window.orderBy("_p", "_r", "_u"))).drop("_u", "_p", "_f", "_r")
+    return numbered(rows, ["_p", "_r", "_u"], "order").drop("_u", "_p", "_f", "_r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import identity, profiling, records, relating
+from ..operators import identity, profiling, ranking, records, relating
 from .registry import Registry, Tables
 
 R = Registry()
@@ -146,7 +146,10 @@ def call_result_pairs(t: Tables):
 
 @R.add("""SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, list_slice(list_sort(list(doc_id)), 1, 3) AS samples FROM documents GROUP BY 1""")
 def folder_profile(t: Tables):
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("samples"))
+    first = ranking.top_per_group(t.documents.select("lang", "doc_id"), ["lang"], [F.col("doc_id")], 3)  # three rows of a group leave a task
+    samples = first.groupBy("lang").agg(F.array_sort(F.collect_list("doc_id")).alias("samples")).withColumnRenamed("lang", "_l")
+    totals = t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return totals.join(samples, F.col("lang").eqNullSafe(F.col("_l"))).drop("_l")
 
 
 @R.add("""SELECT count(*) AS n, count(*) FILTER (quality = 1) AS ok, count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (quality = 0 AND toxic = 1) AS escalated FROM labels""")

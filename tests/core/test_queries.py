@@ -7,10 +7,10 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from lakewright.plans import entities, records, rules, sessions, streams, tables, terms, texts
+import __spark_entry__
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-REGISTRIES = (tables.R, texts.R, records.R, entities.R, rules.R, sessions.R, terms.R, streams.R)
+REGISTRIES = __spark_entry__.CORE
 QUERIES = {k: v for r in REGISTRIES for k, v in r.queries.items()}
 SQL = {k: v for r in REGISTRIES for k, v in r.sql.items()}
 
