@@ -29,19 +29,21 @@ def _in_order(needle: str, text: Column) -> Column:
     return F.when(end["ok"], end["score"] + F.when(text == needle, WHOLE).otherwise(0.0))
 
 
-def fuzzy_score(query: str, text: Column) -> Column:
-    """Sum over the query's tokens (split at spaces and slashes), all of which must match; null if one does not.
+def token_score(token: str, text: Column) -> Column:
+    """Score of one token; null if it does not match. A token of letters then digits, or the reverse, may match with its parts swapped."""
+    low, token = F.lower(text), token.lower()
+    score = _in_order(token, low)
+    if m := re.fullmatch(r"([a-z]+)([0-9]+)|([0-9]+)([a-z]+)", token):
+        a, b = (m[1], m[2]) if m[1] else (m[3], m[4])
+        score = F.coalesce(score, _in_order(b + a, low) + SWAPPED)
+    return score
+
 
-    A token of letters then digits, or the reverse, may match with its parts swapped.
-    """
-    low = F.lower(text)
+def fuzzy_score(query: str, text: Column) -> Column:
+    """Sum over the query's tokens (split at spaces and slashes), all of which must match; null if one does not."""
     total = F.lit(0.0)
     for token in [t for t in re.split(r"[\s/]+", query.strip().lower()) if t]:
-        score = _in_order(token, low)
-        if m := re.fullmatch(r"([a-z]+)([0-9]+)|([0-9]+)([a-z]+)", token):
-            a, b = (m[1], m[2]) if m[1] else (m[3], m[4])
-            score = F.coalesce(score, _in_order(b + a, low) + SWAPPED)
-        total = total + score
+        total = total + token_score(token, text)
     return total
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_links, wikilinks
 from .identity import keep_rounds
+from .stored import stored
 
 
 def paths(spark, nodes: str, id_: str, parent: str, label: str) -> DataFrame:
@@ -54,6 +57,29 @@ def thread_roots(spark, messages: str, id_: str, parent: str) -> DataFrame:
     return now.select("id", F.when(F.col("done"), F.col("at")).otherwise(F.col("low")).alias("root"))
 
 
+def reply_parents(messages: DataFrame, id_: str, message_id: str, in_reply_to: str, references: str) -> DataFrame:
+    """(id, parent): the first of a message's In-Reply-To ids, then of its References from the last one back, that another message bears.
+
+    Of messages with one Message-ID the last by id counts. Ids that nobody bears, or only the message itself, are passed over. Null where none is left.
+    """
+    known = messages.where(F.col(message_id).isNotNull()).groupBy(F.col(message_id).alias("named")).agg(F.max(id_).alias("parent"))
+    none = F.array().cast("array<string>")
+    said = F.concat(F.coalesce(F.col(in_reply_to), none), F.reverse(F.coalesce(F.col(references), none)))
+    rows = messages.select(F.col(id_).alias("id"), F.posexplode(said).alias("at", "named"))
+    found = rows.join(known, "named").where("parent <> id").groupBy("id").agg(F.min_by("parent", "at").alias("parent"))
+    return messages.select(F.col(id_).alias("id")).join(found, "id", "left").select("id", "parent")
+
+
+def mail_threads(messages: DataFrame, id_: str, message_id: str, in_reply_to: str, references: str) -> DataFrame:
+    """(id, parent, root, thread): threads by reply headers; thread is a name made of the root's id."""
+    parents = stored(reply_parents(messages, id_, message_id, in_reply_to, references), "mail-parents")
+    name = f"lw_mail_{uuid.uuid4().hex[:12]}"
+    parents.createOrReplaceTempView(name)
+    roots = thread_roots(messages.sparkSession, name, "id", "parent")
+    messages.sparkSession.catalog.dropTempView(name)
+    return parents.join(roots, "id").select("id", "parent", "root", F.concat(F.lit("thread-"), F.substring(F.sha2(F.col("root").cast("string").cast("binary"), 256), 1, 16)).alias("thread"))
+
+
 def links(pages: DataFrame, id_: str, html: str) -> DataFrame:
     return pages.select(F.col(id_).alias("src"), F.explode(html_links(F.col(html))).alias("target"))
 
