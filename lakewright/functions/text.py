@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,23 +60,49 @@ def stable_id(prefix: str, c: Column, length: int = 12) -> Column:
 
 def slug(c: Column, longest: int = 60, fallback: str = "item") -> Column:
     """ASCII letters and digits, other runs become one hyphen."""
-    s = F.regexp_replace(F.lower(fold_marks(c)), "[^a-z0-9]+", "-")
+    s = F.regexp_replace(fold(c), "[^a-z0-9]+", "-")
     s = F.regexp_replace(F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, longest), "-+$", "")
     return F.when(s == "", F.lit(fallback)).otherwise(s)
 
 
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def folded_character(c: str) -> str:
+    """A character decomposed for compatibility, without its combining marks, in folded case."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
 
 
-def fold_marks(c: Column) -> Column:
-    """Latin letters without their marks, lower case and capitals."""
-    return F.translate(c, _MARKED + _MARKED[:-1].upper(), _PLAIN + _PLAIN[:-1].upper())
+@cache
+def _fold_tables() -> tuple[str, str, tuple[str, ...]]:
+    """Characters that become one or none, what they become, and those that become several with a letter or digit among them (each before its text)."""
+    found = {c: folded_character(c) for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"}
+    found = {c: f for c, f in found.items() if f != c}
+    one, none = [c for c, f in found.items() if len(f) == 1], [c for c, f in found.items() if not f]
+    several = tuple(c + f for c, f in found.items() if len(f) > 1 and re.search("[a-z0-9]", f))
+    return "".join(one + none), "".join(found[c] for c in one), several
+
+
+def fold(c: Column) -> Column:
+    """Text without marks and case: ā is a, ß is ss, ﬁ is fi. Hangul and others that fold to several letters beyond a to z stay as they are.
+
+    Text in ASCII is only lower-cased; the other steps are taken where there is something to fold.
+    """
+    marked, plain, several = _fold_tables()
+
+    def spell_out(text: Column) -> Column:
+        pairs = F.split(F.lit("\n".join(several)), "\n")
+        return F.aggregate(pairs, text, lambda s, p: F.replace(s, F.substring(p, 1, 1), F.substring(p, 2, 100)))
+
+    rare = "[" + "".join(f"\\x{{{ord(x[0]):X}}}" for x in several if x[0] != "ß") + "]"
+
+    def full(text: Column) -> Column:
+        text = F.replace(text, F.lit("ß"), F.lit("ss"))  # by far the commonest
+        return F.translate(_once(text, lambda t: F.when(t.rlike(rare), spell_out(t)).otherwise(t)), marked, plain)
+
+    return _once(c, lambda t: F.when(t.rlike("[^\\x00-\\x7F]"), full(t)).otherwise(F.lower(t)))
 
 
 def title_key(c: Column) -> Column:
     """Case, marks and punctuation do not count."""
-    return F.trim(F.regexp_replace(F.lower(fold_marks(c)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
 
 
 def truncate_at_boundary(c: Column, most: int) -> Column:

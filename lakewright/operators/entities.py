@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_doi, title_key, tokens
+from ..functions.text import folded_character, normalize_doi, title_key, tokens
 
 #: Roles by precedence where a document has several (fixed values).
 ROLES = ("hub", "folder", "embed", "transcript")
@@ -126,8 +126,8 @@ def candidate_score(title: Column, query: str, by_author: Column | None = None,
 
 
 def title_key_of(text: str) -> str:
-    """A query's title key, made by the same rule for plain ASCII text."""
-    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
+    """A query's title key, made by the same rule."""
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in "".join(map(folded_character, text))).split())
 
 
 def retained_rare_words(source: Column, cleaned: Column, least_length: int = 7) -> dict[str, Column]:

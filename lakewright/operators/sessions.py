@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_space, fold_marks, trim_all
+from ..functions.text import collapse_space, fold, trim_all
 
 #: A session without an answer has this model (a fixed value).
 UNKNOWN_MODEL = "[unknown]/[unknown]"
@@ -106,7 +106,7 @@ def relevant_text(text: Column, words: list[str], most: int) -> Column:
     """
     whole = F.coalesce(text, F.lit(""))
     parts = F.filter(F.transform(F.split(whole, "\n{2,}"), trim_all), lambda c: c != "")
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(fold_marks(collapse_space(c))), "[^\\p{L}\\p{N}]+", " "))
+    plain = lambda c: F.trim(F.regexp_replace(fold(collapse_space(c)), "[^\\p{L}\\p{N}]+", " "))
     asked = sorted({w for w in words if len(w) >= 4})
 
     def score(key: Column, i: Column) -> Column:

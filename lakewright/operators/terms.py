@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_marks
+from ..functions.text import fold
 from ..functions.values import cosine
 
 #: Least ratio of a near spelling and of a name, and the longest run of tokens (fixed values).
@@ -23,20 +23,37 @@ MOST_TERMS, MOST_SPEAKERS = 8, 10
 
 def letters(c: Column) -> Column:
     """Letters a to z in lower case, without their marks."""
-    return F.regexp_replace(F.lower(fold_marks(c)), "[^a-z]", "")
+    return F.regexp_replace(fold(c), "[^a-z]", "")
 
 
 def word_list(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("\\p{L}+"), F.lit(0))
 
 
-def runs(c: Column, most: int = RUN) -> Column:
-    """array<struct<key,phrase>> of all runs of one to `most` tokens, shorter ones first."""
-    none = F.array().cast("array<string>")
-    at = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+def runs(c: Column, most: int = RUN, able: str = "^[a-z]") -> Column:
+    """array<struct<at,key,phrase>> of the runs of one to `most` tokens whose folded letters match `able`, shorter ones first.
+
+    A text is folded once, not run by run: folding goes character by character.
+    """
+    words = word_list(c)
+    keys = F.split(F.regexp_replace(fold(F.array_join(words, " ")), "[^a-z ]", ""), " ")
+    none = F.array().cast("array<struct<key:string,phrase:string>>")
+    joined = lambda xs, i, n, by: F.array_join(F.slice(xs, i, n), by)
+    at = lambda x, n: F.when(F.size(x["w"]) >= n, F.transform(F.sequence(F.lit(1), F.size(x["w"]) - n + 1), lambda i: F.struct(joined(x["k"], i, n, "").alias("key"), joined(x["w"], i, n, " ").alias("phrase")))).otherwise(none)
     # the words are bound as a lambda's argument, so a text is cut once and not for each run
-    phrases = F.flatten(F.transform(F.array(word_list(c)), lambda w: F.concat(*[at(w, n) for n in range(1, most + 1)])))
-    return F.filter(F.transform(phrases, lambda p: F.struct(letters(p).alias("key"), p.alias("phrase"))), lambda r: r["key"] != "")
+    found = F.flatten(F.transform(F.array(F.struct(words.alias("w"), keys.alias("k"))), lambda x: F.concat(*[at(x, n) for n in range(1, most + 1)])))
+    return F.filter(F.transform(found, lambda r, i: F.struct(i.alias("at"), r["key"].alias("key"), r["phrase"].alias("phrase"))), lambda r: r["key"].rlike(able))
+
+
+def _able(folded: list[str], least: float) -> str:
+    """A pattern of the keys that may be near one of some folded forms: the same first letter, and a length that allows the ratio."""
+    bands: dict[str, list[int]] = {}
+    for f in folded:
+        n = len(f)
+        low, high = -int(-n * least / (2 - least) // 1), int(n * (2 - least) / least)
+        now = bands.setdefault(f[0], [low, high])
+        now[:] = min(now[0], low), max(now[1], high)
+    return "^(?:" + "|".join(f"{c}[a-z]{{{max(low, 1) - 1},{high}}}" for c, (low, high) in sorted(bands.items())) + ")$" if bands else "^$a"
 
 
 def _ratio():
@@ -54,8 +71,10 @@ def _matches(keys: DataFrame, lexicon: DataFrame, least: float) -> DataFrame:
     return keys.distinct().join(lexicon, able).withColumn("score", _ratio()(F.col("folded"), F.col("key"))).where(F.col("score") >= least)
 
 
-def _seen(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_).alias("id"), F.posexplode(runs(F.col(text))).alias("at", "r")).select("id", "at", "r.key", "r.phrase")
+def _seen(docs: DataFrame, id_: str, text: str, forms: DataFrame, least: float) -> DataFrame:
+    """Runs that may be near to one of the folded forms of a stated list."""
+    able = _able([r["folded"] for r in forms.select("folded").distinct().collect()], least)
+    return docs.select(F.col(id_).alias("id"), F.explode(runs(F.col(text), able=able)).alias("r")).select("id", "r.at", "r.key", "r.phrase")
 
 
 def near_miss_terms(docs: DataFrame, id_: str, text: str, terms: list[str], most: int = MOST_TERMS) -> DataFrame:
@@ -64,16 +83,14 @@ def near_miss_terms(docs: DataFrame, id_: str, text: str, terms: list[str], most
     Terms that the text already spells, case and marks aside, are left out, and so are runs that spell another term.
     """
     rows = docs.sparkSession.createDataFrame([(t,) for t in sorted(set(terms))], "term string").withColumn("folded", letters(F.col("term"))).where("folded <> ''")
-    seen = _seen(docs, id_, text)
+    seen = _seen(docs, id_, text, rows, NEAR_RATIO)
     other = rows.select(F.col("folded").alias("key")).distinct()
     near = _matches(seen.select("key"), rows, NEAR_RATIO)
     near = near.where("key = folded").unionByName(near.where("key <> folded").join(other, "key", "left_anti"))
-    plain = fold_marks(F.coalesce(F.col(text), F.lit("")))
-    spelt = []
-    for t in sorted(set(terms)):
-        words = F.array_join(word_list(fold_marks(F.lit(t))), "\\s+")
-        spelt.append(F.when(F.rlike(plain, F.concat(F.lit("(?iU)(?<!\\w)"), words, F.lit("(?!\\w)"))), t))
-    known = docs.select(F.col(id_).alias("id"), F.explode(F.array_compact(F.array(*spelt))).alias("term"))
+    patterns = [(t, F.concat(F.lit("(?iU)(?<!\\w)"), F.array_join(word_list(fold(F.lit(t))), "\\s+"), F.lit("(?!\\w)"))) for t in sorted(set(terms))]
+    # the folded text is bound as a lambda's argument, so it is made once and not for each term
+    spelt = F.transform(F.array(fold(F.coalesce(F.col(text), F.lit("")))), lambda p: F.array_compact(F.array(*[F.when(F.rlike(p, x), t) for t, x in patterns])))
+    known = docs.select(F.col(id_).alias("id"), F.explode(F.flatten(spelt)).alias("term"))
     best = seen.join(near, "key").groupBy("id", "term").agg(F.max_by("phrase", F.struct("score", -F.col("at"))).alias("heard_as"), F.round(F.max("score"), 3).alias("score"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), F.lower("term"), "term"))
     return best.join(known, ["id", "term"], "left_anti").withColumn("rank", rank).where(F.col("rank") <= most).select("id", "term", "heard_as", "rank")
@@ -92,7 +109,7 @@ def mentioned_speakers(docs: DataFrame, id_: str, text: str, speakers: list[dict
     ends = F.array_compact(F.array(F.when(F.length(first) >= 3, first), F.when(F.length(last) >= 4, last)))
     forms = F.concat("said", F.when(F.size(parts) > 1, ends).otherwise(F.array().cast("array<string>")))
     forms = who.select("name", F.explode(F.array_distinct(F.transform(forms, letters))).alias("folded")).where("folded <> ''")
-    seen = _seen(docs, id_, text).select("id", "key").distinct()
+    seen = _seen(docs, id_, text, forms, NAME_RATIO).select("id", "key").distinct()
     hits = seen.join(_matches(seen.select("key"), forms, NAME_RATIO), "key").groupBy("id", "name").agg(F.count_distinct("folded").alias("hits"))
     always = [s["name"] for s in speakers if s.get("appears") == "always"]
     fixed = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(n).alias("name")) for i, n in enumerate(always)]) if always else F.array().cast("array<struct<tier:int,name:string>>")

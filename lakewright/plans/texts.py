@@ -197,6 +197,17 @@ def name_keys(t: Tables):
     return t.part.select("p_partkey", X.title_key(c).alias("title_key"), X.slug(c).alias("slug"))
 
 
+_FOLDED = "replace(lower(strip_accents(coalesce(text, ''))), 'ß', 'ss')"
+
+
+@R.add(rf"""SELECT doc_id, md5(trim(regexp_replace({_FOLDED}, '[^a-z0-9]+', ' ', 'g'))) AS title_md5, md5(regexp_replace({_FOLDED}, '[^a-z]', '', 'g')) AS letters_md5,
+    coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace({_FOLDED}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', ''), ''), 'item') AS slug FROM documents""", covers=("F04", "F05", "F08"))
+def folded_texts(t: Tables):
+    c = F.coalesce("text", F.lit(""))
+    digest = lambda x: F.md5(x.cast("binary"))
+    return t.documents.select("doc_id", digest(X.title_key(c)).alias("title_md5"), digest(F.regexp_replace(X.fold(c), "[^a-z]", "")).alias("letters_md5"), X.slug(c).alias("slug"))
+
+
 @R.add(r"""WITH m AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^m\.', ''), '^amp\.', ''), ':(80|443)$', '') AS h, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p,
       list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|igshid|mc_cid|mc_eid|mkt_tok|msclkid|ref|ref_src|spm|yclid)$')) AS q FROM pages),
     k AS (SELECT *, list_transform(list_sort(list_transform(q, lambda x, i: {'name': split_part(x, '=', 1), 'at': i, 'x': x})), lambda e: e.x) AS o FROM m)
