@@ -158,3 +158,32 @@ def word_share(words: list[str], text: Column) -> Column:
     known = sorted(set(words))
     hits = reduce(lambda a, w: a + text.contains(w).cast("int"), known, F.lit(0))
     return F.round(hits / max(1, len(known)), 4)
+
+
+#: Stems that say nothing, and beginnings of camera exports (fixed values).
+GENERIC_STEMS = ("untitled", "document", "new", "copy", "image", "photo", "file", "download", "img", "picture", "final", "draft", "temp", "tmp", "output")
+CAMERA = ("img", "dsc", "dscn", "pxl", "vid", "mov", "gopr", "dcim", "p10", "p_")
+
+
+def name_cluster(name: Column) -> Column:
+    """A label for files of like names: screenshots, scans, camera, else the first word of the stem without its counter, or generic."""
+    stem = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(name, F.lit("")), "([^/]*)/*$", 1), "(?<=.)\\.[^.]*$", ""))
+    base = F.regexp_replace(F.regexp_replace(stem, "[\\s_-]*(\\(?\\d+\\)?|v\\d+|copy|final|draft|rev\\d*)$", ""), "^[ _-]+|[ _-]+$", "")
+    word = F.regexp_extract(base, "^[a-z]+", 0)
+    out = F.when(word.isin(*GENERIC_STEMS) | (F.length(word) < 2), "generic").otherwise(word)
+    out = F.when(stem.rlike("^(" + "|".join(CAMERA) + ")") & stem.rlike("[0-9]"), "camera").otherwise(out)
+    return F.when(stem == "", "other").when(stem.rlike("screen[ _]?shot"), "screenshots").when(stem.contains("scan"), "scans").otherwise(out)
+
+
+def route_path(parts: list[tuple[list[Column], Column]]) -> Column:
+    """A folder path from numbered levels, outermost first: each is (numbers from the first level to its own, label). Null where a label cannot be a folder.
+
+    The first level is `NN label`, deeper ones are `N.MM label` with the first number plain. Levels whose last number is null are left out.
+    """
+    out = []
+    for numbers, label in parts:
+        pad = [F.lpad(n.cast("string"), F.greatest(F.lit(2), F.length(n.cast("string"))), F.lit("0")) for n in numbers]
+        number = pad[0] if len(numbers) == 1 else F.concat_ws(".", numbers[0].cast("string"), *pad[1:])
+        out.append(F.when(numbers[-1].isNotNull(), F.concat(number, F.lit(" "), label)))
+    unsafe = reduce(lambda a, b: a | b, [F.coalesce(p.rlike("[/\\\\]"), F.lit(False)) for p in out])
+    return F.when(~unsafe, F.concat_ws("/", *out))

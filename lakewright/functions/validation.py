@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import is_blank, trim_all
@@ -103,3 +103,60 @@ def legacy_created(c: Column) -> Column:
     day = lambda x: valid_date(F.regexp_extract(x, "^[\"']*([0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])", 1))
     dates = F.zip_with(part(1), part(2), lambda k, x: F.when(key(k).isin(*LEGACY_CREATED_KEYS), day(x)))
     return F.get(F.array_compact(dates), F.lit(0))
+
+
+#: Fields of an extracted item that are text, beside its type and title (fixed values).
+ITEM_TEXTS = ("description", "party", "counterparty", "date_text", "date_kind", "date", "trigger", "recurrence", "acceptance_criteria", "evidence_required", "commitment_level", "interpretation", "confidence", "scope_relation", "start_date", "end_date", "schedule_basis")
+
+
+def extracted_item(c: Column) -> dict[str, Column]:
+    """An item that a model sent as JSON: problem, the first rule that it breaks (null: none), and its fields with their defaults.
+
+    Rules and their order are those of item_problem, then whole numbers of offset_days, quotations (one text counts as a list of one), teams and workstreams
+    (one text is a list of one, a blank one of none), the relation to the scope, start and end dates, and days of duration, which are not negative.
+    The fields of a broken item are what could be read of it.
+    """
+    v = F.try_parse_json(c)
+    raw = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
+    kind = lambda k: F.coalesce(F.schema_of_variant(raw(k)), F.lit("VOID"))
+    text = lambda k: F.when(kind(k) != "VOID", trim_all(F.try_variant_get(v, f"$.{k}", "string")))
+    none = F.array().cast("array<string>")
+    many = lambda k: F.transform(F.try_variant_get(v, f"$.{k}", "array<string>"), trim_all)
+    one = lambda k: F.when(is_blank(text(k)), none).otherwise(F.array(text(k)))
+    listed = lambda k: F.when(kind(k) == "VOID", none).when(kind(k) == "STRING", one(k)).when(kind(k).startswith("ARRAY"), many(k))
+    sound = lambda k, least: F.coalesce((kind(k).isin("VOID", "STRING") | kind(k).isin("ARRAY<STRING>", "ARRAY<VOID>")) & (F.size(listed(k)) >= least) & ~F.exists(listed(k), is_blank), F.lit(False))
+    whole = lambda k: (kind(k) == "VOID") | (kind(k) == "BIGINT") | ((kind(k) == "STRING") & (F.try_variant_get(v, f"$.{k}", "string") == ""))
+    number = lambda k: F.when(kind(k) == "BIGINT", F.try_variant_get(v, f"$.{k}", "long"))
+    fields = {k: text(k) for k in ("item_type", "title", *ITEM_TEXTS)}
+    filled = item_defaults({**fields, "direct_quotes": listed("direct_quotes")})
+    day = lambda k: is_blank(fields[k]) | valid_date(fields[k]).isNotNull()
+    base = item_problem({**filled, "direct_quotes": F.array(F.lit("x")), "scope_relation": F.lit("direct")})
+    rules = [
+        (~whole("offset_days"), "offset_days"), (~sound("direct_quotes", 1), "direct_quotes"), (~sound("teams", 0), "teams"), (~sound("workstreams", 0), "workstreams"),
+        (~filled["scope_relation"].isin("direct", "dependency", "shared", "full"), "scope_relation"), (~day("start_date"), "start_date"), (~day("end_date"), "end_date"),
+        (~whole("duration_days") | (number("duration_days") < 0), "duration_days"),
+    ]
+    late = F.lit(None).cast("string")
+    for broken, name in reversed(rules):
+        late = F.when(broken, name).otherwise(late)
+    broken = ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    dated = F.coalesce(*[F.when(~is_blank(fields[k]), fields[k]) for k in ("start_date", "end_date", "date")])
+    basis = F.when(~is_blank(fields["schedule_basis"]), fields["schedule_basis"]).when(dated.isNotNull(), "source")
+    out = {**filled, "schedule_basis": basis, "teams": listed("teams"), "workstreams": listed("workstreams"), "offset_days": number("offset_days"), "duration_days": number("duration_days")}
+    return {"problem": F.when(broken, "item").otherwise(F.coalesce(base, late)), **out}
+
+
+def created_from_backups(copies: DataFrame, note: str, run: str, text: Column) -> DataFrame:
+    """(note, run, created): of a note's backup copies the earliest run that states a creation date, under any old spelling or else as its date."""
+    plain = "(?m)^date[ \\t]*:[ \\t]*[\"']*([0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])"
+    day = F.coalesce(legacy_created(text), valid_date(F.regexp_extract(F.coalesce(text, F.lit("")), plain, 1)))
+    found = copies.select(F.col(note).alias("note"), F.col(run).alias("run"), day.alias("created")).where("created is not null")
+    return found.groupBy("note").agg(F.min(F.struct("run", "created")).alias("x")).select("note", "x.run", "x.created")
+
+
+def created_with_backups(rows: DataFrame, note: str, stated: Column, copies: DataFrame, other: Column) -> DataFrame:
+    """(note, created, evidence): what the note states itself, else its earliest backup, else other evidence."""
+    known = copies.select(F.col("note").alias("_note"), F.col("created").alias("_created"))
+    met = rows.select(F.col(note).alias("note"), stated.alias("_stated"), other.alias("_other")).join(known, F.col("note") == F.col("_note"), "left")
+    evidence = F.when(F.col("_stated").isNotNull(), "note").when(F.col("_created").isNotNull(), "backup").when(F.col("_other").isNotNull(), "other")
+    return met.select("note", F.coalesce("_stated", "_created", "_other").alias("created"), evidence.alias("evidence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import fold, tokens
 
 
 def content_coverage(pairs: DataFrame, id_: str, source: str, other: str) -> DataFrame:
@@ -58,3 +58,59 @@ def running_heads(lines: DataFrame, share: float = 0.5, least_pages: int = 3) ->
 def structure(c: Column) -> dict[str, Column]:
     count = lambda p: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(p)).cast("long")
     return {"headings": count("(?m)^#{1,6} "), "table_rows": count("(?m)^\\|.*\\|[ ]*$"), "footnotes": count("\\[\\^[^\\]]+\\]"), "urls": count("https?://")}
+
+
+def comparable_words(c: Column) -> Column:
+    """Words of three letters or more, folded; apostrophes are dropped and hyphens belong to a word."""
+    return F.regexp_extract_all(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), "['\u2019]", ""), F.lit("[a-z][a-z-]{2,}"), F.lit(0))
+
+
+def prose(c: Column) -> Column:
+    """Markdown without headings, and lines without their bullets, quote marks, callouts, bold labels and bars."""
+
+    def line(x: Column) -> Column:
+        for pattern in ("^\\s+|\\s+$", "^[-*+]\\s+", "^>\\s*\\[![a-zA-Z]+\\]\\s*", "^>\\s*", "^\\*\\*[^*]{1,60}:?\\*\\*:?\\s*"):
+            x = F.regexp_replace(x, pattern, "")
+        return F.replace(x, F.lit("|"), F.lit(" "))
+
+    lines = F.filter(F.split(F.coalesce(c, F.lit("")), "\\r\\n|[\\n\\r]"), lambda x: ~F.ltrim(x).startswith("#"))
+    return F.array_join(F.transform(lines, line), "\n")
+
+
+def _prefixes(words: Column, least: int) -> Column:
+    """Every beginning of `least` letters or more of each word, itself included."""
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(least), F.greatest(F.length(w), F.lit(least))), lambda k: F.substring(w, F.lit(1), k))))
+
+
+def invented_words(source: Column, cleaned: Column, allowed: list[str] = ()) -> Column:
+    """Distinct words of the cleaned prose, in order, that have no root in the source.
+
+    A word has one if the source holds it, or a longer word that begins with it, or a shorter one of three letters or more that it begins with, or,
+    from five letters on, a word with its first five. Allowed words and words of the list are no evidence.
+    """
+
+    def judged(said: Column) -> Column:
+        heads = F.array_distinct(_prefixes(said, 3))
+        new = F.array_except(F.array_except(F.array_distinct(comparable_words(prose(cleaned))), F.lit(list(allowed)) if allowed else F.array().cast("array<string>")), heads)
+        # what is left are few words; each is looked up by its own beginnings
+        bound = F.transform(F.array(F.struct(said.alias("said"), heads.alias("heads"))), lambda x: F.filter(new, lambda w: ~(F.arrays_overlap(_prefixes(F.array(F.substring(w, F.lit(1), F.length(w) - 1)), 3), x["said"]) | ((F.length(w) >= 5) & F.arrays_overlap(F.array(F.substring(w, 1, 5)), x["heads"])))))
+        return F.get(bound, F.lit(0))
+
+    return F.get(F.transform(F.array(F.array_distinct(comparable_words(source))), judged), F.lit(0))
+
+
+def vocabulary_coverage(source: Column, written: Column, least: int = 5) -> Column:
+    """Share of the source's distinct words of `least` letters or more that the written text holds, or a beginning of four letters or more of them; 1 without such words."""
+
+    def share(x: Column) -> Column:
+        kept = F.filter(x["own"], lambda w: F.arrays_overlap(_prefixes(F.array(w), 4), x["written"]))
+        return F.when(F.size(x["own"]) > 0, F.size(kept) / F.size(x["own"])).otherwise(1.0)
+
+    own = F.array_distinct(F.filter(comparable_words(source), lambda w: F.length(w) >= least))
+    return F.get(F.transform(F.array(F.struct(own.alias("own"), F.array_distinct(comparable_words(written)).alias("written"))), share), F.lit(0))
+
+
+def dropped_units(units: DataFrame, id_: str, text: Column, written: Column, floor: float = 0.15) -> DataFrame:
+    """(id, coverage): units whose vocabulary hardly reached the written text."""
+    rows = units.select(F.col(id_).alias("id"), vocabulary_coverage(text, written).alias("coverage"))
+    return rows.where(F.col("coverage") < floor).select("id", F.round("coverage", 3).alias("coverage"))

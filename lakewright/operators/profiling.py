@@ -111,3 +111,53 @@ def paired_deltas(before: DataFrame, after: DataFrame, keys: list[str], value: s
     """Means of shared keys before and after, and how many rose or fell."""
     both = before.select(*keys, F.col(value).alias("b")).join(after.select(*keys, F.col(value).alias("a")), keys)
     return both.agg(F.count("*").alias("shared"), F.avg("b").alias("mean_before"), F.avg("a").alias("mean_after"), F.count_if(F.col("a") > F.col("b")).alias("improved"), F.count_if(F.col("a") < F.col("b")).alias("regressed"))
+
+
+def call_groups(calls: DataFrame, by: Column, success: Column, multi: Column, inflation: Column) -> DataFrame:
+    """By group: calls, resolved ones (success is not null), successes, failures, multi calls, their rates (null of nothing), median and 95th percentile of the known inflations."""
+    rows = calls.select(by.alias("key"), success.alias("ok"), F.coalesce(multi, F.lit(False)).alias("multi"), inflation.alias("x"))
+    known = F.when(F.abs("x") < float("inf"), F.col("x"))
+    out = rows.groupBy("key").agg(F.count("*").alias("calls"), F.count("ok").alias("resolved"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("multi").alias("multi"), F.percentile(known, F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return out.select("key", "calls", "resolved", "success", "failed", (F.col("calls") - F.col("resolved")).alias("unresolved"), "multi", rate("multi", "calls").alias("multi_rate"), rate("success", "resolved").alias("success_rate"), F.get("q", F.lit(0)).alias("median_inflation"), F.get("q", F.lit(1)).alias("p95_inflation"))
+
+
+def time_bucket(at: Column, unit: str, zone: str = "UTC") -> Column:
+    """Day, week (its Monday) or hour of a time as a report's time zone has it, as text; unknown without a time."""
+    local = F.from_utc_timestamp(F.to_utc_timestamp(at, F.current_timezone()), zone)
+    text = {"day": F.date_format(local, "yyyy-MM-dd"), "week": F.date_format(F.date_trunc("week", local), "yyyy-MM-dd"), "hour": F.date_format(local, "HH:00")}[unit]
+    return F.coalesce(text, F.lit("[unknown]"))
+
+
+def read_buckets(reads: DataFrame, session: str, bucket: Column, partial: Column) -> DataFrame:
+    """By time bucket: sessions, reads, full and partial ones, each for a session, and the median over sessions of their partial share. Two levels of sums."""
+    rows = reads.select(F.col(session).alias("session"), bucket.alias("key"), F.coalesce(partial, F.lit(False)).alias("partial"))
+    own = rows.groupBy("key", "session").agg(F.count("*").alias("reads"), F.count_if("partial").alias("partial"))
+    out = own.groupBy("key").agg(F.count("*").alias("sessions"), F.sum("reads").alias("reads"), F.sum("partial").alias("partial"), F.percentile(F.col("partial") / F.col("reads"), F.lit(0.5)).alias("median_partial_rate"))
+    each = lambda c: (c / F.col("sessions"))
+    full = F.col("reads") - F.col("partial")
+    return out.select("key", "sessions", "reads", full.alias("full"), "partial", each(F.col("reads")).alias("reads_per_session"), each(full).alias("full_per_session"), each(F.col("partial")).alias("partial_per_session"), "median_partial_rate")
+
+
+def type_matrix(items: DataFrame, id_: str, kind: str, text: str, order: str, kinds: list[str]) -> DataFrame:
+    """A row for each id and a column for each kind: the texts of that kind in order, joined by semicolons; empty without any.
+
+    Kinds are stated, so the pivot needs no pass of its own. Items of other kinds count for nothing, but their ids have a row.
+    """
+    pick = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(kind) == k, F.struct(order, F.coalesce(text, F.lit("")).alias("t"))))), lambda x: x["t"]), "; ").alias(k)
+    return items.groupBy(id_).agg(*[pick(k) for k in kinds])
+
+
+def profile_lines(df: DataFrame, name: str, columns: list[str], common: int = 5) -> DataFrame:
+    """(at, line): the Markdown profile of a table: its size, then a line for each column with type, missing and distinct values and the commonest ones."""
+    cell = lambda c: F.replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\\s*\\n\\s*", " "), F.lit("|"), F.lit("\\|"))
+    top = top_values(df, columns, common).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(cell(F.col("value")), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("v")))).alias("top"))
+    rows = profile(df, columns).join(infer_types(df, columns), "column").join(top, "column", "left")
+    index = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
+    values = F.coalesce(F.array_join(F.transform("top", lambda x: x["v"]), ", "), F.lit(""))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", index.cast("string"), cell(F.col("column")), "kind", F.col("missing").cast("string"), F.col("distinct_values").cast("string"), values), F.lit(" |"))
+    body = rows.select((index + 9).alias("at"), line.alias("line"))
+    size = df.agg(F.count("*").alias("n"))
+    head = ["# Data Profile", "", f"## Table: {name}", "", None, f"- Columns: {len(columns)}", "", "| # | Header | Inferred type | Missing | Unique | Common values |", "|---:|---|---|---:|---:|---|"]
+    lines = F.array(*[F.concat(F.lit("- Data rows: "), F.col("n").cast("string")) if h is None else F.lit(h) for h in head])
+    return size.select(F.posexplode(lines).alias("p", "line")).select((F.col("p") + 1).cast("long").alias("at"), "line").union(body)

@@ -330,3 +330,33 @@ def reused(df: DataFrame, id_: str, vector: str, answer: Column, least: float, r
     rows = classes.join(sizes, "representative").join(answers, "representative").join(spread, "id", "left")
     own = F.col("id") == F.col("representative")
     return rows.select("id", "representative", "members", "answer", (~own).alias("reused"), ((own & (F.col("members") > 1)) | F.coalesce("spread", F.lit(False))).alias("reviewed"))
+
+
+def cluster_members(df: DataFrame, id_: str, vector: str, least: float) -> DataFrame:
+    """(id, cluster, size, representative, similarity): classes of `least` or more, numbered g1, g2 and on by their smallest ids, which represent them.
+
+    similarity: to the representative, to three places; 1 for itself and for rows without a usable vector, which are alone.
+    """
+    classes = stored(similar_classes(df, id_, vector, least).withColumnRenamed("component", "representative"), "cluster-classes")
+    sizes = classes.groupBy("representative").agg(F.count("*").alias("size"))
+    order = numbered(sizes.select("representative"), ["representative"], "place").select("representative", F.concat(F.lit("g"), F.col("place").cast("string")).alias("cluster"))
+    units = unit_rows(df, id_, vector)
+    own, first = units.withColumnRenamed("u", "a"), units.select(F.col("id").alias("representative"), F.col("u").alias("b"))
+    rows = classes.join(sizes, "representative").join(order, "representative").join(own, "id", "left").join(first, "representative", "left")
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
+    return rows.select("id", "cluster", "size", "representative", F.round(F.coalesce(product, F.lit(1.0)), 3).alias("similarity"))
+
+
+def hybrid_ranking(chunks: DataFrame, by: str, id_: str, vector: str, question: list[float], overlap: Column, each: int, meaning: float = 0.75) -> DataFrame:
+    """(by, id, score, best): the `each` best chunks of each group by cosine with a question and share of its words, and the group's best score.
+
+    A chunk without a usable vector has the cosine 0.
+    """
+    q = np.array(question, dtype=float)
+    u = F.array(*[F.lit(float(x)) for x in q / np.linalg.norm(q)])
+    product = F.aggregate(F.zip_with(_unit(F.col(vector)), u, lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
+    rows = chunks.select(by, F.col(id_).alias("id"), (F.lit(meaning) * F.coalesce(product, F.lit(0.0)) + F.lit(1 - meaning) * overlap).alias("score"))
+    best = rows.groupBy(by).agg(F.max("score").alias("best")).withColumnRenamed(by, "_by")
+    # Spark keeps `each` rows of a group in each task before it shuffles
+    top = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))).where(F.col("place") <= each)
+    return top.join(best, F.col(by).eqNullSafe(F.col("_by"))).select(by, "id", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"))

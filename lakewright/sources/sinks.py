@@ -78,3 +78,47 @@ def gantt_lines(rows: DataFrame, id_: str, title: str, section: str, start: str,
 def write_lines(df: DataFrame, path: str, by: list[str], line: str = "line") -> None:
     """Lines in order: files in the order of their names, each sorted."""
     df.repartitionByRange(*by).sortWithinPartitions(*by).select(line).write.mode("overwrite").text(path)
+
+
+#: Columns of a schedule's CSV (fixed values).
+GANTT_COLUMNS = ("control_id", "title", "section", "start_date", "end_date", "duration_days", "date_basis", "scheduled", "working_status", "owner", "teams", "workstreams", "depends_on", "source_evidence_ids")
+
+
+def gantt_rows(controls: DataFrame, status: DataFrame) -> DataFrame:
+    """A row for each control with GANTT_COLUMNS: dates of the source before forecasts, the owner of the status before the source's.
+
+    controls: control_id, title, start_date, end_date, date, duration_days, owner, teams, workstreams, depends_on, source_evidence_ids.
+    status: control_id, forecast_start_date, forecast_end_date, forecast_date, working_status, current_owner.
+    """
+    s = status.select(*[F.col(c).alias(f"s_{c}") for c in status.columns])
+    rows = controls.join(s, F.col("control_id") == F.col("s_control_id"), "left")
+    first, last = F.col("start_date"), F.coalesce("end_date", "date")
+    planned, due = F.col("s_forecast_start_date"), F.coalesce("s_forecast_end_date", "s_forecast_date")
+    stop = F.coalesce(last, due)
+    start = F.coalesce(first, planned, stop)
+    known = lambda a, b: F.coalesce(a, b).isNotNull()
+    basis = F.when(known(first, last), "source").when(known(planned, due), "human_forecast").otherwise("unscheduled")
+    section = F.coalesce(F.get("workstreams", F.lit(0)), F.get("teams", F.lit(0)), F.lit("Unassigned"))
+    made = {"section": section, "start_date": start, "end_date": stop, "date_basis": basis, "scheduled": F.when(start.isNotNull(), "yes").otherwise("no"), "working_status": F.coalesce("s_working_status", F.lit("unknown")), "owner": F.coalesce("s_current_owner", "owner")}
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in GANTT_COLUMNS])
+
+
+def html_escaped(c: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def gantt_page(rows: DataFrame, title: str = "Project Gantt") -> DataFrame:
+    """(at, id, line): a page that shows the schedule as a table; one line of JSON for each row, by id, between a head and a foot."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    plain = lambda c: F.transform(F.col(c).cast("array<string>"), html_escaped) if isinstance(kinds[c], T.ArrayType) else html_escaped(F.col(c).cast("string"))
+    data = F.replace(F.to_json(F.struct(*[plain(c).alias(c) for c in rows.columns])), F.lit("</"), F.lit("<\\/"))
+    body = rows.select(F.lit(1).alias("at"), F.col("control_id").alias("id"), F.concat(data, F.lit(",")).alias("line"))
+    shown = ("control_id", "title", "section", "start_date", "end_date", "working_status", "owner")
+    cells = "+".join(f"'<td>'+(x.{c}??'')+'</td>'" for c in shown)
+    head = f'<!doctype html><meta charset="utf-8"><title>{title}</title><h1>{title}</h1><table id="t"><tr>' + "".join(f"<th>{c}</th>" for c in shown) + "</tr></table><script>const data=["
+    foot = f"];document.getElementById('t').innerHTML+=data.map(x=>'<tr>'+{cells}+'</tr>').join('');</script>"
+    none = F.lit(None).cast(kinds["control_id"])
+    ends = rows.sparkSession.range(2).select((F.col("id") * 2).cast("int").alias("at"), none.alias("_id"), F.when(F.col("id") == 0, head).otherwise(foot).alias("line"))
+    return ends.withColumnRenamed("_id", "id").union(body)
