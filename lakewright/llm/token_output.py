@@ -4,8 +4,12 @@ Texts are tokenised (a null text is empty), an end token follows each document,
 partition's stream is cut into sequences of `length` ids; its last one is filled up with end tokens.
 A keyed Feistel network with cycle-walking permutes 0 .. n - 1: it runs over the least square of a
 power of two that holds n, and repeats where it leaves the range. Sequence i goes to slot p(i), a
-shard holds `stride` slots, and range partitions hold whole shards in slot order. So the bytes of a
-slot are at (slot % stride) * length * width of shard slot // stride, and a reader resumes anywhere.
+shard holds `stride` slots, and range partitions hold whole shards in slot order. Files hold whole
+shards too, FILE_SHARDS of them (some 256 MB) where a partition has so many, so the number of files
+grows with the bytes and not with the shards, and a reader that resumes at a slot skips what lies before it by
+the slots that Parquet notes of each file (`write_shards`, `read_from`). The raw form (`write_fixed`) has one record for each slot,
+all of one length, so the bytes of a slot are found by a multiplication (`fixed_files`); Spark's own text sink writes it
+to any store.
 
 Repeated rows are tokenised as often as they occur, rows without doc_id too; a long text is whole within one
 task; other columns are ignored, whatever their names; an empty table gives no sequence. The tokenised sequences are a written table, so a lost executor repeats no tokenising.
@@ -15,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,18 +37,17 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 LENGTH, STRIDE, KEY = 1024, 2048, 20240601
-#: Words that an encoder remembers at most.
-REMEMBERED = 250_000
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s | \s|^ | $")
+#: Shards in a file at most.
+FILE_SHARDS = 64
+#: Bytes of a Parquet row group.
+GROUP_BYTES = 16 << 20
+#: Ends a record of the raw form.
+RECORD_END = "\n\n"
 
 
 @functools.cache
 def encoder(path: str = TOKENIZER, width: int = 2) -> Callable[[str], bytes]:
-    """Text -> ids as little-endian bytes. Words are remembered: a single space between others always starts a token.
-
-    A Python worker keeps its encoder, with the words it remembers, for all its tasks.
-    """
+    """Text -> ids as little-endian bytes. A Python worker keeps its encoder for all its tasks."""
     import base64
 
     import tiktoken
@@ -54,23 +56,9 @@ def encoder(path: str = TOKENIZER, width: int = 2) -> Callable[[str], bytes]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     bpe = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     kind = f"<u{width}"
-    known: dict[str, bytes] = {}
-
-    def raw(text: str) -> bytes:
-        return np.array(bpe.encode_ordinary(text), dtype=kind).tobytes()
 
     def encode(text: str) -> bytes:
-        words = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        first, rest = words[0], words[1:]
-        out = list(map(known.get, rest))
-        if None in out:
-            for k, ids in enumerate(out):
-                if ids is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    w = rest[k]
-                    out[k] = known[w] = known.get(w) or raw(" " + w)
-        return (raw(first) if first else b"") + b"".join(out)
+        return np.array(bpe.encode_ordinary(text), dtype=kind).tobytes()
 
     return encode
 
@@ -152,9 +140,23 @@ def sequences(docs: DataFrame, path: str = TOKENIZER, length: int = LENGTH, stri
     return rows.select("slot", "shard", (F.col("slot") % stride).cast("int").alias("place"), "n_tokens", "doc_ids", "tokens")
 
 
-def write_shards(seqs: DataFrame, path: str) -> None:
-    """Parquet with a folder for each shard, rows by slot; any store that Spark writes to."""
-    seqs.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+def write_shards(seqs: DataFrame, path: str, stride: int = STRIDE) -> None:
+    """Parquet files of whole shards, rows by slot; any store that Spark writes to. Row groups are of some shards, which is what a writer holds and a reader skips."""
+    seqs.write.option("compression", "zstd").option("maxRecordsPerFile", stride * FILE_SHARDS).option("parquet.block.size", GROUP_BYTES).parquet(path)
+
+
+def write_fixed(seqs: DataFrame, path: str, stride: int = STRIDE) -> None:
+    """Files of whole shards in slot order by name; a record is the tokens of a slot and RECORD_END."""
+    lines = seqs.select(F.col("tokens").cast("string").alias("value"))
+    lines.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", stride * FILE_SHARDS).text(path)
+
+
+def fixed_files(spark, path: str, length: int = LENGTH, width: int = 2) -> DataFrame:
+    """(path, first_slot, slots, record_bytes) of write_fixed's files: a slot's record begins (slot - first_slot) * record_bytes into its file."""
+    size = length * width + len(RECORD_END)
+    files = spark.read.format("binaryFile").load(path).select("path", (F.col("length") / size).cast("long").alias("slots"))
+    ahead = F.coalesce(F.sum("slots").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    return files.select("path", ahead.alias("first_slot"), "slots", F.lit(size).alias("record_bytes"))
 
 
 def materialised(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
@@ -162,12 +164,12 @@ def materialised(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex[:12]}"
     seqs = sequences(docs, **how)
-    write_shards(seqs, path)
+    write_shards(seqs, path, how.get("stride", STRIDE))
     return spark.read.schema(seqs.schema).parquet(path).select(*seqs.columns)
 
 
 def read_from(spark, path: str, slot: int, stride: int = STRIDE) -> DataFrame:
-    """What follows from a slot on, in order; earlier shards are not opened."""
+    """What follows from a slot on, in order; files and row groups of earlier slots are skipped by their statistics."""
     return spark.read.parquet(path).where((F.col("shard") >= slot // stride) & (F.col("slot") >= slot)).orderBy("slot")
 
 
