@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_body
+from .stored import drop_stored, stored
 
 
 def exact_groups(df: DataFrame, id_: str, key: Column) -> DataFrame:
@@ -68,23 +72,56 @@ def keep_rounds(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
 
 
+#: Edges that one task finishes (a few MB); more are contracted round by round until no more are left.
+FINISH = 1 << 18
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of one task -> (a, p): for each label the smallest one that it reaches."""
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not found:
+        return
+    left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    i, j, root = at[: len(left)], at[len(left) :], np.arange(len(names))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new[new]]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], ["a", "p"])
+
+
 def contraction_components(edges: DataFrame, nodes: DataFrame, id_: str) -> DataFrame:
-    """(id, component): the smallest id reachable over edges (a, b); lone nodes are their own.
+    """(id, component): the smallest id reachable over edges (a, b); lone nodes are their own. Ids are whole numbers.
 
-    Each round sends the smallest label along the edges and then jumps to the label's own label, so
-    long paths end after logarithmically many rounds. Rounds are checkpointed.
+    Labels are random names of ids (a bijection of 64 bits). In each round every label hooks to the smallest one next to it, edges are renamed to
+    their ends' hooks, and equal ones and loops go, so a round leaves at most half of the labels that still have edges, and later rounds read
+    less and less. Nothing but edges and labels is moved, and no task sees a component of more than FINISH edges. Rounds are stored tables.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    keep_rounds(edges.sparkSession)
-    now = nodes.select(F.col(id_).alias("id"), F.col(id_).alias("label")).distinct()
-    while True:
-        heard = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        new = now.join(heard, now["id"] == heard["a"], "left").select("id", "label", F.least("label", F.coalesce("low", "label")).alias("next"))
-        own = new.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        new = new.join(own, "next", "left").select("id", "label", F.least("next", F.coalesce("jump", "next")).alias("next")).checkpoint()
-        now = new.select("id", F.col("next").alias("label"))
-        if new.where("label <> next").isEmpty():
-            return now.select("id", F.col("label").alias("component"))
+    name = lambda c: F.xxhash64(F.col(c).cast("long"))
+    both = lambda d: d.select("a", "b").union(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = edges.where("a is not null and b is not null and a <> b")
+    open_ = stored(ends.select(F.least(name("a"), name("b")).alias("a"), F.greatest(name("a"), name("b")).alias("b")).distinct(), "cc-edges")
+    labels = nodes.select(F.col(id_).alias("id")).distinct().withColumn("label", name("id"))
+    up = lambda hook, c, to: hook.select(F.col("a").alias(c), F.col("p").alias(to))
+    while (left := open_.count()) > FINISH:
+        hook = stored(both(open_).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), "cc-hooks")
+        moved = open_.join(up(hook, "a", "x"), "a").join(up(hook, "b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        chain = hook.join(up(hook, "p", "pp"), "p").select(F.col("p").alias("a"), F.col("pp").alias("b"))  # a hook's own hook
+        moved = moved.union(chain).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        labels = stored(labels.join(up(hook, "label", "p"), "label", "left").select("id", F.coalesce("p", "label").alias("label")), "cc-labels")
+        old, open_ = (open_, hook), stored(moved, "cc-edges")
+        drop_stored(*old)
+    if left:
+        last = stored(open_.coalesce(1).mapInArrow(_roots, "a long, p long"), "cc-hooks")
+        labels = labels.join(up(last, "label", "p"), "label", "left").select("id", F.coalesce("p", "label").alias("label"))
+    labels = stored(labels, "cc-labels")
+    return labels.join(labels.groupBy("label").agg(F.min("id").alias("component")), "label").select("id", "component")
 
 
 def cluster_table(components: DataFrame) -> DataFrame:

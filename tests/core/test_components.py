@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from lakewright.operators import identity
 from lakewright.plans import tables
 
 
@@ -26,3 +29,29 @@ def test_every_order_links_over_the_whole_id_range(spark, tmp_path):
                 todo += near[x]
     got = {r.id: r.component for r in tables.R.queries["order_components"](spark, str(tmp_path)).collect()}
     assert got == want and any(c != x and c > 1500 for x, c in want.items())
+
+
+@pytest.mark.parametrize("finish", [0, 30, 1 << 18])
+def test_rounds_and_the_last_task_agree(spark, monkeypatch, finish):
+    """Chains, stars and rings, with null ends, loops, repeated edges and edges to ids that are no node."""
+    monkeypatch.setattr(identity, "FINISH", finish)
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + k, 2000 + (k + 1) % 50) for k in range(50)] + [(rng.randint(3000, 3400), rng.randint(3000, 3400)) for _ in range(180)]
+    edges += [(5, 5), (None, 4), (7, None), (0, 1), (4000, -9), (-9, 4001)]
+    ids = [*range(301), *range(1000, 1200), *range(2000, 2050), *range(3000, 3401), 4000, 4001, 4002]
+    root = {i: i for e in edges for i in e if i is not None} | {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    groups = {}
+    for i in ids:
+        groups.setdefault(find(i), []).append(i)
+    got = identity.contraction_components(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(i,) for i in ids], "n long"), "n")
+    assert {r.id: r.component for r in got.collect()} == {i: min(g) for g in groups.values() for i in g}
