@@ -8,9 +8,10 @@ by their spelling, is suffix-sorted, and gets the wavelet matrix of its Burrows-
 every SAMPLE-th suffix position. Nothing is left out of it, and it does not depend on the benchmark:
 `build_index` gives a table that serves any benchmark.
 
-Search. The distinct windows are dealt by hash to blocks of about BLOCK_BYTES, which is the bound on what
-is broadcast. In each shard they are found by backward search over wavelet ranks, located by walking to a
-sampled suffix position, and merged to spans of words in each document.
+Search. Distinct windows of up to BLOCK_BYTES together are broadcast to all shards. More of them are routed: a window
+goes to the shards that hold its rarest word, in blocks of about BLOCK_BYTES, all in one plan; only windows whose
+every word some shard holds are sent. In a shard they are found by backward search over wavelet ranks, located
+by walking to a sampled suffix position, and merged to spans of words in each document.
 
 Null or empty texts have no words, items without words no windows; an empty benchmark hits nothing, an
 empty table gives none. Rows are told apart by their place in a shard, so each repeated row or doc_id
@@ -21,7 +22,6 @@ columns of both tables are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -276,23 +276,39 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _routed(index: DataFrame, windows: DataFrame, block_bytes: int) -> DataFrame:
+    """Shards, each with a block of the windows whose rarest word it holds; a window with a word that no shard holds goes nowhere."""
+    words = windows.select("w", F.explode(F.array_distinct(F.transform("words", lambda x: x.cast("binary")))).alias("word"))
+    held = index.select("shard", F.explode("vocabulary").alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    held = written(held, "dc-held")
+    counts = held.groupBy("word").agg(F.count("*").alias("n"))
+    need = words.groupBy("w").agg(F.count("*").alias("need"))
+    rarest = words.join(counts, "word").groupBy("w").agg(F.count("*").alias("found"), F.min(F.struct("n", "word")).alias("x"))
+    rarest = rarest.join(need, "w").where("found = need").select("w", "x.word")
+    length = F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " "))
+    met = written(rarest.join(held, "word").select("shard", "w").join(windows.withColumn("bytes", length), "w"), "dc-routed")
+    parts = met.groupBy("shard").agg(F.ceil(F.sum("bytes") / block_bytes).cast("int").alias("parts"))
+    dealt = met.join(parts, "shard").groupBy("shard", F.pmod(F.xxhash64("w"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("words", "items")).alias("x"))
+    return index.drop("doc_ids").join(dealt.select("shard", "x.words", "x.items"), "shard")
+
+
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, items (sorted), spans (of words, disjoint and sorted within a block); one row for each document of the index."""
-    windows = written(windows_of(benchmark, window), "dc-windows")
+    windows = written(windows_of(benchmark, window).withColumn("w", F.monotonically_increasing_id()), "dc-windows")
     size = windows.agg(F.sum(F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " ")))).first()[0] or 0
-    blocks = -(-size // block_bytes)
-    dealt = windows.groupBy(F.pmod(F.xxhash64("words"), F.lit(max(1, blocks))).alias("block")).agg(F.collect_list(F.struct("words", "items")).alias("x"))
-    dealt = written(dealt.select("block", "x.words", "x.items"), "dc-blocks")
-    hits = []
-    for b in range(blocks):
-        one = index.withColumn("block", F.explode(F.array(F.lit(b).cast("long")))).join(F.broadcast(dealt.where(F.col("block") == b)), "block")
-        hits.append(written(one.drop("doc_ids", "block").mapInArrow(_found, f"shard long, row long, items array<string>, spans {_SPANS}"), f"dc-hits-{b}"))
     rows = index.select("shard", F.posexplode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("counts").alias("n_words"))).alias("row", "x"))
     rows = rows.select("shard", F.col("row").cast("long"), "x.doc_id", "x.n_words")
     none = F.array().cast("array<string>"), F.array().cast(_SPANS)
-    if not hits:
+    if not size:
         return rows.select("doc_id", "n_words", none[0].alias("items"), none[1].alias("spans"))
-    all_ = reduce(DataFrame.union, hits).groupBy("shard", "row").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "spans")])
+    if size <= block_bytes:
+        whole = windows.agg(F.collect_list(F.struct("words", "items")).alias("x")).select(F.lit(0).alias("block"), "x.words", "x.items")
+        met = index.drop("doc_ids").withColumn("block", F.explode(F.array(F.lit(0)))).join(F.broadcast(written(whole, "dc-blocks")), "block").drop("block")
+    else:
+        met = _routed(index, windows, block_bytes)
+    columns = ("shard", "counts", "vocabulary", "bits", "freq", "samples", "words", "items")
+    hits = written(met.select(*columns).mapInArrow(_found, f"shard long, row long, items array<string>, spans {_SPANS}"), "dc-hits")
+    all_ = hits.groupBy("shard", "row").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "spans")])
     out = rows.join(all_, ["shard", "row"], "left")
     return out.select("doc_id", "n_words", F.coalesce("items", none[0]).alias("items"), F.coalesce("spans", none[1]).alias("spans"))
 
