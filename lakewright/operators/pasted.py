@@ -3,6 +3,8 @@
 Every run of WINDOW shingles of SHINGLE characters has a least one by hash. A text that holds another holds the other's first run of
 shingles too, and so its least shingle is among the text's own. So an earlier text is looked up by one shingle, a later one by
 some three in a hundred of its characters, and candidates are verified by their characters. Equal texts of a group are one text.
+What is looked up are names (SHA-256) of texts; the texts themselves meet only as candidates. A text that some row of one
+group holds counts for that group alone.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 SHINGLE, WINDOW = 16, 64
 #: Least characters of a text that counts as pasted, and characters of an error that are looked for (fixed values).
 LEAST, PROBE = 80, 120
@@ -66,16 +70,27 @@ def pasted(rows: DataFrame, by: str, order: str, text: Column, probes: DataFrame
     """
     if least < WINDOW + SHINGLE - 1:
         raise ValueError(f"texts of fewer than {WINDOW + SHINGLE - 1} characters have no anchor")
-    new = rows.select(by, order, plain(text).alias("t")).where(F.length("t") >= least)
-    texts = new.groupBy(by, "t").agg(F.min(order).alias("first"))  # a paste that is repeated is one text
-    old = texts.select(by, "t", "first", F.lit("text").alias("kind"))
+    new = stored(rows.select(by, order, plain(text).alias("t")).where(F.length("t") >= least).withColumn("key", F.sha2("t", 256)), "pasted-rows")
+    # texts travel with their rows and with candidates; the index holds their names
+    own = new.groupBy(by, "key").agg(F.min(order).alias("first"))  # a paste that is repeated is one text
+    texts = stored(new.select("key", "t").dropDuplicates(["key"]), "pasted-texts")
+    heads = own.select(by, F.col("key").alias("old"), "first", F.lit("text").alias("kind"))
     if probes is not None:
-        heads = probes.select(by, order, F.substring(plain(F.col("text")), 1, PROBE).alias("t")).where(F.length("t") >= least)
-        old = old.unionByName(heads.groupBy(by, "t").agg(F.min(order).alias("first")).select(by, "t", "first", F.lit("error").alias("kind")))
-    old = old.select(F.col(by).alias("_by"), F.col("t").alias("_old"), F.col("first").alias("earlier"), "kind", _anchor()("t").alias("h"))
-    index = texts.select(by, "t", F.explode(_least_of_windows()("t")).alias("h"))
-    met = index.join(old, (F.col(by).eqNullSafe(F.col("_by"))) & (index["h"] == old["h"])).where(F.contains("t", "_old"))
-    # for each text the texts that it holds, by the place where they first stood
-    held = met.groupBy(by, "t", "kind").agg(F.min("earlier").alias("earlier")).withColumnRenamed(by, "_b").withColumnRenamed("t", "_t")
-    out = new.join(held, F.col(by).eqNullSafe(F.col("_b")) & (F.col("t") == F.col("_t"))).where(F.col("earlier") < F.col(order))
+        cut = probes.select(by, order, F.substring(plain(F.col("text")), 1, PROBE).alias("t")).where(F.length("t") >= least).withColumn("old", F.sha2("t", 256))
+        cut = stored(cut, "pasted-probes")
+        texts = stored(texts.union(cut.select(F.col("old").alias("key"), "t")).dropDuplicates(["key"]), "pasted-texts")
+        heads = heads.unionByName(cut.groupBy(by, "old").agg(F.min(order).alias("first")).select(by, "old", "first", F.lit("error").alias("kind")))
+    anchors = stored(texts.select("key", _anchor()("t").alias("h")), "pasted-anchors")
+    wanted = anchors.select("h").distinct()
+    # only shingles that some earlier text is looked up by are kept, and a pair of names is looked at once
+    index = texts.select("key", F.explode(_least_of_windows()("t")).alias("h")).join(wanted, "h", "left_semi")
+    index = stored(index.join(own.select("key").distinct(), "key", "left_semi"), "pasted-index")
+    pairs = index.join(anchors.select(F.col("key").alias("old"), "h"), "h").select("key", "old").distinct()
+    here, there = own.select(F.col(by).alias("g"), "key"), heads.select(F.col(by).alias("_g"), "old", "first", "kind")
+    pairs = pairs.join(here, "key").join(there.withColumnRenamed("old", "_old"), (F.col("old") == F.col("_old")) & F.col("g").eqNullSafe(F.col("_g")))
+    pairs = stored(pairs.select("g", "key", "old", "first", "kind"), "pasted-pairs")
+    long_, short = texts.select("key", "t"), texts.select(F.col("key").alias("old"), F.col("t").alias("_t"))
+    held = pairs.select("key", "old").distinct().join(short, "old").join(long_, "key").where(F.contains("t", "_t")).select("key", "old")
+    found = pairs.join(held, ["key", "old"]).groupBy("g", "key", "kind").agg(F.min("first").alias("earlier")).withColumnRenamed("key", "_key")
+    out = new.select(by, order, "key").join(found, F.col(by).eqNullSafe(F.col("g")) & (F.col("key") == F.col("_key"))).where(F.col("earlier") < F.col(order))
     return out.select(by, order, "earlier", "kind")

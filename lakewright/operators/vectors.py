@@ -240,14 +240,16 @@ def best_accepted(index: Index, searches: DataFrame, least: float, accepted: Cal
     """(id, hit, similarity): for each search (id, u) the most similar indexed row, other than itself, that is accepted.
 
     accepted: (id, hit, place) -> those of its rows that pass. Candidates come in the order of similarity, then hit, AT_ONCE of a
-    search in a round; a search of which none passes goes on after the last one, so nothing is given up.
+    search in the first round and four times as many in each further one; a search of which none passes goes on after the last one, so
+    nothing is given up.
     """
+    k = AT_ONCE
     open_ = searches.select("id", "u", F.lit(2 * PART).cast("long").alias("after"), F.lit(-1).cast("long").alias("after_id"))
     done = []
     while True:
-        met, _ = _met(index, open_, least, _best(least), "id long, hit long, place long")
+        met, _ = _met(index, open_, least, _best(least, k), "id long, hit long, place long")
         rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("place"), "hit"))
-        best = met.withColumn("rank", rank).where(F.col("rank") <= AT_ONCE)
+        best = met.withColumn("rank", rank).where(F.col("rank") <= k)
         ranked = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("p"), "hit"))).alias("c"))
         ranked = stored(ranked, "vec-candidates")
         flat = ranked.select("id", F.explode("c").alias("c")).select("id", "c.hit", (-F.col("c.p")).alias("place"))
@@ -255,10 +257,11 @@ def best_accepted(index: Index, searches: DataFrame, least: float, accepted: Cal
         passed = stored(passed.select("id", "x.hit", (-F.col("x.p") / PART).alias("similarity")), "vec-passed")
         done.append(passed)
         last = F.element_at("c", -1)
-        rest = ranked.where(F.size("c") == AT_ONCE).join(passed, "id", "left_anti").select("id", (-last["p"]).alias("after"), last["hit"].alias("after_id"))
+        rest = ranked.where(F.size("c") == k).join(passed, "id", "left_anti").select("id", (-last["p"]).alias("after"), last["hit"].alias("after_id"))
         open_ = stored(rest.join(searches.select("id", "u"), "id").select("id", "u", "after", "after_id"), "vec-open")
         if open_.isEmpty():
             break
+        k *= 4
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

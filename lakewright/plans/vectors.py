@@ -83,7 +83,10 @@ def archive_matches(t: Tables):
     searches = index.rows.join(asked.select(F.col("first").alias("id")).distinct(), "id").select("id", "u")
 
     def accepted(c):
-        a, b = (reps.select(F.col("id").alias(k), F.col("body").alias(f"{k}_body")) for k in ("id", "hit"))
+        # the bodies that are named, so that only these meet
+        named = c.select("id").union(c.select("hit")).distinct()
+        bodies_of = vectors.stored(reps.select("id", "body").join(named, "id", "left_semi"), "note-bodies")
+        a, b = (bodies_of.select(F.col("id").alias(k), F.col("body").alias(f"{k}_body")) for k in ("id", "hit"))
         rows = c.join(a, "id").join(b, "hit")
         mine = F.length("id_body") <= F.length("hit_body")
         short, long_ = (F.when(mine, F.col(x)).otherwise(F.col(y)) for x, y in (("id_body", "hit_body"), ("hit_body", "id_body")))
