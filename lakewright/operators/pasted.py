@@ -70,27 +70,32 @@ def pasted(rows: DataFrame, by: str, order: str, text: Column, probes: DataFrame
     """
     if least < WINDOW + SHINGLE - 1:
         raise ValueError(f"texts of fewer than {WINDOW + SHINGLE - 1} characters have no anchor")
-    new = stored(rows.select(by, order, plain(text).alias("t")).where(F.length("t") >= least).withColumn("key", F.sha2("t", 256)), "pasted-rows")
-    # texts travel with their rows and with candidates; the index holds their names
-    own = new.groupBy(by, "key").agg(F.min(order).alias("first"))  # a paste that is repeated is one text
-    texts = stored(new.select("key", "t").dropDuplicates(["key"]), "pasted-texts")
-    heads = own.select(by, F.col("key").alias("old"), "first", F.lit("text").alias("kind"))
+    kept = rows.select(F.col(by).alias("_g"), F.col(order).alias("_n"), plain(text).alias("t")).where(F.length("t") >= least).withColumn("key", F.sha2("t", 256))
+    # texts travel once, as distinct ones, and once more as candidates; all else are their names
+    new = stored(kept.select("_g", "_n", "key"), "pasted-rows")
+    texts = stored(kept.select("key", "t").dropDuplicates(["key"]), "pasted-texts")
+    own = new.groupBy("_g", "key").agg(F.min("_n").alias("first"))  # a paste that is repeated is one text
+    heads, short = own.select("_g", F.col("key").alias("old"), "first", F.lit("text").alias("kind")), texts
     if probes is not None:
-        cut = probes.select(by, order, F.substring(plain(F.col("text")), 1, PROBE).alias("t")).where(F.length("t") >= least).withColumn("old", F.sha2("t", 256))
-        cut = stored(cut, "pasted-probes")
-        texts = stored(texts.union(cut.select(F.col("old").alias("key"), "t")).dropDuplicates(["key"]), "pasted-texts")
-        heads = heads.unionByName(cut.groupBy(by, "old").agg(F.min(order).alias("first")).select(by, "old", "first", F.lit("error").alias("kind")))
-    anchors = stored(texts.select("key", _anchor()("t").alias("h")), "pasted-anchors")
-    wanted = anchors.select("h").distinct()
-    # only shingles that some earlier text is looked up by are kept, and a pair of names is looked at once
-    index = texts.select("key", F.explode(_least_of_windows()("t")).alias("h")).join(wanted, "h", "left_semi")
-    index = stored(index.join(own.select("key").distinct(), "key", "left_semi"), "pasted-index")
-    pairs = index.join(anchors.select(F.col("key").alias("old"), "h"), "h").select("key", "old").distinct()
-    here, there = own.select(F.col(by).alias("g"), "key"), heads.select(F.col(by).alias("_g"), "old", "first", "kind")
-    pairs = pairs.join(here, "key").join(there.withColumnRenamed("old", "_old"), (F.col("old") == F.col("_old")) & F.col("g").eqNullSafe(F.col("_g")))
-    pairs = stored(pairs.select("g", "key", "old", "first", "kind"), "pasted-pairs")
-    long_, short = texts.select("key", "t"), texts.select(F.col("key").alias("old"), F.col("t").alias("_t"))
-    held = pairs.select("key", "old").distinct().join(short, "old").join(long_, "key").where(F.contains("t", "_t")).select("key", "old")
-    found = pairs.join(held, ["key", "old"]).groupBy("g", "key", "kind").agg(F.min("first").alias("earlier")).withColumnRenamed("key", "_key")
-    out = new.select(by, order, "key").join(found, F.col(by).eqNullSafe(F.col("g")) & (F.col("key") == F.col("_key"))).where(F.col("earlier") < F.col(order))
-    return out.select(by, order, "earlier", "kind")
+        cut = probes.select(F.col(by).alias("_g"), F.col(order).alias("_n"), F.substring(plain(F.col("text")), 1, PROBE).alias("t"))
+        cut = stored(cut.where(F.length("t") >= least).withColumn("key", F.sha2("t", 256)), "pasted-probes")
+        short = texts.union(cut.select("key", "t"))
+        heads = heads.unionByName(cut.groupBy("_g", F.col("key").alias("old")).agg(F.min("_n").alias("first")).select("_g", "old", "first", F.lit("error").alias("kind")))
+        anchors = texts.select("key", _anchor()("t").alias("h")).union(cut.select("key", _anchor()("t"))).distinct()
+    else:
+        anchors = texts.select("key", _anchor()("t").alias("h"))
+    anchors = stored(anchors, "pasted-anchors")
+    # only shingles that some earlier text is looked up by are kept, and two names are looked at once
+    index = texts.select("key", F.explode(_least_of_windows()("t")).alias("h"))
+    pairs = index.join(anchors.select(F.col("key").alias("old"), "h"), "h").where("key <> old").select("key", "old").distinct()
+    met = stored(pairs, "pasted-met")
+    lasts = stored(short.join(met.select(F.col("old").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("old"), F.col("t").alias("_t")), "pasted-old")
+    held = texts.join(met.join(lasts, "old"), "key").where(F.contains("t", "_t")).select("key", "old")
+    held = stored(held.union(own.select("key", F.col("key").alias("old")).distinct()), "pasted-held")  # a text holds itself
+    # of a group's texts, those that hold one that stood in the group before
+    here = own.select("_g", "key").join(held, "key")
+    there = heads.select(F.col("_g").alias("_h"), F.col("old").alias("_old"), "first", "kind")
+    found = here.join(there, (F.col("old") == F.col("_old")) & F.col("_g").eqNullSafe(F.col("_h"))).groupBy("_g", "key", "kind").agg(F.min("first").alias("earlier"))
+    found = found.select(F.col("_g").alias("_h"), F.col("key").alias("_key"), "kind", "earlier")
+    out = new.join(found, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("key") == F.col("_key"))).where(F.col("earlier") < F.col("_n"))
+    return out.select(F.col("_g").alias(by), F.col("_n").alias(order), "earlier", "kind")
