@@ -1,14 +1,16 @@
 """Texts that hold an earlier text whole, found by an index of shingles instead of a join of a group with itself.
 
-Every run of WINDOW shingles of SHINGLE characters has a least one by hash. A text that holds another holds the other's first run of
-shingles too, and so its least shingle is among the text's own. So an earlier text is looked up by one shingle, a later one by
-some three in a hundred of its characters, and candidates are verified by their characters. Equal texts of a group are one text.
-What is looked up are names (SHA-256) of texts; the texts themselves meet only as candidates. A text that some row of one
+Every run of WINDOW shingles of SHINGLE characters has a least one by hash; the index has these, some three in a hundred characters.
+A text that holds another holds the other's runs too, and so all of its shingles of the index. So a text is looked up by that
+one of its shingles that the fewest texts have, which passages that many texts share are not, and candidates are verified by their characters. Equal texts of a group are one text.
+What is looked up are numbers of texts; the texts themselves meet only as candidates. A text that some row of one
 group holds counts for that group alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,14 +43,6 @@ def _shingles(text: str) -> np.ndarray:
     return out
 
 
-def _anchor():
-    @F.pandas_udf("long")
-    def first(texts: pd.Series) -> pd.Series:
-        return pd.Series([int(_shingles(t[: WINDOW + SHINGLE - 1]).min().view(np.int64)) for t in texts], dtype="int64")
-
-    return first
-
-
 def _least_of_windows():
     @F.pandas_udf("array<long>")
     def windows(texts: pd.Series) -> pd.Series:
@@ -70,32 +64,29 @@ def pasted(rows: DataFrame, by: str, order: str, text: Column, probes: DataFrame
     """
     if least < WINDOW + SHINGLE - 1:
         raise ValueError(f"texts of fewer than {WINDOW + SHINGLE - 1} characters have no anchor")
-    kept = rows.select(F.col(by).alias("_g"), F.col(order).alias("_n"), plain(text).alias("t")).where(F.length("t") >= least).withColumn("key", F.sha2("t", 256))
-    # texts travel once, as distinct ones, and once more as candidates; all else are their names
-    new = stored(kept.select("_g", "_n", "key"), "pasted-rows")
-    texts = stored(kept.select("key", "t").dropDuplicates(["key"]), "pasted-texts")
-    own = new.groupBy("_g", "key").agg(F.min("_n").alias("first"))  # a paste that is repeated is one text
-    heads, short = own.select("_g", F.col("key").alias("old"), "first", F.lit("text").alias("kind")), texts
+    kept = rows.select(F.col(by).alias("_g"), F.col(order).alias("_n"), plain(text).alias("t")).where(F.length("t") >= least).withColumn("sha", F.sha2("t", 256))
+    parts = [kept.select("_g", "_n", "sha", F.lit("text").alias("kind"), "t")]
     if probes is not None:
-        cut = probes.select(F.col(by).alias("_g"), F.col(order).alias("_n"), F.substring(plain(F.col("text")), 1, PROBE).alias("t"))
-        cut = stored(cut.where(F.length("t") >= least).withColumn("key", F.sha2("t", 256)), "pasted-probes")
-        short = texts.union(cut.select("key", "t"))
-        heads = heads.unionByName(cut.groupBy("_g", F.col("key").alias("old")).agg(F.min("_n").alias("first")).select("_g", "old", "first", F.lit("error").alias("kind")))
-        anchors = texts.select("key", _anchor()("t").alias("h")).union(cut.select("key", _anchor()("t"))).distinct()
-    else:
-        anchors = texts.select("key", _anchor()("t").alias("h"))
-    anchors = stored(anchors, "pasted-anchors")
-    # only shingles that some earlier text is looked up by are kept, and two names are looked at once
-    index = texts.select("key", F.explode(_least_of_windows()("t")).alias("h"))
-    pairs = index.join(anchors.select(F.col("key").alias("old"), "h"), "h").where("key <> old").select("key", "old").distinct()
-    met = stored(pairs, "pasted-met")
-    lasts = stored(short.join(met.select(F.col("old").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("old"), F.col("t").alias("_t")), "pasted-old")
-    held = texts.join(met.join(lasts, "old"), "key").where(F.contains("t", "_t")).select("key", "old")
-    held = stored(held.union(own.select("key", F.col("key").alias("old")).distinct()), "pasted-held")  # a text holds itself
+        cut = probes.select(F.col(by).alias("_g"), F.col(order).alias("_n"), F.substring(plain(F.col("text")), 1, PROBE).alias("t")).where(F.length("t") >= least)
+        parts.append(cut.select("_g", "_n", F.sha2("t", 256).alias("sha"), F.lit("error").alias("kind"), "t"))
+    every = reduce(DataFrame.union, parts)
+    # texts travel once, as distinct ones with a number, and once more as candidates; all else are numbers
+    texts = stored(every.select("sha", "t").dropDuplicates(["sha"]).withColumn("key", F.monotonically_increasing_id()), "pasted-texts")
+    new = stored(every.drop("t").join(texts.select("sha", "key"), "sha").select("_g", "_n", "key", "kind"), "pasted-rows")
+    heads = new.groupBy("_g", F.col("key").alias("old"), "kind").agg(F.min("_n").alias("first"))  # a paste that is repeated is one text
+    index = stored(texts.select("key", F.explode(_least_of_windows()("t")).alias("h")), "pasted-index")
+    # a text that holds another holds all its shingles of the index: it is looked up by the one that the fewest texts have
+    counts = index.groupBy("h").agg(F.count("*").alias("n"))
+    rarest = index.join(counts.where("n > 1"), "h", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "h")).alias("x"))
+    rarest = rarest.where("x.n > 1").select(F.col("key").alias("old"), "x.h")
+    met = stored(index.join(rarest, "h").where("key <> old").select("key", "old"), "pasted-met")
+    short = texts.join(met.select(F.col("old").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("old"), F.col("t").alias("_t"))
+    held = texts.join(met.join(short, "old"), "key").where(F.contains("t", "_t")).select("key", "old")
+    held = stored(held.union(texts.select("key", F.col("key").alias("old"))), "pasted-held")  # a text holds itself
     # of a group's texts, those that hold one that stood in the group before
-    here = own.select("_g", "key").join(held, "key")
+    here = new.where("kind = 'text'").select("_g", "key").distinct().join(held, "key")
     there = heads.select(F.col("_g").alias("_h"), F.col("old").alias("_old"), "first", "kind")
     found = here.join(there, (F.col("old") == F.col("_old")) & F.col("_g").eqNullSafe(F.col("_h"))).groupBy("_g", "key", "kind").agg(F.min("first").alias("earlier"))
     found = found.select(F.col("_g").alias("_h"), F.col("key").alias("_key"), "kind", "earlier")
-    out = new.join(found, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("key") == F.col("_key"))).where(F.col("earlier") < F.col("_n"))
+    out = new.where("kind = 'text'").select("_g", "_n", "key").join(found, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("key") == F.col("_key"))).where(F.col("earlier") < F.col("_n"))
     return out.select(F.col("_g").alias(by), F.col("_n").alias(order), "earlier", "kind")
