@@ -197,7 +197,7 @@ def hybrid_vectors(t: Tables):
 
 @R.add("""WITH p AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey),
     j AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_linenumber = 7 AND b.l_linenumber = 7) SELECT a, b FROM p ANTI JOIN j USING (a, b)""", covers=("J12", "D16"))
-def open_pairs(t: Tables):
+def undecided_supplier_pairs(t: Tables):
     """Suppliers that meet in an order, without the pairs that the journal of returns (two returned seventh lines of one part) names in either order."""
     met = lambda d, key: d.select(key, F.col("l_suppkey").alias("a")).distinct().join(d.select(key, F.col("l_suppkey").alias("b")).distinct(), key).where("a <> b").select("a", "b").distinct()
     pairs = met(t.lineitem, "l_orderkey").where("a < b").withColumn("key", U.pair_key(F.col("a"), F.col("b")))
