@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..functions.values import cosine
+from .products import bridges  # noqa: F401
 
 #: Least ratio of a near spelling and of a name, and the longest run of tokens (fixed values).
 NEAR_RATIO, NAME_RATIO, RUN = 0.72, 0.85, 3
@@ -117,18 +117,3 @@ def mentioned_speakers(docs: DataFrame, id_: str, text: str, speakers: list[dict
     rows = rows.unionByName(hits.withColumn("tier", F.lit(len(always))))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("tier", F.desc("hits"), F.lower("name"), "name"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "name", "hits", "rank")
-
-
-def bridges(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, corpus: str, least: float = 0.78, most: int = 200, blocks: int = 8) -> DataFrame:
-    """(left_id, left_corpus, right_id, right_corpus, similarity): the `most` closest pairs of different corpora.
-
-    One side is of the stated query set, the other any row; a pair is listed once, the smaller id on the left. Rows without a corpus link with nothing.
-    """
-    pick = lambda d, side: d.where(F.col(corpus).isNotNull()).select(F.col(id_).alias(f"{side}_id"), F.col(corpus).alias(f"{side}_corpus"), F.col(vector).alias(f"{side}_v"))
-    q = pick(queries, "q").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = pick(vectors, "r").withColumn("block", F.pmod(F.xxhash64("r_id"), F.lit(blocks)).cast("int"))
-    near = rows.join(q, "block").where("q_corpus <> r_corpus").withColumn("similarity", F.round(cosine(F.col("q_v"), F.col("r_v")), 3)).where(F.col("similarity") >= least)
-    side = lambda k: F.when(F.col("q_id") < F.col("r_id"), F.col(f"q_{k}")).otherwise(F.col(f"r_{k}"))
-    back = lambda k: F.when(F.col("q_id") < F.col("r_id"), F.col(f"r_{k}")).otherwise(F.col(f"q_{k}"))
-    pairs = near.select(side("id").alias("left_id"), side("corpus").alias("left_corpus"), back("id").alias("right_id"), back("corpus").alias("right_corpus"), "similarity")
-    return pairs.dropDuplicates(["left_id", "right_id"]).orderBy(F.desc("similarity"), "left_id", "right_id").limit(most)
