@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.values import cosine
+from .products import nearest  # noqa: F401
 
 #: Weights of the lexical score, the fusion constant and its boosts (fixed values).
 SATURATION, LENGTH_PIVOT, LENGTH_FLOOR, LENGTH_SHARE = 1.2, 200.0, 0.25, 0.75
@@ -49,20 +50,6 @@ def ranked(scores: DataFrame, most: int) -> DataFrame:
     return top.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, k: int, blocks: int = 8, seed: int = 1) -> DataFrame:
-    """(query, id, similarity, rank): the k nearest of all other rows for a stated query set.
-
-    Every block of rows meets every query; a block sends its best k for each query on.
-    """
-    q = queries.select(F.col(id_).alias("query"), F.col(vector).alias("qv")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int"))
-    near = rows.join(q, "block").where("id <> query").select("block", "query", "id", cosine(F.col("v"), F.col("qv")).alias("similarity"))
-    order = [F.desc("similarity"), "id"]
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("block", "query").orderBy(*order))).where(F.col("r") <= k)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", "similarity", "rank")
-
-
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lakewright.operators import products, terms
+from lakewright.operators import products, ranking, terms
 
 
 def cosine(a, b):
@@ -53,3 +53,24 @@ def test_halves_round_up_as_in_spark(spark):
     x = [0.0005, 0.0015, 0.0025, 0.1235, 0.30049999999, -0.0005, -0.1234, 1.0]
     want = [r.x for r in spark.createDataFrame([(v,) for v in x], "v double").selectExpr("round(v, 3) AS x").collect()]
     assert products._rounded(np.array(x), 3).tolist() == want
+
+
+def test_nearest_of_every_search_whatever_the_blocks(spark, vectors, monkeypatch):
+    small_blocks(monkeypatch)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in ranking.nearest(df.where("vec_id % 50 = 0"), df, "vec_id", "embedding", 5).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r.id, r.similarity))
+    for q, v, _ in vectors:
+        if q % 50 == 0:
+            s = [(cosine(v, w), r) for r, w, _ in vectors if r != q]
+            want = sorted(s, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:5]
+            assert got.pop(q) == [(r, x) for x, r in want]
+    assert not got
+
+
+def test_a_block_sends_only_the_nearest_of_a_search():
+    a = pd.DataFrame({"id": range(20), "v": [np.array([1.0, 0.5])] * 20})
+    b = pd.DataFrame({"id": range(300), "v": [np.array([1.0, 0.5])] * 300})
+    out = products._nearest(5)(a, b)
+    assert out.groupby("query")["id"].apply(list).to_dict() == {q: [i for i in range(6) if i != q][:5] for q in range(20)}
