@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lakewright.functions import asking
 from lakewright.functions import rules as U
 from lakewright.functions import validation as C
@@ -130,3 +131,10 @@ def test_call_groups_of_nothing(spark):
     df = spark.createDataFrame([("a", None, None, None), ("b", True, False, float("inf"))], "k string, ok boolean, m boolean, x double")
     got = {r.key: r for r in profiling.call_groups(df, F.col("k"), F.col("ok"), F.col("m"), F.col("x")).collect()}
     assert (got["a"].resolved, got["a"].success_rate, got["a"].median_inflation, got["a"].unresolved) == (0, None, None, 1) and got["b"].success_rate == 1.0 and got["b"].p95_inflation is None
+
+
+def test_binary_like_of_texts_of_nearly_the_characters_looked_at(spark, tmp_path):
+    rows = [(0, "a" * 9950), (5, "b" * 9999), (10, "c" * 10_000), (15, ""), (20, None), (21, "d" * 9950), (25, "e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.binary for r in entry.queries()["binary_like"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 5: True, 10: False, 15: False, 20: False, 21: False, 25: True}
