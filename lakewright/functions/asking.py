@@ -30,8 +30,17 @@ ISBN, OCLC, LCCN = r"^(?:isbn:?)?(\d{9}[\dXx]|\d{13})$", r"^oclc:?\s*(\d+)$", r"
 FRAME = r"^\s*(?:what\s+(?:is|are|was|were)|who\s+(?:is|was)|define|definition\s+of|meaning\s+of|etymolog(?:y|ies)\s+of|tell\s+me\s+about)\s+"
 
 
+_WORD = "[0-9A-Za-z_]"
+_BOUND = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def _plain(pattern: str) -> str:
+    """The pattern as written for engines whose word bounds and white space are ASCII and whose $ is the end: Java takes è for a letter of a word."""
+    return "(?i)" + pattern.replace(r"\b", _BOUND).replace(r"\s", r"[\t\n\f\r ]").replace("$", r"\z").replace("ō", "ōŌ")
+
+
 def _first(c: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(c, f"(?i){pattern}", group), F.lit(""))
+    return F.nullif(F.regexp_extract(c, _plain(pattern), group), F.lit(""))
 
 
 def topic_pattern(name: str) -> str:
@@ -41,7 +50,12 @@ def topic_pattern(name: str) -> str:
 def book_identifier(c: Column) -> Column:
     """isbn:, oclc: or lccn: and the number, of a text that is nothing else."""
     named = lambda kind, text, pattern: F.concat(F.lit(f"{kind}:"), _first(text, pattern, 1))
-    return F.coalesce(named("isbn", F.regexp_replace(c, "[\\s-]", ""), ISBN), named("oclc", c, OCLC), named("lccn", c, LCCN))
+    return F.coalesce(named("isbn", F.regexp_replace(c, "[\\t\\n\\f\\r -]", ""), ISBN), named("oclc", c, OCLC), named("lccn", c, LCCN))
+
+
+def bare_term(text: Column) -> Column:
+    """A query without the question round it; empty if there is nothing else."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, _plain(FRAME), ""), _plain(r"\?+\s*$"), ""))
 
 
 def classified(c: Column, canon: Column | None = None) -> dict[str, Column]:
@@ -50,14 +64,14 @@ def classified(c: Column, canon: Column | None = None) -> dict[str, Column]:
     canon: another reference to a canonical text that a caller has found, which counts as one.
     """
     text = F.trim(F.coalesce(c, F.lit("")))
-    has = lambda pattern: text.rlike(f"(?i){pattern}")
+    has = lambda pattern: text.rlike(_plain(pattern))
     found = {"doi": _first(text, DOI, 0), "arxiv": _first(text, ARXIV, 1), "pmid": _first(text, PMID, 1), "taisho": _first(text, TAISHO, 1), "book": book_identifier(text)}
     topics = F.array_compact(F.array(*[F.when(has(topic_pattern(name)), name) for name, _ in TOPICS]))
     intents = [
         F.when(has(rf"\b(?:{NEWS})\b"), "news"), F.when(has(rf"\b(?:{BOOKS})\b") | found["book"].isNotNull(), "books"), F.when(has(rf"\b(?:{DEFINITION})\b"), "definition"),
         F.when(F.coalesce(found["doi"], found["arxiv"], found["pmid"]).isNotNull(), "academic"), F.when(F.coalesce(found["taisho"], canon if canon is not None else F.lit(None)).isNotNull(), "canon"),
     ]
-    term = F.trim(F.regexp_replace(F.regexp_replace(text, f"(?i){FRAME}", ""), "\\?+\\s*$", ""))
+    term = bare_term(text)
     return {**found, "topics": F.when(F.size(topics) > 0, topics).otherwise(F.array(F.lit("general"))), "intents": F.array_compact(F.array(*intents)), "term": F.when(term == "", text).otherwise(term)}
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,16 @@ def test_binary_like_of_texts_of_nearly_the_characters_looked_at(spark, tmp_path
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.binary for r in entry.queries()["binary_like"](spark, str(tmp_path)).collect()}
     assert got == {0: True, 5: True, 10: False, 15: False, 20: False, 21: False, 25: True}
+
+
+def test_words_end_before_letters_beyond_ascii(spark, tmp_path):
+    queries = ["Un laa. Chanè ouoi", "chaná", "zen", "é zené", "TAISHŌ 262", "doi 10.1234/abcé"]
+    df = spark.createDataFrame(list(enumerate(queries)), "i int, q string")
+    rows = [r for r in df.select("i", *[c.alias(n) for n, c in asking.classified(F.col("q")).items()]).orderBy("i").collect()]
+    assert [r.topics for r in rows[:4]] == [["buddhism"]] * 4 and rows[4].taisho == "262" and rows[5].doi == "10.1234/abc"
+    docs = [(0, None), (8, "Chanè"), (7, " "), (16, "?"), (24, "\x0bx?\u2028")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r) for r in entry.queries()["classified_queries"](spark, str(tmp_path)).collect()}
+    found = duckdb.sql(entry.oracle_sql()["classified_queries"].replace("FROM documents)", f"FROM '{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    lists = lambda r: tuple(list(x) if isinstance(x, (list, tuple)) else x for x in r)
+    assert {k: lists(v) for k, v in got.items()} == {r[0]: lists(r) for r in found}
