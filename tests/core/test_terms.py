@@ -120,3 +120,17 @@ def test_lines_keep_their_order(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*")))
     assert text.split("\n")[:-1] == [f"line {i}" for i in range(1, 51)]
     assert spark.range(1).select(sinks.markdown_row([F.lit("a|b"), F.lit("c\n d"), F.lit(None).cast("string")])).first()[0] == "| a\\|b | c d |  |"
+
+
+def test_runs_that_leave_a_task_are_those_of_the_columns(spark):
+    few = "The pipelne ran. ² Ünïcode x²y " + "lorem ipsum " * 2000
+    docs = spark.createDataFrame([(i, few) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    forms = spark.createDataFrame([("pipeline",), ("unicodexy",)], "folded string")
+    seen = terms._seen(docs, "doc_id", "text", forms, 0.72).orderBy("id", "at").collect()
+    rows = docs.select("doc_id", F.explode(terms.runs(F.col("text"), able=terms._able(["pipeline", "unicodexy"], 0.72))).alias("r")).orderBy("doc_id", "r.at").collect()
+    assert {tuple(r) for r in seen} <= {(r.doc_id, r.r.at, r.r.key, r.r.phrase) for r in rows}
+    near = [k for k in ("pipelne", "nicode") if difflib.SequenceMatcher(None, "pipeline", k).ratio() >= 0.72]
+    assert {r.key for r in seen} >= set(near) and len(seen) < len(rows) + 1
+    assert (0, "pipelne", "pipelne") in {(r.id, r.key, r.phrase) for r in seen}
+    got = [(r.id, r.term, r.heard_as) for r in terms.near_miss_terms(docs, "doc_id", "text", ["pipeline"]).collect()]
+    assert sorted(got) == [(i, "pipeline", "pipelne") for i in range(40)]
