@@ -1,6 +1,7 @@
 """The vector index against all pairs, on clustered, scattered and equal vectors."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,34 @@ def test_classes_and_reuse(spark, table):
     assert sum(r.reviewed for r in out) == max(20, len({v for v in got.values() if list(got.values()).count(v) > 1}))
 
 
+def test_a_row_is_sent_for_each_block_and_not_for_each_cell(table):
+    index = V.build(V.unit_rows(table, "id", "v"), cells=40)
+
+    def compare(a, b, *_):
+        return pd.DataFrame({"n": [len(a) + len(b)]})
+
+    met, examined = V._met(index, index.rows, 0.3, compare, "n long", later=True)
+    assert sum(r.n for r in met.collect()) == 2 * index.rows.count() and examined > 20 * index.rows.count()
+
+
+def test_large_cells_fill_blocks_of_their_own(monkeypatch):
+    monkeypatch.setattr(V, "LEAST_BLOCK", 10)
+    dealt, blocks = V._dealt(np.array([4, 5, 25, 0, 3, 9]))
+    assert dealt == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 4, 1), (5, 5, 1)] and blocks == 6
+
+
+def test_blocks_that_split_cells_lose_no_pair(monkeypatch, spark, table):
+    monkeypatch.setattr(V, "LEAST_BLOCK", 60)
+    monkeypatch.setattr(V, "MOST_BLOCK", 60)
+    index = V.build(V.unit_rows(table, "id", "v"))
+    ids, s = products(rows_of())
+    i, j = np.nonzero(np.triu(s >= round(0.6 * V.PART), 1))
+    assert {(r.left_id, r.right_id) for r in V.similar_pairs(index, 0.6)[0].collect()} == {(int(min(a, b)), int(max(a, b))) for a, b in zip(ids[i], ids[j], strict=True)}
+    got = {r.id: (r.n, r.hit) for r in V.link_counts(index, None, 0.6)[0].collect()}
+    assert got == {r.id: (r.n, r.hit) for r in V.link_counts(index, index.rows.select("id", "u"), 0.6)[0].collect()}
+    assert sum(n for n, _ in got.values()) == 2 * len(i)
+
+
 def test_empty_index(spark, table):
     index = V.build(V.unit_rows(table.where("id < 0"), "id", "v"))
     assert V.similar_pairs(index, 0.9)[0].count() == 0
