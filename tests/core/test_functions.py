@@ -152,3 +152,11 @@ def test_running_heads(spark):
     rows = [("d", p, f"Report page {p}") for p in range(1, 5)] + [("d", p, f"text {chr(96 + p)}") for p in range(1, 5)]
     got = checking.running_heads(spark.createDataFrame(rows, "doc string, page int, line string")).collect()
     assert [(r.head, r.n) for r in got] == [("report page #", 4)]
+
+
+def test_text_quality_counts_once_and_by_code_points(spark, capsys):
+    df = spark.createDataFrame([("\U0001d400b1\u0301 x\u00a0...!\u3000(42) d\u00e9j\u00e0 ....",), (None,), ("",)], "t string")
+    df.select(X.text_quality(F.col("t"))["reasons"].alias("r")).explain()
+    assert capsys.readouterr().out.count("\\p{N}]") == 1  # letters and digits are counted once, whatever names them
+    q = X.text_quality(F.col("t"))
+    assert [tuple(r) for r in df.select(q["n"], q["alnum"], q["words"], q["alnum_share"], q["mark_share"], q["dot_share"]).collect()] == [(21, 10, 1, 0.4762, 0.4762, 0.3333), (0, 0, 0, 0.0, 0.0, 0.0), (0, 0, 0, 0.0, 0.0, 0.0)]
