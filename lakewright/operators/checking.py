@@ -77,11 +77,6 @@ def prose(c: Column) -> Column:
     return F.array_join(F.transform(lines, line), "\n")
 
 
-def _prefixes(words: Column, least: int) -> Column:
-    """Every beginning of `least` letters or more of each word, itself included."""
-    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(least), F.greatest(F.length(w), F.lit(least))), lambda k: F.substring(w, F.lit(1), k))))
-
-
 def invented_words(source: Column, cleaned: Column, allowed: list[str] = ()) -> Column:
     """Distinct words of the cleaned prose, in order, that have no root in the source.
 
@@ -89,25 +84,36 @@ def invented_words(source: Column, cleaned: Column, allowed: list[str] = ()) ->
     from five letters on, a word with its first five. Allowed words and words of the list are no evidence.
     """
 
-    def judged(said: Column) -> Column:
-        heads = F.array_distinct(_prefixes(said, 3))
-        new = F.array_except(F.array_except(F.array_distinct(comparable_words(prose(cleaned))), F.lit(list(allowed)) if allowed else F.array().cast("array<string>")), heads)
-        # what is left are few words; each is looked up by its own beginnings
-        bound = F.transform(F.array(F.struct(said.alias("said"), heads.alias("heads"))), lambda x: F.filter(new, lambda w: ~(F.arrays_overlap(_prefixes(F.array(F.substring(w, F.lit(1), F.length(w) - 1)), 3), x["said"]) | ((F.length(w) >= 5) & F.arrays_overlap(F.array(F.substring(w, 1, 5)), x["heads"])))))
-        return F.get(bound, F.lit(0))
+    def judged(x: Column) -> Column:
+        # only words of the source that begin as a new one does can be its root; "\n" stands before and after each of these
+        said = F.filter(x["said"], lambda w: F.array_contains(x["starts"], F.substring(w, 1, 3)))
+        near = F.concat(F.lit("\n"), F.array_join(said, "\n"), F.lit("\n"))
+        return F.get(F.transform(F.array(F.struct(near.alias("near"), said.alias("said"), x["new"].alias("new"))), lambda k: F.filter(k["new"], lambda w: ~rooted(w, k))), F.lit(0))
+
+    def rooted(w: Column, k: Column) -> Column:
+        begins = lambda head: F.contains(k["near"], F.concat(F.lit("\n"), head))
+        return begins(w) | ((F.length(w) >= 5) & begins(F.substring(w, 1, 5))) | F.exists(k["said"], lambda s: F.startswith(w, s))
 
-    return F.get(F.transform(F.array(F.array_distinct(comparable_words(source))), judged), F.lit(0))
+    new = F.array_distinct(comparable_words(prose(cleaned)))
+    new = F.array_except(new, F.lit(list(allowed))) if allowed else new
+    with_starts = F.get(F.transform(F.array(new), lambda n: F.struct(n.alias("new"), F.array_distinct(F.transform(n, lambda w: F.substring(w, 1, 3))).alias("starts"))), F.lit(0))
+    bound = F.transform(F.array(F.struct(with_starts.alias("x"), F.array_distinct(comparable_words(source)).alias("said"))), lambda b: judged(F.struct(b["x"]["new"].alias("new"), b["x"]["starts"].alias("starts"), b["said"].alias("said"))))
+    return F.get(bound, F.lit(0))
 
 
 def vocabulary_coverage(source: Column, written: Column, least: int = 5) -> Column:
     """Share of the source's distinct words of `least` letters or more that the written text holds, or a beginning of four letters or more of them; 1 without such words."""
 
-    def share(x: Column) -> Column:
-        kept = F.filter(x["own"], lambda w: F.arrays_overlap(_prefixes(F.array(w), 4), x["written"]))
+    def share(x: dict[str, Column]) -> Column:
+        # a word that begins with a written one shares its first four letters; few words pass that
+        near = F.filter(x["own"], lambda w: F.array_contains(x["starts"], F.substring(w, 1, 4)))
+        kept = F.filter(near, lambda w: F.exists(x["written"], lambda s: F.startswith(w, s) & (F.length(s) >= F.least(F.length(w), F.lit(4)))))
         return F.when(F.size(x["own"]) > 0, F.size(kept) / F.size(x["own"])).otherwise(1.0)
 
     own = F.array_distinct(F.filter(comparable_words(source), lambda w: F.length(w) >= least))
-    return F.get(F.transform(F.array(F.struct(own.alias("own"), F.array_distinct(comparable_words(written)).alias("written"))), share), F.lit(0))
+    said = F.get(F.transform(F.array(F.array_distinct(comparable_words(written))), lambda s: F.struct(s.alias("written"), F.array_distinct(F.transform(s, lambda w: F.substring(w, 1, 4))).alias("starts"))), F.lit(0))
+    bound = F.transform(F.array(F.struct(own.alias("own"), said.alias("said"))), lambda x: share({"own": x["own"], "written": x["said"]["written"], "starts": x["said"]["starts"]}))
+    return F.get(bound, F.lit(0))
 
 
 def dropped_units(units: DataFrame, id_: str, text: Column, written: Column, floor: float = 0.15) -> DataFrame:

@@ -160,3 +160,18 @@ def test_text_quality_counts_once_and_by_code_points(spark, capsys):
     assert capsys.readouterr().out.count("\\p{N}]") == 1  # letters and digits are counted once, whatever names them
     q = X.text_quality(F.col("t"))
     assert [tuple(r) for r in df.select(q["n"], q["alnum"], q["words"], q["alnum_share"], q["mark_share"], q["dot_share"]).collect()] == [(21, 10, 1, 0.4762, 0.4762, 0.3333), (0, 0, 0, 0.0, 0.0, 0.0), (0, 0, 0, 0.0, 0.0, 0.0)]
+
+
+def test_roots_and_coverage_without_lists_of_beginnings(spark, capsys):
+    words = ["tablet", "table", "tab", "tablecloth", "cabinets", "cab", "cabin", "chairs", "chair", "lamp", "lamplight", "table-top"]
+    rows = [(i, " ".join(words[k] for k in range(12) if (i * 37) >> k & 1), " ".join(words[k] for k in range(12) if (i * 91) >> k & 1)) for i in range(120)]
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    out = df.select("i", checking.invented_words(F.col("a"), F.col("b"), ["lamp"]).alias("new"), checking.vocabulary_coverage(F.col("a"), F.col("b")).alias("c"))
+    out.explain()
+    assert "sequence(" not in capsys.readouterr().out
+    for (_, a, b), r in zip(rows, sorted(out.collect()), strict=True):
+        a, b = set(a.split()), list(dict.fromkeys(b.split()))
+        rooted = lambda w: any(s.startswith(w) or w.startswith(s) or (len(w) >= 5 and s.startswith(w[:5])) for s in a)  # noqa: E731, B023
+        assert r.new == [w for w in b if w != "lamp" and not rooted(w)]
+        own = [w for w in a if len(w) >= 5]
+        assert r.c == pytest.approx(sum(any(w.startswith(s) and len(s) >= 4 for s in b) for w in own) / len(own) if own else 1.0)
