@@ -203,9 +203,11 @@ _FOLDED = "replace(lower(strip_accents(coalesce(text, ''))), 'ß', 'ss')"
 @R.add(rf"""SELECT doc_id, md5(trim(regexp_replace({_FOLDED}, '[^a-z0-9]+', ' ', 'g'))) AS title_md5, md5(regexp_replace({_FOLDED}, '[^a-z]', '', 'g')) AS letters_md5,
     coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace({_FOLDED}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', ''), ''), 'item') AS slug FROM documents""", covers=("F04", "F05", "F08"))
 def folded_texts(t: Tables):
-    c = F.coalesce("text", F.lit(""))
     digest = lambda x: F.md5(x.cast("binary"))
-    return t.documents.select("doc_id", digest(X.title_key(c)).alias("title_md5"), digest(F.regexp_replace(X.fold(c), "[^a-z]", "")).alias("letters_md5"), X.slug(c).alias("slug"))
+    # one argument, folded once: the key has all that the letters and the slug need
+    both = lambda k: F.struct(digest(k).alias("title_md5"), digest(X.letters_of(k)).alias("letters_md5"), X.slug_of(k).alias("slug"))
+    found = X.once(X.title_key(F.coalesce("text", F.lit(""))), both)
+    return t.documents.select("doc_id", found.alias("x")).select("doc_id", "x.title_md5", "x.letters_md5", "x.slug")
 
 
 @R.add(r"""WITH m AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^m\.', ''), '^amp\.', ''), ':(80|443)$', '') AS h, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p,

@@ -5,6 +5,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lakewright.functions import text as X
 from lakewright.operators import entities, terms
 
@@ -38,3 +39,15 @@ def test_near_spellings_and_speakers_beyond_latin_1(spark):
     assert got == {(1, "Straßen", "Strasse")} or got == {(1, "Straßen", "the Strasse"), (1, "Straßen", "Strasse")}
     found = {(r.id, r.name) for r in terms.mentioned_speakers(df, "id", "t", [{"name": "Antonín Dvořák"}]).collect()}
     assert found == {(1, "Antonín Dvořák")}
+
+
+def test_a_text_is_folded_once_and_by_its_kinds(spark, sf_dir):
+    """Every character beyond ASCII, few and many kinds in a text, as the table folds them; the query names its text once."""
+    table = X.fold_table()
+    chars = [c for c in map(chr, range(0x80, 0x110000)) if not "\ud800" <= c <= "\udfff"]
+    texts = [*(f"A{c}z {c}ÄB" for c in chars[: 0x2C00 - 0x80]), *("".join(chars[i : i + 7]) + "Éa ẞ" for i in range(0, 0x1F000, 7)), *("".join(chars[i : i + 500]) for i in range(0, 0x3000, 500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    wrong = [(i, f) for i, f in df.select("i", X.fold(F.col("s"))).collect() if f != texts[i].translate(table)]
+    assert wrong == []
+    plan = entry.queries()["folded_texts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(text") == 1
