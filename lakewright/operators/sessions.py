@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_space, fold, trim_all
+from ..functions.text import collapse_space, fold, once, trim_all
 
 #: A session without an answer has this model (a fixed value).
 UNKNOWN_MODEL = "[unknown]/[unknown]"
@@ -104,26 +104,41 @@ def relevant_text(text: Column, words: list[str], most: int) -> Column:
     Better paragraphs are taken first, one that no longer fits is passed over. A short text stays whole; a single
     paragraph is cut after its last sentence or line if that lies beyond six tenths. A null text is empty.
     """
-    whole = F.coalesce(text, F.lit(""))
-    parts = F.filter(F.transform(F.split(whole, "\n{2,}"), trim_all), lambda c: c != "")
-    plain = lambda c: F.trim(F.regexp_replace(fold(collapse_space(c)), "[^\\p{L}\\p{N}]+", " "))
     asked = sorted({w for w in words if len(w) >= 4})
+    # a text and what is made of it are bound as arguments, so that each is made once, and only where it is needed
+    return once(F.coalesce(text, F.lit("")), lambda whole: _shortened(whole, asked, most))
 
-    def score(key: Column, i: Column) -> Column:
-        return reduce(lambda a, w: a + key.contains(w).cast("int"), asked, F.when(i == 0, 2).otherwise(0))
 
-    keys = F.transform(parts, plain)
-    ranked = F.array_sort(F.zip_with(F.transform(keys, lambda k, i: F.struct((-score(k, i)).alias("order"), i.alias("at"))), parts, lambda r, p: F.struct(r["order"].alias("order"), r["at"].alias("at"), (F.length(p) + 2).alias("size"))))
+def _shortened(whole: Column, asked: list[str], most: int) -> Column:
+    size = lambda c: F.length(collapse_space(c))
+    # the beginning of a long text tells already that it is too long
+    short = (size(F.substring(whole, 1, 2 * most)) <= most) & (size(whole) <= most)
+    # the text is folded as a whole: no line end comes or goes by it, so its pieces stay the same
+    pieces = F.zip_with(F.split(whole, "\n{2,}"), F.split(fold(whole), "\n{2,}"), lambda p, f: F.struct(trim_all(p).alias("p"), f.alias("f")))
+    parts = F.filter(pieces, lambda x: x["p"] != "")
+    several = once(parts, lambda x: F.when(F.size(x) <= 1, once(trim_all(whole), lambda own: _cut(own, most))).otherwise(_best_parts(x, asked, most)))
+    return F.when(short, trim_all(whole)).otherwise(several)
+
+
+def _cut(own: Column, most: int) -> Column:
+    head = F.substring(own, 1, most)
+    end = F.length(F.regexp_extract(head, "(?s)^(.*)(?:\\n|\\. )", 1))
+    cut = F.concat(trim_all(F.when(end > most * 0.6, F.substring(head, F.lit(1), end + 1)).otherwise(head)), F.lit("\n\n[truncated]"))
+    return F.when(F.length(own) <= most, own).otherwise(cut)
+
+
+def _best_parts(parts: Column, asked: list[str], most: int) -> Column:
+    """parts: array of (p, f), paragraphs and their folded texts."""
+    # runs of other characters count as one space, which a word of letters and digits does not meet
+    words_only = all(w.isalnum() for w in asked)
+    key = lambda f: f if words_only else F.trim(F.regexp_replace(f, "[^\\p{L}\\p{N}]+", " "))
+    score = lambda f, i: once(key(f), lambda k: reduce(lambda a, w: a + k.contains(w).cast("int"), asked, F.when(i == 0, 2).otherwise(0)))
+    ranked = F.array_sort(F.transform(parts, lambda x, i: F.struct((-score(x["f"], i)).alias("order"), i.alias("at"), (F.length(x["p"]) + 2).alias("size"))))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
 
     def step(s: Column, x: Column) -> Column:
         full = (s["used"] >= most) | ((s["used"] + x["size"] > most) & (F.size(s["taken"]) > 0))
-        return F.struct(F.when(full, s["used"]).otherwise(s["used"] + x["size"]).alias("used"), F.when(full, s["taken"]).otherwise(F.array_append(s["taken"], x["at"])).alias("taken"))
+        return F.when(full, s).otherwise(F.struct((s["used"] + x["size"]).alias("used"), F.array_append(s["taken"], x["at"]).alias("taken")))
 
     taken = F.array_sort(F.aggregate(ranked, start, step)["taken"])
-    chosen = trim_all(F.substring(F.array_join(F.transform(taken, lambda i: F.get(parts, i)), "\n\n"), 1, most))
-    own = trim_all(whole)
-    head = F.substring(own, 1, most)
-    end = F.length(F.regexp_extract(head, "(?s)^(.*)(?:\\n|\\. )", 1))
-    cut = F.concat(trim_all(F.when(end > most * 0.6, F.substring(head, F.lit(1), end + 1)).otherwise(head)), F.lit("\n\n[truncated]"))
-    return F.when(F.length(collapse_space(whole)) <= most, own).when(F.size(parts) <= 1, F.when(F.length(own) <= most, own).otherwise(cut)).otherwise(chosen)
+    return trim_all(F.substring(F.array_join(F.transform(taken, lambda i: F.get(parts, i)["p"]), "\n\n"), 1, most))

@@ -64,3 +64,10 @@ def test_birth_calibration(spark):
     assert (r.agreement, r.loose_agreement, r.clustered, r.top_days) == (0.5, 1.0, 0.6667, ["2024-01-01=2", "2024-01-05=1"])
     r = sessions.birth_calibration(df.limit(0), "birth", "stated").first()
     assert (r.files, r.agreement, r.clustered, r.top_days) == (0, None, None, [])
+
+
+def test_relevant_text_names_its_text_once(spark):
+    df = spark.createDataFrame([("One two.\n\nÉtat of things, e-mail\n\n" * 9,), (None,)], "text string")
+    found = df.select(sessions.relevant_text(F.upper("text"), ["etat", "e-mail", "e mail"], 40).alias("t"))
+    assert [r.t for r in found.collect()] == ["ONE TWO.\n\nÉTAT OF THINGS, E-MAIL"[:40], ""]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
