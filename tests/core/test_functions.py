@@ -1,6 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from lakewright.functions import rules
 from lakewright.functions import text as X
 from lakewright.functions import values as V
 from lakewright.operators import checking, graphs, identity, profiling, ranking, relating, sequences
@@ -175,3 +180,30 @@ def test_roots_and_coverage_without_lists_of_beginnings(spark, capsys):
         assert r.new == [w for w in b if w != "lamp" and not rooted(w)]
         own = [w for w in a if len(w) >= 5]
         assert r.c == pytest.approx(sum(any(w.startswith(s) and len(s) >= 4 for s in b) for w in own) / len(own) if own else 1.0)
+
+
+def test_filing_names_against_plain_python(spark, sf_dir):
+    """Titles, particles, commas and organisations in any order; the query names its text once."""
+
+    def plain(name):
+        clean = re.sub("^,+|,+$", "", re.sub("\\s+", " ", name, flags=re.A).strip())
+        if "," in clean:
+            return clean.split(",")[0].strip(" ") or None
+        words = [w for w in clean.split(" ") if w]
+        while words and words[-1].lower().strip(".") in rules.SUFFIXES:
+            words.pop()
+        k = len(words) - 1
+        while k > 0 and words[k - 1].lower() in rules.PARTICLES:
+            k -= 1
+        return " ".join(words[k:]) or None if words else None
+
+    rng = random.Random(5)
+    pool = ["Ann", "Lee", "van", "DER", "de", "la", "Jr.", "III", "v", "ph.d", "M.D.", ".", "vander", "iv.x", "O'Neil", "Ærø", ",", "Ng,"]
+    names = [" ".join(rng.choices(pool, k=rng.randint(0, 6))) for _ in range(3000)] + ["Jr Sr", ",,", "x ,", "  ", "iii"]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    assert [(n, r[1]) for n, r in zip(names, sorted(df.select("i", rules.display_surname(F.col("n"))).collect()))] == [(n, plain(n)) for n in names]
+    kinds = [(None, "a b c d e"), ("", "a b  c\td"), (None, "Ann, b c d e"), ("Bank", "Lee"), ("Lee", "Bank"), ("Bank", None), (None, None), (None, ",")]
+    got = spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "i int, f string, n string").select("i", *rules.filing_name(F.col("f"), F.col("n")).values()).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == [("a b c d e", "corporate"), ("d", "person"), ("Ann", "person"), ("Lee", "person"), ("Lee", "person"), ("Bank", "corporate"), (None, None), (None, None)]
+    plan = entry.queries()["filing_names"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("World Health Organization") == 1
