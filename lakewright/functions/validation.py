@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import is_blank, trim_all
+from .text import is_blank, once, trim_all
 from .values import valid_date
 
 #: Kinds an extracted item may have, and the values of its fields (fixed values).
@@ -107,6 +107,8 @@ def legacy_created(c: Column) -> Column:
 
 #: Fields of an extracted item that are text, beside its type and title (fixed values).
 ITEM_TEXTS = ("description", "party", "counterparty", "date_text", "date_kind", "date", "trigger", "recurrence", "acceptance_criteria", "evidence_required", "commitment_level", "interpretation", "confidence", "scope_relation", "start_date", "end_date", "schedule_basis")
+#: Its fields that are lists beside its quotations, and those that are whole numbers (fixed values).
+ITEM_LISTS, ITEM_NUMBERS = ("teams", "workstreams"), ("offset_days", "duration_days")
 
 
 def extracted_item(c: Column) -> dict[str, Column]:
@@ -116,34 +118,79 @@ def extracted_item(c: Column) -> dict[str, Column]:
     (one text is a list of one, a blank one of none), the relation to the scope, start and end dates, and days of duration, which are not negative.
     The fields of a broken item are what could be read of it.
     """
-    v = F.try_parse_json(c)
-    raw = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
-    kind = lambda k: F.coalesce(F.schema_of_variant(raw(k)), F.lit("VOID"))
-    text = lambda k: F.when(kind(k) != "VOID", trim_all(F.try_variant_get(v, f"$.{k}", "string")))
-    none = F.array().cast("array<string>")
-    many = lambda k: F.transform(F.try_variant_get(v, f"$.{k}", "array<string>"), trim_all)
-    one = lambda k: F.when(is_blank(text(k)), none).otherwise(F.array(text(k)))
-    listed = lambda k: F.when(kind(k) == "VOID", none).when(kind(k) == "STRING", one(k)).when(kind(k).startswith("ARRAY"), many(k))
-    sound = lambda k, least: F.coalesce((kind(k).isin("VOID", "STRING") | kind(k).isin("ARRAY<STRING>", "ARRAY<VOID>")) & (F.size(listed(k)) >= least) & ~F.exists(listed(k), is_blank), F.lit(False))
-    whole = lambda k: (kind(k) == "VOID") | (kind(k) == "BIGINT") | ((kind(k) == "STRING") & (F.try_variant_get(v, f"$.{k}", "string") == ""))
-    number = lambda k: F.when(kind(k) == "BIGINT", F.try_variant_get(v, f"$.{k}", "long"))
-    fields = {k: text(k) for k in ("item_type", "title", *ITEM_TEXTS)}
-    filled = item_defaults({**fields, "direct_quotes": listed("direct_quotes")})
-    day = lambda k: is_blank(fields[k]) | valid_date(fields[k]).isNotNull()
-    base = item_problem({**filled, "direct_quotes": F.array(F.lit("x")), "scope_relation": F.lit("direct")})
+    found = item_of_json(c)
+    return {k: found[k] for k in ("problem", "item_type", "title", *ITEM_TEXTS, "direct_quotes", *ITEM_LISTS, *ITEM_NUMBERS)}
+
+
+def item_of_json(c: Column) -> Column:
+    """The same as one struct. Each step binds what it made as an argument, so that rules name fields and do not read the text again."""
+    steps = lambda read: once(_filled(read), lambda filled: _judged(read, filled))
+    return once(F.try_parse_json(c), lambda v: once(_fields(v), steps))
+
+
+def _struct(columns: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
+def _fields(v: Column) -> Column:
+    """For each field its kind, and its text, list or number as the field's use calls for."""
+    none, some = F.array().cast("array<string>"), "array<string>"
+    trimmed = lambda r: trim_all(F.try_variant_get(r, "$", "string"))
+    one = lambda t: F.when(is_blank(t), none).otherwise(F.array(t))
+
+    def many(r: Column, kind: Column) -> Column:
+        listed = F.when(kind == "STRING", once(trimmed(r), one)).when(kind.startswith("ARRAY"), F.transform(F.try_variant_get(r, "$", some), trim_all))
+        return F.when(kind == "VOID", none).otherwise(listed)
+
+    raw: dict[str, Column] = {}
+    # what a missing field and a null have: no kind but VOID
+    value = {k: lambda r, kind: F.when(kind != "VOID", trimmed(r)) for k in ("item_type", "title", *ITEM_TEXTS)}
+    value |= dict.fromkeys(("direct_quotes", *ITEM_LISTS), many)
+    value |= {k: lambda r, kind: F.when(kind == "BIGINT", F.try_variant_get(r, "$", "long")) for k in ITEM_NUMBERS}
+    empty = {**dict.fromkeys(value, F.lit(None).cast("string")), **dict.fromkeys(("direct_quotes", *ITEM_LISTS), none), **dict.fromkeys(ITEM_NUMBERS, F.lit(None).cast("long"))}
+
+    def field(k: str) -> Column:
+        whole = lambda r, kind: F.when(kind == "STRING", F.try_variant_get(r, "$", "string") == "").otherwise(kind.isin("VOID", "BIGINT"))
+        sound = lambda kind: kind.isin("VOID", "STRING", "ARRAY<STRING>", "ARRAY<VOID>")
+        right = whole if k in ITEM_NUMBERS else (lambda r, kind: sound(kind))
+        read = lambda r, kind: _struct({"x": value[k](r, kind), "right": right(r, kind)})
+        missing = _struct({"x": empty[k], "right": F.lit(True)})
+        kind = lambda r: F.coalesce(F.schema_of_variant(r), F.lit("VOID"))
+        return F.when(raw[k].isNull(), missing).otherwise(once(kind(raw[k]), lambda n: read(raw[k], n)))
+
+    broken = ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    members = F.try_variant_get(v, "$", "struct<" + ", ".join(f"`{k}`: variant" for k in value) + ">")  # all in one pass
+
+    def every(m: Column) -> Column:
+        raw.update({k: m[k] for k in value})
+        return _struct({"broken": broken, **{k: field(k) for k in value}})
+
+    return once(members, every)
+
+
+def _filled(read: Column) -> Column:
+    return _struct(item_defaults({k: read[k]["x"] for k in ("item_type", "title", *ITEM_TEXTS, "direct_quotes")}))
+
+
+def _judged(read: Column, filled: Column) -> Column:
+    texts = {k: filled[k] for k in ("item_type", "title", *ITEM_TEXTS)}
+    listed = lambda k: read[k]["x"]
+    sound = lambda k, least: F.coalesce(read[k]["right"] & (F.size(listed(k)) >= least) & ~F.exists(listed(k), is_blank), F.lit(False))
+    whole = lambda k: read[k]["right"]
+    day = lambda k: is_blank(read[k]["x"]) | valid_date(read[k]["x"]).isNotNull()
+    base = item_problem({**texts, "direct_quotes": F.array(F.lit("x")), "scope_relation": F.lit("direct")})
     rules = [
         (~whole("offset_days"), "offset_days"), (~sound("direct_quotes", 1), "direct_quotes"), (~sound("teams", 0), "teams"), (~sound("workstreams", 0), "workstreams"),
-        (~filled["scope_relation"].isin("direct", "dependency", "shared", "full"), "scope_relation"), (~day("start_date"), "start_date"), (~day("end_date"), "end_date"),
-        (~whole("duration_days") | (number("duration_days") < 0), "duration_days"),
+        (~texts["scope_relation"].isin("direct", "dependency", "shared", "full"), "scope_relation"), (~day("start_date"), "start_date"), (~day("end_date"), "end_date"),
+        (~whole("duration_days") | (read["duration_days"]["x"] < 0), "duration_days"),
     ]
     late = F.lit(None).cast("string")
     for broken, name in reversed(rules):
         late = F.when(broken, name).otherwise(late)
-    broken = ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    dated = F.coalesce(*[F.when(~is_blank(fields[k]), fields[k]) for k in ("start_date", "end_date", "date")])
-    basis = F.when(~is_blank(fields["schedule_basis"]), fields["schedule_basis"]).when(dated.isNotNull(), "source")
-    out = {**filled, "schedule_basis": basis, "teams": listed("teams"), "workstreams": listed("workstreams"), "offset_days": number("offset_days"), "duration_days": number("duration_days")}
-    return {"problem": F.when(broken, "item").otherwise(F.coalesce(base, late)), **out}
+    dated = F.coalesce(*[F.when(~is_blank(read[k]["x"]), read[k]["x"]) for k in ("start_date", "end_date", "date")])
+    basis = F.when(~is_blank(read["schedule_basis"]["x"]), read["schedule_basis"]["x"]).when(dated.isNotNull(), "source")
+    problem = F.when(read["broken"], "item").otherwise(F.coalesce(base, late))
+    return _struct({"problem": problem, **texts, "schedule_basis": basis, "direct_quotes": filled["direct_quotes"], **{k: read[k]["x"] for k in (*ITEM_LISTS, *ITEM_NUMBERS)}})
 
 
 def created_from_backups(copies: DataFrame, note: str, run: str, text: Column) -> DataFrame:

@@ -152,3 +152,8 @@ def test_words_end_before_letters_beyond_ascii(spark, tmp_path):
     found = duckdb.sql(entry.oracle_sql()["classified_queries"].replace("FROM documents)", f"FROM '{tmp_path}/documents.parquet/*.parquet')")).fetchall()
     lists = lambda r: tuple(list(x) if isinstance(x, (list, tuple)) else x for x in r)
     assert {k: lists(v) for k, v in got.items()} == {r[0]: lists(r) for r in found}
+
+
+def test_an_item_is_read_once(spark, sf_dir):
+    plan = entry.queries()["extracted_items"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json(") + plan.count("parseJson") == 1
