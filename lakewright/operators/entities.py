@@ -13,6 +13,8 @@ from ..functions.text import folded_character, normalize_doi, title_key, tokens
 ROLES = ("hub", "folder", "embed", "transcript")
 #: Words of a candidate's title: whole, phrase, share, prefix, each surplus word and their floor (fixed values).
 WHOLE, PHRASE, SHARE, PREFIX, SURPLUS, SURPLUS_FLOOR = 100.0, 45.0, 15.0, 25.0, -8.0, -20.0
+#: Tasks over which pairs of works are dealt (a fixed value).
+SPREAD = 64
 
 
 def work_key(doi: Column, pmid: Column, arxiv: Column, title: Column, year: Column, author: Column) -> Column:
@@ -43,9 +45,10 @@ def field_origins(records: DataFrame, key: str, order: list[str], scalars: list[
 def related_works(works: DataFrame, id_: str, title: Column, year: Column, preprint: Column) -> DataFrame:
     """(preprint_id, article_id): equal titles, at most a year apart."""
     rows = works.select(F.col(id_).alias("i"), title_key(title).alias("k"), year.alias("y"), preprint.alias("p")).where("k <> '' and y is not null")
-    a = rows.where("p").select("k", F.col("i").alias("preprint_id"), F.col("y").alias("ya"))
-    b = rows.where("not p").select("k", F.col("i").alias("article_id"), F.col("y").alias("yb"))
-    return a.join(b, "k").where(F.abs(F.col("ya") - F.col("yb")) <= 1).select("preprint_id", "article_id")
+    # an article is met by the years that match it; few small rows give many pairs, so they are dealt over tasks by number, not by size
+    a = rows.where("p").select("k", "y", F.col("i").alias("preprint_id")).repartition(SPREAD, "k", "y")
+    b = rows.where("not p").select("k", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)).alias("y"), F.col("i").alias("article_id"))
+    return a.join(b.repartition(SPREAD, "k", "y"), ["k", "y"]).select("preprint_id", "article_id")
 
 
 def first_match(rows: DataFrame, id_: str, keys: dict[str, Column]) -> DataFrame:

@@ -82,3 +82,12 @@ def test_empty_tables(spark):
     assert entities.resolve_in_tiers(links, [names, names]).count() == 0
     assert entities.mentions(links, names).count() == 0
     assert sequences.smoothed(frame(spark, [], "k int, at int, v double"), "k", ["at"], F.col("v"), 4, 2.5, 5.0).count() == 0
+
+
+def test_related_works_are_dealt_over_tasks(spark):
+    rows = [(i, f"Title {i % 3}", None if i == 7 else i % 5, i % 2 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, title string, year int, p boolean").coalesce(1)
+    found = entities.related_works(df, "id", F.col("title"), F.col("year"), F.col("p"))
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[3] and not b[3] and a[1] == b[1] and None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 1)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert found.rdd.getNumPartitions() == entities.SPREAD
