@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .stored import stored
 
+#: Characters of a shingle and shingles of a window: powers of two.
 SHINGLE, WINDOW = 16, 64
 #: Least characters of a text that counts as pasted, and characters of an error that are looked for (fixed values).
 LEAST, PROBE = 80, 120
@@ -33,25 +34,31 @@ def _shingles(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     if len(codes) < SHINGLE:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
+    # runs of one, two, four, eight and sixteen characters: each is two of the ones before, the first times the base to the power of its length
+    out, size, base = codes + np.uint64(1), 1, np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)] + np.uint64(1)
+        while size < SHINGLE:
+            out, size, base = out[:-size] * base + out[size:], 2 * size, base * base
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
     return out
 
 
+def _least(own: np.ndarray) -> np.ndarray:
+    """The least of each run of WINDOW values, without repeats."""
+    if len(own) < WINDOW:
+        return own[:0]
+    size = 1
+    while size < WINDOW:
+        own, size = np.minimum(own[:-size], own[size:]), 2 * size
+    return np.unique(own[np.flatnonzero(np.append(True, own[1:] != own[:-1]))])  # neighbours mostly share theirs
+
+
 def _least_of_windows():
     @F.pandas_udf("array<long>")
     def windows(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            own = _shingles(t)
-            least = np.lib.stride_tricks.sliding_window_view(own, WINDOW).min(axis=1) if len(own) >= WINDOW else own[:0]
-            out.append(np.unique(least).view(np.int64))
-        return pd.Series(out)
+        return pd.Series([_least(_shingles(t)).view(np.int64) for t in texts])
 
     return windows
 

@@ -176,3 +176,22 @@ def test_mail_threads(spark):
     df = spark.createDataFrame(rows, "id long, m string, r array<string>, s array<string>")
     got = {r.id: (r.parent, r.root) for r in graphs.mail_threads(df, "id", "m", "r", "s").collect()}
     assert got == {1: (None, 1), 2: (1, 1), 3: (2, 1), 4: (3, 1), 5: (None, 5), 6: (None, 6), 7: (None, 7), 8: (7, 7), 9: (10, 9), 10: (9, 9)}
+
+
+def test_shingles_and_their_least_by_doubling():
+    rng = random.Random(2)
+    mask = (1 << 64) - 1
+
+    def plain(codes):
+        h = 0
+        for c in codes:
+            h = (h * 0x9E3779B97F4A7C15 + c + 1) & mask
+        h ^= h >> 29
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        return h ^ h >> 32
+
+    for n in (0, 15, 16, 78, 79, 80, 300):
+        text = "".join(rng.choices("ab é😀", k=n))
+        own = [plain(map(ord, text[i : i + 16])) for i in range(n - 15)]
+        assert pasted._shingles(text).tolist() == own
+        assert pasted._least(pasted._shingles(text)).tolist() == sorted({min(own[i : i + 64]) for i in range(len(own) - 63)})
