@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of a block that meets another in one task, and rows of it that are multiplied at a time (fixed values).
 BLOCK, TILE = 1024, 64
+#: Rows, and pairs that they are expected to make, of a task that makes or tells apart pairs (fixed values).
+ROWS, PAIRS = 1 << 18, 1 << 20
 
 
 def manifest_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
@@ -60,6 +62,27 @@ def nearest_value(left: DataFrame, right: DataFrame, by: str, left_at: Column, r
     return rows.select(left_id, F.least(F.abs(F.col("t") - F.col("down")), F.abs(F.col("up") - F.col("t"))).alias("distance"))
 
 
+def met_pairs(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, int]:
+    """(a, b) with a < b: the distinct pairs of values that share a key, dealt by pair over tasks, and how many tasks that are.
+
+    Tasks are as many as the rows ask for, so that one holds no more of them when there are more. Rows are brought
+    together before they are grouped: grouped first, a task holds all that differs in its part of the file.
+    """
+    rows = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).where("k is not null and v is not null")
+    n, keys = rows.agg(F.count("*"), F.approx_count_distinct("k")).first()
+    parts = max(1, -(-n // ROWS))
+    tasks = max(1, -(-max(n, int(n * (n / max(keys, 1) - 1) / 2)) // PAIRS))
+    sets = rows.repartition(parts, "k").groupBy("k").agg(F.collect_set("v").alias("vs")).where(F.size("vs") > 1)
+    pairs = sets.select(F.explode("vs").alias("a"), "vs").select("a", F.explode(F.filter("vs", lambda x: x > F.col("a"))).alias("b"))
+    return pairs.repartition(tasks, "a", "b").distinct(), tasks
+
+
+def undecided_pairs(pairs: DataFrame, journal: DataFrame, tasks: int) -> DataFrame:
+    """The pairs (a, b), a < b, that no row of the journal (a, b) names in either order; both are dealt by pair over so many tasks."""
+    named = journal.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(named.repartition(tasks, "a", "b"), ["a", "b"], "left_anti")
+
+
 def _tiles(ids: np.ndarray, own: np.ndarray, vectors: np.ndarray, i: int, j: int):
     """(ids of a tile's rows, ids of its columns, which cells are pairs, dot products). Products are summed in order, as a plain loop does."""
     ids_b, b = ids[own == j], vectors[own == j].T.copy()

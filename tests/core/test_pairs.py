@@ -40,3 +40,37 @@ def test_pair_classes_count_the_pairs_of_the_audit(spark):
     got = {r.k: (r.n, r.silent, r.pairs) for r in records.pair_classes(df, "id", "k", "c").collect()}
     assert {k: p for k, (_, _, p) in got.items()} == want | {"lone": 0}
     assert got["lone"] == (1, 1, 0) and sum(n for n, _, _ in got.values()) == len(rows)
+
+
+def test_pairs_that_meet_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks grow with the rows, so none holds more of them; the journal names a pair in either order, and nulls meet nothing."""
+    monkeypatch.setattr(relating, "ROWS", 100)
+    monkeypatch.setattr(relating, "PAIRS", 100)
+    rng = np.random.default_rng(3)
+    for n in (400, 4000):
+        rows = [(int(k), int(v)) for k, v in zip(rng.integers(0, n // 4, n), rng.integers(0, n, n), strict=True)] + [(None, 1), (None, 2), (0, None), (0, 5), (0, 5)]
+        df = spark.createDataFrame(rows, "k long, v long")
+        want = {(a, b) for k, a in rows for j, b in rows if k is not None and k == j and a is not None and b is not None and a < b}
+        pairs, tasks = relating.met_pairs(df, "k", "v")
+        held = [len(p) for p in pairs.rdd.glom().collect()]
+        got = [(r.a, r.b) for r in pairs.collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert len(held) == tasks and tasks > n // 100 and max(held) < 200
+        journal = spark.createDataFrame([(b, a) if a % 2 else (a, b) for a, b in sorted(want)[::3]] + [(None, 1)], "a long, b long")
+        left = relating.undecided_pairs(pairs, journal, tasks).collect()
+        assert {(r.a, r.b) for r in left} == want - set(sorted(want)[::3]) and len(left) == len(want) - len(sorted(want)[::3])
+
+
+def test_pair_queries_keep_many_tasks(spark, sf_dir, monkeypatch):
+    """What one task holds is bounded, where both queries took the session's number of tasks for any table."""
+    import __spark_entry__ as e
+
+    monkeypatch.setattr(relating, "ROWS", 1000, raising=False)
+    monkeypatch.setattr(relating, "PAIRS", 1000, raising=False)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("unsettled_pairs", "undecided_supplier_pairs"):
+            assert e.queries()[name](spark, sf_dir).rdd.getNumPartitions() > 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
