@@ -41,7 +41,7 @@ _OUTCOMES = """e AS (SELECT user_id AS item, epoch_ms(ts) AS ms, CASE event_type
     SELECT item, attempts, CASE WHEN due <= mark THEN 'pending' WHEN outcome = 'started' THEN 'in_progress' ELSE outcome END AS status, settled IS NULL AS retryable, CASE WHEN due > mark THEN due END AS due_ms FROM s, w""", covers=("X07",))
 def attempt_states(t: Tables):
     """Users' events as attempts at items: purchases complete, errors fail, of which small ones are timeouts; the last state of each."""
-    s = events.stream_table(t.spark, f"{t.sf_dir}/events.parquet")
+    s = events.stream_table(t.spark, f"{t.sf_dir}/events.parquet", per_trigger=None)
     outcome = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("started")
     message = F.when(F.col("value") < 60, "Request timeout").otherwise("invalid input")
     folder = f"{shared_folder(t.spark)}/attempts-{uuid.uuid4().hex[:12]}"

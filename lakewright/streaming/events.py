@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_table(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """A folder or file of Parquet as a stream, with the schema that a batch read finds. A lone file has to be named by a pattern."""
+def stream_table(spark: SparkSession, path: str, per_trigger: int | None = 1) -> DataFrame:
+    """A folder or file of Parquet as a stream, with the schema that a batch read finds. A lone file has to be named by a pattern.
+
+    per_trigger: files of a batch; None takes all that are there in one. Where late rows are dropped, files that are not in the
+    order of their time have to come together, as each batch moves the watermark to the end of its own.
+    """
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(pattern)
 
 
 def tumbling_counts(events: DataFrame, at: str, kind: str, value: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -74,3 +74,15 @@ def test_transient_messages(spark):
 
 def test_stream_reads_lone_files(spark, sf_dir):
     assert events.stream_table(spark, f"{sf_dir}/events.parquet").isStreaming
+
+
+def test_files_in_any_order_lose_no_rows(spark, sf_dir, tmp_path):
+    """Each file holds the whole time of its users, so after the first one all rows of the others would be late."""
+    import __spark_entry__ as e
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 4 < 2")
+    for part in range(2):
+        rows.where(f"user_id % 4 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/two/events.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one/events.parquet")
+    two, one = (sorted(map(tuple, e.queries()["attempt_states"](spark, f"{tmp_path}/{k}").collect())) for k in ("two", "one"))
+    assert two == one and len(one) == rows.select("user_id").distinct().count()
