@@ -207,3 +207,9 @@ def test_filing_names_against_plain_python(spark, sf_dir):
     assert [tuple(r)[1:] for r in sorted(got)] == [("a b c d e", "corporate"), ("d", "person"), ("Ann", "person"), ("Lee", "person"), ("Lee", "person"), ("Bank", "corporate"), (None, None), (None, None)]
     plan = entry.queries()["filing_names"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("World Health Organization") == 1
+
+
+def test_bodies_end_only_at_their_end(spark):
+    """A line separator of another kind is no end of the text, so what stands before it stays, as in the SQL."""
+    for text, want in [("a \u2028", "a \u2028"), ("a\n\u2028", "a\n\u2028"), ("a \r\n \n\tb \t", "a\n\n\tb"), ("\n", ""), ("", ""), ("a\r\r", "a"), (" a", " a")]:
+        assert one(spark, X.normalize_body(F.lit(text))) == want
